@@ -68,6 +68,13 @@ class Fixtures:
             (F.col("event_type") == "error").cast("int").alias("is_test"),
         )
 
+    @cached_property
+    def log(self) -> DataFrame:
+        """Long metric log (T2): two rows per scored instance (derived view, not in FIXTURES.md)."""
+        from tagstream.operators.aggregates import metric_events
+
+        return metric_events(self.result)
+
     @cached_property
     def prediction(self) -> DataFrame:
         q, t = self.question, self.question_tag
@@ -160,6 +167,8 @@ from (select distinct tag from fx_question_tag) t""",
        cast(case when event_type in ('click','view') then 1 else 0 end as int) as is_prequential,
        cast(case when event_type = 'error' then 1 else 0 end as int) as is_test
 from events""",
+    "fx_log": """select learner, question_id, created_on, is_prequential, is_test, duration_us, 0 as is_topk, fm_units as units from fx_result
+union all select learner, question_id, created_on, is_prequential, is_test, duration_us, 1, topk_units from fx_result""",
     "fx_prediction": """select q.question_id, t.tag from fx_question q join fx_question_tag t on t.question_id = q.question_id + 1""",
     "fx_vote": """select q.question_id, m.member, t.tag from fx_question q
 cross join (select 1 as member union all select 2 union all select 3) m
