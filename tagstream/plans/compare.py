@@ -28,8 +28,8 @@ def _norm(v, digits: int = 6):
         return round(v, digits) + 0.0
     if isinstance(v, (_dt.datetime, _dt.date)):
         return v.isoformat(sep=" ") if isinstance(v, _dt.datetime) else v.isoformat()
-    if isinstance(v, dict):
-        return tuple(sorted((str(k), _norm(x, digits)) for k, x in v.items()))
+    if isinstance(v, dict):  # DuckDB struct (field order kept) — registered queries return no maps
+        return tuple(_norm(x, digits) for x in v.values())
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x, digits) for x in v)
     if hasattr(v, "asDict"):

@@ -213,6 +213,8 @@ def with_fixtures(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} as (\n{FIXTURE_SQL[n]}\n)" for n in order)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
