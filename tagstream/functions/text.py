@@ -17,7 +17,8 @@ ENGLISH_STOP_WORDS = (
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 # HTML stripping steps, applied in this order.
-HTML_DROP_BLOCKS = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>"
+HTML_SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
+HTML_STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 HTML_COMMENTS = r"(?s)<!--.*?-->"
 HTML_TAGS = r"<[^>]*>"
 WHITESPACE = r"\s+"
@@ -33,7 +34,8 @@ def html_text(c, decode_entities: bool = True) -> Column:
     """visible text of HTML: script/style blocks and comments dropped, tags → one space,
     white space collapsed and trimmed, common entities decoded."""
     x = _c(c)
-    x = F.regexp_replace(x, HTML_DROP_BLOCKS, " ")
+    x = F.regexp_replace(x, HTML_SCRIPT, " ")
+    x = F.regexp_replace(x, HTML_STYLE, " ")
     x = F.regexp_replace(x, HTML_COMMENTS, " ")
     x = F.regexp_replace(x, HTML_TAGS, " ")
     if decode_entities:

@@ -12,6 +12,23 @@ TABLE_NAMES = (
 ).split()
 
 
+# Tables whose rows carry long texts: per-row work on them is CPU-bound (regex, tokenising).
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the cluster has cores (e.g. one Parquet
+    row group).  A large input already scans in many splits and is returned unchanged, so no
+    shuffle is added at scale."""
+    sc = df.sparkSession.sparkContext
+    cores = sc.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # pragma: no cover
+        return df
+    return df.repartition(cores) if n < cores else df
+
+
 class Tables:
     """``Tables(spark, "/data/sf0.1").documents`` reads ``documents.parquet`` once per instance.
 
@@ -29,7 +46,10 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(self.path(name))
+            df = self.spark.read.parquet(self.path(name))
+            if name in TEXT_TABLES:
+                df = spread_if_narrow(df)
+            self._cache[name] = df
         return self._cache[name]
 
     def __getattr__(self, name: str) -> DataFrame:
