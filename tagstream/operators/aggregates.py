@@ -212,20 +212,23 @@ def cooccurrence(qt: DataFrame, set_a: DataFrame, set_b: DataFrame | None = None
     # positions of the chosen tags (≤ 20 rows, so the unpartitioned window is over a tiny table)
     pos = chosen.select("t", (F.row_number().over(Window.orderBy("t")) - 1).alias("p"))
     masks = (qt.join(F.broadcast(pos.withColumnRenamed("t", tag)), tag)
-             .groupBy(key).agg(F.bit_or(F.shiftleft(F.lit(1).cast("bigint"), F.col("p"))).alias("_m"))
+             .groupBy(key).agg(F.bit_or(F.pow(F.lit(2), F.col("p")).cast("bigint")).alias("_m"))
              .groupBy("_m").agg(F.count(F.lit(1)).alias("_n")))
     # ordered position pairs present in each distinct mask (pairs per mask, never per question)
     bits = masks.select("_n", F.filter(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)),
-                                       lambda i: F.shiftright(F.col("_m"), i) % 2 == 1).alias("_b"))
+                                       lambda i: F.floor(F.col("_m") / F.pow(F.lit(2), i)) % 2 == 1).alias("_b"))
     pp = bits.select("_n", F.explode(F.flatten(F.transform(
         "_b", lambda x: F.transform(F.filter("_b", lambda y: y != x),
                                     lambda y: F.struct(x.alias("p1"), y.alias("p2")))))).alias("_pp"))
     pair_counts = pp.groupBy(F.col("_pp.p1").alias("p1"), F.col("_pp.p2").alias("p2")).agg(F.sum("_n").alias("_n"))
     # the requested pair list, built from two small name arrays (no join): ≤ 20 × 20 pairs
-    arr_a = a_names.join(F.broadcast(pos), "t").agg(F.collect_list(F.struct("t", "p")).alias("a"))
-    arr_b = b_names.join(F.broadcast(pos), "t").agg(F.collect_list(F.struct("t", "p")).alias("b"))
-    pairs = arr_a.select(F.explode(F.flatten(F.transform(F.col("a"), lambda x: F.transform(
-        F.filter(arr_b.select("b").scalar(), (lambda y: x["t"] < y["t"]) if same else (lambda y: x["t"] != y["t"])),
+    sides = (a_names.withColumn("side", F.lit("a")).unionByName(b_names.withColumn("side", F.lit("b")))
+             .join(F.broadcast(pos), "t"))
+    arrs = sides.agg(F.collect_list(F.when(F.col("side") == "a", F.struct("t", "p"))).alias("a"),
+                     F.collect_list(F.when(F.col("side") == "b", F.struct("t", "p"))).alias("b"))
+    keep = (lambda x, y: x["t"] < y["t"]) if same else (lambda x, y: x["t"] != y["t"])
+    pairs = arrs.select(F.explode(F.flatten(F.transform(F.col("a"), lambda x: F.transform(
+        F.filter(F.col("b"), lambda y: keep(x, y)),
         lambda y: F.struct(x["t"].alias("tag1"), y["t"].alias("tag2"), x["p"].alias("p1"), y["p"].alias("p2")))))
     ).alias("_q")).select("_q.*")
     counted = pairs.join(pair_counts, ["p1", "p2"], "left")
