@@ -8,11 +8,13 @@ Data layout (all long-form DataFrames):
   features  (question_id, bucket, value)       hashed bag of words
   labels    (question_id, tag_index)
   tree      (node, parent, depth, tag_index)
-  weights   (node, bucket, w) and bias (node, b)
+  weights   (node, bucket, w); bucket −1 holds the node bias
 
-Training is full-batch gradient descent where one epoch is: margins by join + ``sum`` per
-(question, node), sigmoid, gradient by ``groupBy(node, bucket).sum`` (partially aggregated
-map-side, so the root node — which sees every question — is never one task), update, and a
+Training is full-batch gradient descent.  The training matrix (question, node, y, bucket, value)
+is written once, hash-partitioned by question and sorted by (question, node); an epoch is then a
+broadcast of the (size-checked) weights, a margin window per (question, node) that needs no
+shuffle, the sigmoid, and one gradient ``groupBy(node, bucket).sum`` that is partially aggregated
+map-side — so the root node, which sees every question, is never a single task — followed by a
 reliable ``checkpoint()`` of the new weights to cut lineage.
 """
 
@@ -20,11 +22,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagstream.functions.scalar import hash_bucket
-from tagstream.session import checkpoint_dir, maybe_broadcast
+from tagstream.session import checkpoint_dir, maybe_broadcast, write_bucketed
 
 
 # --- features and labels -----------------------------------------------------------------------
@@ -104,88 +106,103 @@ def node_examples(qt_idx: DataFrame, questions: DataFrame, tree: DataFrame, k: i
 
 # --- training ----------------------------------------------------------------------------------
 
+BIAS_BUCKET = -1  # the node bias is the weight of a constant feature (bucket −1, value 1)
+
+
 def _sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-def train_matrix(examples: DataFrame, features: DataFrame, key: str = "question_id") -> DataFrame:
-    """(question, node, y, bucket, value): the long training matrix, joined on question."""
-    return examples.join(features, key)
+def with_bias(features: DataFrame, questions: DataFrame, key: str = "question_id") -> DataFrame:
+    """Add the constant bias feature to every question (also those without any term)."""
+    b = questions.select(key).distinct().select(key, F.lit(BIAS_BUCKET).alias("bucket"),
+                                                F.lit(1).cast("bigint").alias("value"))
+    return features.select(key, F.col("bucket").cast("int").alias("bucket"), "value").unionByName(b)
+
+
+def train_matrix(examples: DataFrame, features: DataFrame, key: str = "question_id",
+                 n_partitions: int | None = None) -> DataFrame:
+    """(question, node, y, bucket, value): the long training matrix, written once as a table
+    bucketed by question and sorted by (question, node), so every epoch's margin window needs no
+    shuffle (the scan reports the bucketing)."""
+    n = n_partitions or int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return write_bucketed(examples.join(features, key), "train_matrix", n, key, [key, "node"])
 
 
-def gradient_step(matrix: DataFrame, examples: DataFrame, weights: DataFrame, bias: DataFrame, lr: float,
-                  key: str = "question_id") -> tuple[DataFrame, DataFrame]:
-    """One full-batch epoch: returns (new weights, new bias).
+def _weights_side(weights: DataFrame, n_rows: int, row_bytes: int = 24, limit: int | None = None) -> DataFrame:
+    from tagstream.session import BROADCAST_LIMIT_BYTES
 
-    margin(q, n) = b_n + Σ_b w[n, b]·x[q, b];  g = σ(margin) − y;
-    w[n, b] −= lr · Σ_q g·x[q, b] / N_n;  b_n −= lr · Σ_q g / N_n.
+    lim = BROADCAST_LIMIT_BYTES if limit is None else limit
+    return F.broadcast(weights) if n_rows * row_bytes <= lim else weights
+
+
+def gradient_step(matrix: DataFrame, n_node: DataFrame, weights: DataFrame, n_weights: int, lr: float,
+                  key: str = "question_id") -> DataFrame:
+    """One full-batch epoch; returns the new weights (bias included as bucket −1).
+
+    margin(q, n) = Σ_b w[n, b]·x[q, b] (window over the co-partitioned matrix);
+    g = σ(margin) − y;  w[n, b] −= lr · Σ_q g·x[q, b] / N_n  (one partially aggregated shuffle).
+    The weights are broadcast when their measured size allows, else joined by shuffle.
     """
-    w = maybe_broadcast(weights)
-    dots = (matrix.join(w, ["node", "bucket"])
-            .groupBy(key, "node").agg(F.sum(F.col("w") * F.col("value")).alias("_dot")))
-    margins = (examples.join(dots, [key, "node"], "left").join(maybe_broadcast(bias), "node", "left")
-               .select(key, "node", "y", (F.coalesce("_dot", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("m")))
-    g = margins.select(key, "node", (_sigmoid(F.col("m")) - F.col("y")).alias("g"))
-    n_node = examples.groupBy("node").agg(F.count(F.lit(1)).alias("n_node"))
-    gb = g.groupBy("node").agg(F.sum("g").alias("gb")).join(n_node, "node")
-    new_bias = (gb.join(bias, "node", "full_outer")
-                .select("node", (F.coalesce("b", F.lit(0.0))
-                                 - F.lit(lr) * F.coalesce(F.col("gb") / F.col("n_node"), F.lit(0.0))).alias("b")))
-    gw = (matrix.join(g, [key, "node"]).groupBy("node", "bucket")
-          .agg(F.sum(F.col("g") * F.col("value")).alias("gw")).join(maybe_broadcast(n_node), "node"))
-    new_w = (gw.join(weights, ["node", "bucket"], "full_outer")
-             .select("node", "bucket", (F.coalesce("w", F.lit(0.0))
-                                        - F.lit(lr) * F.coalesce(F.col("gw") / F.col("n_node"), F.lit(0.0))).alias("w")))
-    return new_w, new_bias
-
-
-def empty_model(spark) -> tuple[DataFrame, DataFrame]:
-    return (spark.createDataFrame([], "node bigint, bucket int, w double"),
-            spark.createDataFrame([], "node bigint, b double"))
-
-
-def train_nodes(examples: DataFrame, features: DataFrame, epochs: int = 30, gamma: float = 1.0, lam: float = 1.0,
-                key: str = "question_id", checkpoint_every: int = 1) -> tuple[DataFrame, DataFrame]:
+    w = _weights_side(weights, n_weights)
+    m = matrix.join(w, ["node", "bucket"], "left")
+    margin = F.sum(F.coalesce(F.col("w"), F.lit(0.0)) * F.col("value")).over(Window.partitionBy(key, "node"))
+    g = m.withColumn("g", _sigmoid(margin) - F.col("y"))
+    grad = g.groupBy("node", "bucket").agg(F.sum(F.col("g") * F.col("value")).alias("gw"))
+    upd = grad.join(F.broadcast(n_node), "node").join(weights, ["node", "bucket"], "full_outer")
+    return upd.select("node", "bucket", (F.coalesce(F.col("w"), F.lit(0.0))
+                                         - F.lit(lr) * F.coalesce(F.col("gw") / F.col("n_node"), F.lit(0.0))).alias("w"))
+
+
+def empty_weights(spark) -> DataFrame:
+    return spark.createDataFrame([], "node bigint, bucket int, w double")
+
+
+def node_counts(examples: DataFrame) -> DataFrame:
+    """N_n: training rows per node (one row per tree node)."""
+    return examples.groupBy("node").agg(F.count(F.lit(1)).alias("n_node"))
+
+
+def train_nodes(examples: DataFrame, features: DataFrame, questions: DataFrame, epochs: int = 30,
+                gamma: float = 1.0, lam: float = 1.0, key: str = "question_id") -> DataFrame:
     """M6: ``epochs`` full-batch steps with step size γ / (1 + λ·t).  The training matrix is
-    written once as a reliable checkpoint; the weights are checkpointed every epoch (lineage is
-    cut in the shared checkpoint folder, so a lost executor recomputes one epoch at most)."""
+    written once as a bucketed table in the shared checkpoint folder, and the weights are
+    checkpointed every epoch, so lineage never grows and a lost executor costs one epoch at most."""
     spark = examples.sparkSession
     checkpoint_dir(spark)
-    matrix = train_matrix(examples, features, key).checkpoint(eager=True)
-    ex = examples.checkpoint(eager=True)
-    w, b = empty_model(spark)
+    feats = with_bias(features, questions, key)
+    matrix = train_matrix(examples, feats, key)
+    n_node = node_counts(examples).checkpoint(eager=True)
+    w, n_w = empty_weights(spark), 0
     for t in range(epochs):
         lr = gamma / (1.0 + lam * t)
-        w, b = gradient_step(matrix, ex, w, b, lr, key)
-        if checkpoint_every and (t + 1) % checkpoint_every == 0:
-            w = w.checkpoint(eager=True)
-            b = b.checkpoint(eager=True)
-    return w, b
+        w = gradient_step(matrix, n_node, w, n_w, lr, key).checkpoint(eager=True)
+        n_w = w.count()  # reads the checkpoint; sizes the next broadcast
+    return w
 
 
 # --- scoring -----------------------------------------------------------------------------------
 
-def node_probabilities(frontier: DataFrame, features: DataFrame, weights: DataFrame, bias: DataFrame,
-                       key: str = "question_id") -> DataFrame:
-    """σ(margin) of each (question, node) in ``frontier``."""
-    dots = (frontier.select(key, "node").join(features, key).join(maybe_broadcast(weights), ["node", "bucket"])
+def node_probabilities(frontier: DataFrame, features: DataFrame, weights: DataFrame, key: str = "question_id") -> DataFrame:
+    """σ(margin) of each (question, node) in ``frontier`` (``features`` include the bias)."""
+    dots = (frontier.select(key, "node").join(features, key).join(weights, ["node", "bucket"])
             .groupBy(key, "node").agg(F.sum(F.col("w") * F.col("value")).alias("_dot")))
-    return (frontier.join(dots, [key, "node"], "left").join(maybe_broadcast(bias), "node", "left")
-            .withColumn("p", _sigmoid(F.coalesce("_dot", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))))
-            .drop("_dot", "b"))
+    return (frontier.join(dots, [key, "node"], "left")
+            .withColumn("p", _sigmoid(F.coalesce("_dot", F.lit(0.0)))).drop("_dot"))
 
 
-def score_labels(questions: DataFrame, features: DataFrame, weights: DataFrame, bias: DataFrame, tree: DataFrame,
+def score_labels(questions: DataFrame, features: DataFrame, weights: DataFrame, tree: DataFrame,
                  k: int = 2, cut: float = 0.0, key: str = "question_id", label: str = "tag_index") -> DataFrame:
     """M9: label probabilities = product of node probabilities on the root path, expanded level
     by level; a node whose running product falls below ``cut`` is not expanded (``cut = 0``
     scores every label).  Products are kept as sums of logs."""
     internal, total, depth = tree_params(tree, label)
+    features = with_bias(features, questions, key)
     frontier = questions.select(key).distinct().withColumn("node", F.lit(0).cast("bigint")).withColumn(
         "logp", F.lit(0.0))
     done = None
     for _ in range(depth + 1):
-        scored = node_probabilities(frontier, features, weights, bias, key)
+        scored = node_probabilities(frontier, features, weights, key)
         scored = scored.withColumn("logp", F.col("logp") + F.log(F.greatest(F.col("p"), F.lit(1e-300)))).drop("p")
         if cut > 0:
             scored = scored.filter(F.col("logp") >= math.log(cut))
@@ -196,3 +213,26 @@ def score_labels(questions: DataFrame, features: DataFrame, weights: DataFrame,
         frontier = inner.select(key, F.explode(F.sequence(F.col("node") * k + 1, F.col("node") * k + k)).alias("node"),
                                 "logp").filter(F.col("node") < total)
     return done.select(key, (F.col("node") - internal).cast("int").alias(label), F.exp("logp").alias("prob"))
+
+
+def predict(questions: DataFrame, features: DataFrame, weights: DataFrame, tree: DataFrame,
+            tags: DataFrame, tree_k: int = 2, k: int = 5, threshold: float | DataFrame = 0.5, cut: float = 0.01,
+            key: str = "question_id", label: str = "tag_index") -> DataFrame:
+    """Score (M9, pruned at ``cut``) → positive labels (M10: a global threshold or a per-label
+    threshold table) and top-k (O5) → U3 → J6 decode, for all questions in one job."""
+    from tagstream.operators.quality import positive_labels, topk_labels
+    from tagstream.operators.relational import decode_predictions
+
+    scores = score_labels(questions, features, weights, tree, tree_k, cut, key, label)
+    if isinstance(threshold, DataFrame):
+        pos = positive_labels(scores, threshold, label, "prob")
+    else:
+        pos = scores.filter(F.col("prob") >= threshold)
+    general = pos.groupBy(key).agg(F.collect_list(label).alias("general"))
+    top = topk_labels(scores, k, key, label, "prob")
+    topk = top.groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", label))), lambda s: s[label]).alias("topk"))
+    sets = questions.select(key).distinct().join(general, key, "left").join(topk, key, "left").select(
+        key, F.coalesce("general", F.array().cast("array<int>")).alias("general"),
+        F.coalesce("topk", F.array().cast("array<int>")).alias("topk"))
+    return decode_predictions(sets, tags, key)

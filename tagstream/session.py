@@ -85,3 +85,21 @@ def units_to_f(c: Column | str, scale: int = 50000) -> Column:
     """Fixed-point F units to a double (the fixture keeps F in 1/50000 units)."""
     col = F.col(c) if isinstance(c, str) else c
     return col.cast("double") / F.lit(float(scale))
+
+
+def write_bucketed(df: DataFrame, name: str, n_buckets: int, key: str | list[str],
+                   sort_cols: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a bucketed Parquet table in the shared checkpoint folder and read it back.
+
+    The scan then reports hash partitioning on ``key``: later joins, windows and aggregates keyed
+    by ``key`` (or a superset) run without an exchange, and the written table cuts the lineage.
+    """
+    spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
+    path = scratch_path(spark, name)
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    w = df.write.mode("overwrite").option("path", path).bucketBy(n_buckets, *keys)
+    if sort_cols:
+        w = w.sortBy(*sort_cols)
+    w.saveAsTable(table)
+    return spark.table(table)
