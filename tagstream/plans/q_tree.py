@@ -103,3 +103,29 @@ def m20_predict(fx):
 
     tree, feats, w = _trained(fx)
     return predict(fx.question, feats, w, tree, fx.tag, K, k=5, threshold=0.5, cut=0.01)
+
+
+@query("m14_online_thresholds")
+def m14_online_thresholds(fx):
+    """M14 batch replay over every (label, question) score in question order (rows-only; the
+    recurrence is unit-tested against a plain loop)."""
+    from tagstream.streaming.state import online_thresholds
+
+    truth = fx.question_tag.join(fx.tag, F.col("name") == F.col("tag")).select(
+        "question_id", "tag_index", F.lit(1).alias("y"))
+    s = fx.label_score.join(truth, ["question_id", "tag_index"], "left").select(
+        "tag_index", "question_id", (F.col("score_milli") / F.lit(1000.0)).alias("score"),
+        F.coalesce("y", F.lit(0)).alias("y"))
+    return online_thresholds(s)
+
+
+@query("m17_prequential")
+def m17_prequential(fx):
+    """Prequential replay of every question in batches of 500, one epoch per batch
+    (rows-only: two phases × two kinds per question)."""
+    from tagstream.session import scratch_path
+    from tagstream.streaming.prequential import prequential_replay
+
+    tree = ML.label_tree(fx.tag, K)
+    root = scratch_path(fx.spark, "prequential")
+    return prequential_replay(fx.question, _labels(fx), tree, root, "PLT", 500, hd=HD, k_tree=K, epochs=1)
