@@ -128,3 +128,26 @@ def config_value(json_col, path: str) -> Column:
     """value inside type-tagged JSON arrays (``[class, {...}]``), e.g.
     ``$[1].individualPLTConfiguration[1].hd``."""
     return F.get_json_object(_c(json_col), path)
+
+
+# Known configuration keys per learner class, tried in this order.
+CONFIG_CLASSES = (
+    ("AdaptivePLT", ("epochs", "hd", "k", "toPreferHighestProbLeaf", "alpha")),
+    ("PLTEnsembleBoosted", ("ensembleSize", "maxBranchingFactor", "minEpochs", "toAggregateByMajorityVote",
+                            "individualPLTConfiguration")),
+    ("PLTEnsembleBoostedWithThreshold", ("ensembleSize", "maxBranchingFactor", "minEpochs",
+                                         "toAggregateByMajorityVote", "individualPLTConfiguration",
+                                         "toAggregateByLambdaCW")),
+    ("PLTAdaptiveEnsemble", ("epsilon", "minTraingInstances", "retainmentFraction", "ageFunction", "a", "c",
+                             "individualPLTProperties")),
+)
+
+
+def config_class(json_col) -> Column:
+    """the first class whose known keys contain every key of the JSON object (null if none)."""
+    keys = F.json_object_keys(_c(json_col))
+    expr = F.lit(None).cast("string")
+    for name, known in reversed(CONFIG_CLASSES):
+        fits = F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) == 0
+        expr = F.when(keys.isNotNull() & fits, F.lit(name)).otherwise(expr)
+    return expr
