@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # helpers fall back to a shuffle join and let AQE decide at runtime.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "tagstream") -> SparkSession:
     """Local/test session.  On a cluster the existing session is reused unchanged."""
@@ -40,6 +42,8 @@ def prepare_session(spark: SparkSession) -> None:
     (local tests) do we set one of our own.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # per-key state processors (transformWithState) keep several column families per key
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     checkpoint_dir(spark)
 
 
