@@ -330,3 +330,23 @@ def t9_drop_custom(fx):
     known = fx.question.select("question_id").withColumn("_known", F.lit(1))
     d = fx.log.join(known, "question_id", "left").withColumn("is_custom", F.col("_known").isNull().cast("int"))
     return drop_custom(d).select("learner", "question_id", "is_topk", "units")
+
+
+@query("a7_batch_dims", """
+select max(case when attr_index > 0 and attr_index < 17 then attr_index end) + 1 as n_features,
+       max(case when attr_index >= 17 then attr_index - 17 end) + 1 as n_labels
+from fx_sparse""")
+def a7_batch_dims(fx):
+    from tagstream.operators.aggregates import batch_dims
+
+    return batch_dims(fx.sparse, 17)
+
+
+@query("a8_dataset_dims", """
+select (select count(*) from fx_header where starts_with(name, 'L_')) as n_labels,
+       (select count(*) from fx_header) - (select count(*) from fx_header where starts_with(name, 'L_')) - 1 as n_features,
+       (select count(distinct question_id) from fx_sparse) as n_instances""")
+def a8_dataset_dims(fx):
+    from tagstream.operators.aggregates import dataset_dims
+
+    return dataset_dims(fx.header, fx.sparse, "L_")

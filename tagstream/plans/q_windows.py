@@ -41,3 +41,38 @@ from fx_result""")
 def w1_record_id(fx):
     d = W.record_id(fx.result.select("learner", "question_id"))
     return d.select("learner", "question_id", F.col("record_id").cast("bigint").alias("record_id"))
+
+
+_LONG_SQL = """long as (
+  select learner, question_id, created_on,
+         concat(case when is_prequential = 1 then 'prequential' else 'post-training' end, ' ',
+                case when is_topk = 1 then 'topk' else 'general' end) as category, units
+  from fx_log where is_test = 0)"""
+
+
+@query("u2_concat_categories", f"with {_LONG_SQL} select * from long")
+def u2_concat_categories(fx):
+    """The four category tables concatenated (the melt's long form)."""
+    return W.melt_long(fx.result)
+
+
+@query("w2_cumulative_f", f"""with {_LONG_SQL}
+select learner, category, question_id,
+       cast(sum(units) over (partition by learner, category order by question_id, created_on
+            rows between unbounded preceding and current row) as bigint) as cum_f
+from long""")
+def w2_cumulative_f(fx):
+    d = W.cumulative_f(W.melt_long(fx.result), "units")
+    return d.select("learner", "category", "question_id", F.col("cum_f").cast("bigint").alias("cum_f"))
+
+
+@query("w3_regret", f"""with {_LONG_SQL}
+select learner, category, question_id, 50000 - units as regret,
+       cast(sum(50000 - units) over (partition by learner, category order by question_id, created_on
+            rows between unbounded preceding and current row) as bigint) as cum_regret
+from long""")
+def w3_regret(fx):
+    """W3 in F units (1 = 50000)."""
+    d = W.regret(W.melt_long(fx.result), "units", scale=50000)
+    return d.select("learner", "category", "question_id", F.col("regret").cast("bigint").alias("regret"),
+                    F.col("cum_regret").cast("bigint").alias("cum_regret"))
