@@ -52,6 +52,8 @@ def assign_index(
     spark = df.sparkSession
     if n_buckets is None:
         n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the name set is read three times (count, bound sample, numbering): compute it once
+    df = df.checkpoint(eager=True)
     start_col = start if isinstance(start, Column) else F.lit(start)
     b = df.withColumn("_bucket", _range_bucket(df, order_col, n_buckets))
     ranked = b.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(order_col)))

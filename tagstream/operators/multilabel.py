@@ -12,8 +12,9 @@ Data layout (all long-form DataFrames):
 
 Training is full-batch gradient descent.  The training matrix (question, node, y, bucket, value)
 is written once, hash-partitioned by question and sorted by (question, node); an epoch is then a
-broadcast of the (size-checked) weights, a margin window per (question, node) that needs no
-shuffle, the sigmoid, and one gradient ``groupBy(node, bucket).sum`` that is partially aggregated
+broadcast of the (size-checked) weights, margins per (question, node) by a hash aggregate and a
+shuffled hash join back (neither needs an exchange or a sort), the sigmoid, and one gradient
+``groupBy(node, bucket).sum`` that is partially aggregated
 map-side — so the root node, which sees every question, is never a single task — followed by a
 reliable ``checkpoint()`` of the new weights to cut lineage.
 """
@@ -21,12 +22,14 @@ reliable ``checkpoint()`` of the new weights to cut lineage.
 from __future__ import annotations
 
 import math
+import os
+import time
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagstream.functions.scalar import hash_bucket
-from tagstream.session import checkpoint_dir, maybe_broadcast, write_bucketed
+from tagstream.session import checkpoint_dir, maybe_broadcast, scratch_path, write_bucketed
 
 
 # --- features and labels -----------------------------------------------------------------------
@@ -121,12 +124,16 @@ def with_bias(features: DataFrame, questions: DataFrame, key: str = "question_id
 
 
 def train_matrix(examples: DataFrame, features: DataFrame, key: str = "question_id",
-                 n_partitions: int | None = None) -> DataFrame:
+                 n_partitions: int | None = None, materialize: bool = True) -> DataFrame:
     """(question, node, y, bucket, value): the long training matrix, written once as a table
     bucketed by question and sorted by (question, node), so every epoch's margin window needs no
-    shuffle (the scan reports the bucketing)."""
+    shuffle (the scan reports the bucketing).  ``materialize=False`` returns the plain join, for a
+    single pass where writing the table would cost more than it saves."""
+    joined = examples.join(features, key)  # shuffle-joined on question: already clustered by it
+    if not materialize:
+        return joined
     n = n_partitions or int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return write_bucketed(examples.join(features, key), "train_matrix", n, key, [key, "node"])
+    return write_bucketed(joined, "train_matrix", n, key, [key, "node"])
 
 
 def _weights_side(weights: DataFrame, n_rows: int, row_bytes: int = 24, limit: int | None = None) -> DataFrame:
@@ -140,14 +147,19 @@ def gradient_step(matrix: DataFrame, n_node: DataFrame, weights: DataFrame, n_we
                   key: str = "question_id") -> DataFrame:
     """One full-batch epoch; returns the new weights (bias included as bucket −1).
 
-    margin(q, n) = Σ_b w[n, b]·x[q, b] (window over the co-partitioned matrix);
+    margin(q, n) = Σ_b w[n, b]·x[q, b] (hash aggregate over the question-clustered matrix);
     g = σ(margin) − y;  w[n, b] −= lr · Σ_q g·x[q, b] / N_n  (one partially aggregated shuffle).
     The weights are broadcast when their measured size allows, else joined by shuffle.
     """
     w = _weights_side(weights, n_weights)
-    m = matrix.join(w, ["node", "bucket"], "left")
-    margin = F.sum(F.coalesce(F.col("w"), F.lit(0.0)) * F.col("value")).over(Window.partitionBy(key, "node"))
-    g = m.withColumn("g", _sigmoid(margin) - F.col("y"))
+    # margins: hash aggregate per (question, node); the matrix is clustered by question, so no
+    # exchange and no sort is needed
+    margins = (matrix.join(w, ["node", "bucket"], "left")
+               .groupBy(key, "node").agg(F.sum(F.coalesce(F.col("w"), F.lit(0.0)) * F.col("value")).alias("_m"),
+                                         F.max("y").alias("_y"))
+               .select(key, "node", (_sigmoid(F.col("_m")) - F.col("_y")).alias("g")))
+    # back onto the matrix with a shuffled hash join (both sides clustered by question)
+    g = matrix.join(margins.hint("shuffle_hash"), [key, "node"])
     grad = g.groupBy("node", "bucket").agg(F.sum(F.col("g") * F.col("value")).alias("gw"))
     upd = grad.join(F.broadcast(n_node), "node").join(weights, ["node", "bucket"], "full_outer")
     return upd.select("node", "bucket", (F.coalesce(F.col("w"), F.lit(0.0))
@@ -166,18 +178,27 @@ def node_counts(examples: DataFrame) -> DataFrame:
 def train_nodes(examples: DataFrame, features: DataFrame, questions: DataFrame, epochs: int = 30,
                 gamma: float = 1.0, lam: float = 1.0, key: str = "question_id") -> DataFrame:
     """M6: ``epochs`` full-batch steps with step size γ / (1 + λ·t).  The training matrix is
-    written once as a bucketed table in the shared checkpoint folder, and the weights are
-    checkpointed every epoch, so lineage never grows and a lost executor costs one epoch at most."""
+    written once as a bucketed table in the shared checkpoint folder, and every epoch's weights are
+    written there as a Parquet table and read back, so lineage never grows and a lost executor
+    costs one epoch at most."""
     spark = examples.sparkSession
     checkpoint_dir(spark)
     feats = with_bias(features, questions, key)
     matrix = train_matrix(examples, feats, key)
     n_node = node_counts(examples).checkpoint(eager=True)
     w, n_w = empty_weights(spark), 0
+    run = scratch_path(spark, "weights")
     for t in range(epochs):
+        t0 = time.time()
         lr = gamma / (1.0 + lam * t)
-        w = gradient_step(matrix, n_node, w, n_w, lr, key).checkpoint(eager=True)
-        n_w = w.count()  # reads the checkpoint; sizes the next broadcast
+        # each epoch's weights are a Parquet table in the shared folder: reading it back starts
+        # the next epoch from a plan with no lineage at all
+        path = f"{run}/epoch={t}"
+        gradient_step(matrix, n_node, w, n_w, lr, key).write.mode("overwrite").parquet(path)
+        w = spark.read.parquet(path)
+        n_w = w.count()  # from the Parquet footers; sizes the next broadcast
+        if os.environ.get("TAGSTREAM_TRACE"):
+            print(f"epoch {t}: {time.time() - t0:.1f}s, {n_w} weights", flush=True)
     return w
 
 

@@ -87,7 +87,9 @@ def a2_tag_vocabulary(fx):
 
 
 def _term_index(fx):
-    tf = A.term_frequencies(fx.question, "body")
+    # stored features (the reference materialises them too): tokenise once, reuse for the
+    # vocabulary and the encoding join
+    tf = A.term_frequencies(fx.question, "body").checkpoint(eager=True)
     terms = assign_index(tf.select(F.col("term").alias("name")).distinct(), "name", 0, out="term_index")
     return tf, terms
 

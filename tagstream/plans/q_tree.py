@@ -69,12 +69,24 @@ def m6_gradient_step(fx):
     tree = ML.label_tree(fx.tag, K)
     ex = ML.node_examples(_labels(fx), fx.question, tree, K)
     feats = ML.with_bias(_features(fx), fx.question)
-    matrix = ML.train_matrix(ex, feats)
+    matrix = ML.train_matrix(ex, feats, materialize=False)
     w1 = ML.gradient_step(matrix, ML.node_counts(ex), ML.empty_weights(fx.spark), 0, 1.0)
     return w1.select("node", F.col("bucket").cast("int").alias("bucket"), "w")
 
 
+_MODELS: dict = {}
+
+
 def _trained(fx, epochs=30):
+    """Train once per (session, data folder): m6_train_nodes, m9 and m20 share the stored model
+    (the weights are a checkpointed table)."""
+    key = (id(fx.spark), fx.t.root, epochs)
+    if key not in _MODELS:
+        _MODELS[key] = _train(fx, epochs)
+    return _MODELS[key]
+
+
+def _train(fx, epochs):
     tree = ML.label_tree(fx.tag, K)
     ex = ML.node_examples(_labels(fx), fx.question, tree, K)
     feats = _features(fx)

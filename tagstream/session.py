@@ -15,11 +15,16 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "tagstream") -> SparkSession:
-    """Local/test session.  On a cluster the existing session is reused unchanged."""
+def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "tagstream",
+              driver_memory: str = "16g") -> SparkSession:
+    """Local/test session.  On a cluster the existing session is reused unchanged (its driver and
+    executor memory come from the submitter)."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode runs every executor thread inside the driver JVM
+            b = b.config("spark.driver.memory", driver_memory)
     spark = (
         b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -44,6 +49,9 @@ def prepare_session(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # per-key state processors (transformWithState) keep several column families per key
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    # a side already hash-clustered by a subset of the join keys (e.g. a table bucketed by
+    # question joined on (question, node)) is used as is instead of being shuffled again
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     checkpoint_dir(spark)
 
 
