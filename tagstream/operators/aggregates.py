@@ -173,7 +173,7 @@ def latest_vs_avg(log: DataFrame, scale: int = F_SCALE) -> DataFrame:
 def family_mean(runs: DataFrame, family: str, run: str, value: str) -> DataFrame:
     """Per family, the mean over runs of each run's final value (``runs`` holds one value per
     (family, run))."""
-    return runs.groupBy(family).agg(F.avg(value).alias("mean_value"), F.count(F.lit(1)).alias("n_runs"))
+    return runs.groupBy(family).agg(F.round(F.avg(value), 9).alias("mean_value"), F.count(F.lit(1)).alias("n_runs"))
 
 
 def tag_counts(qt: DataFrame, tag: str = "tag") -> DataFrame:

@@ -126,7 +126,7 @@ def a11_latest_vs_avg(fx):
 with runs as (
   select learner, cast(created_on as date) as run_day, avg(units) / cast(50000 as double) as final_topk
   from fx_log where is_test = 0 and is_topk = 1 group by learner, cast(created_on as date))
-select learner, avg(final_topk) as mean_value, count(*) as n_runs from runs group by learner""")
+select learner, round(avg(final_topk), 9) as mean_value, count(*) as n_runs from runs group by learner""")
 def a12_family_mean(fx):
     """family = learner, run = UTC day; each run's value is its top-k average."""
     runs = (fx.log.filter((F.col("is_test") == 0) & (F.col("is_topk") == 1))
