@@ -88,3 +88,15 @@ def test_prequential_rows(spark, fx, tmpdir_fresh):
     assert log.count() == 4 * n
     assert log.groupBy("is_prequential", "is_topk").count().count() == 4
     assert log.filter((F.col("units") < 0) | (F.col("units") > 50000)).count() == 0
+
+
+def test_daily_counts_stream_equals_batch(spark, fx, tmpdir_fresh):
+    from tagstream.streaming.ops import daily_counts
+
+    q = fx.question.select("question_id", "created_on")
+    s = _feed(spark, q, tmpdir_fresh, 100)
+    got = _run(J.daily_counts_stream(s.drop("chunk_no"), "created_on"), spark, "t8_out", mode="update")
+    final = {r.day_start.replace(tzinfo=None): r.n for r in
+             got.groupBy("day_start").agg(F.max("n").alias("n")).collect()}
+    want = {r.day_start: r.n for r in daily_counts(q, "created_on").collect()}
+    assert final == want
