@@ -52,19 +52,20 @@ def prefix_aggregate(
     dense_rank_of: dict[str, str] | None = None,
     n_buckets: int | None = None,
     inclusive: bool = True,
+    bounds: Sequence | None = None,
 ) -> DataFrame:
     """Add running sums (``sums``: name → value expression) and dense ranks
     (``dense_rank_of``: name → column) per ``keys`` in ``order_cols`` order.
 
     ``bucket_on`` must be numeric and the first component of the order (ranks / sums are then
     consistent across buckets).  Sums are frame ``unboundedPreceding..currentRow`` (``inclusive``)
-    or ``..-1``.
+    or ``..-1``.  ``bounds`` reuses cut points already computed for the same column.
     """
     sums = sums or {}
     dense_rank_of = dense_rank_of or {}
     keys = list(keys)
-    nb = _n_buckets(df, n_buckets)
-    bounds = order_bounds(df, bucket_on, nb)
+    if bounds is None:
+        bounds = order_bounds(df, bucket_on, _n_buckets(df, n_buckets))
     b = df.withColumn("_b", bucket_column(bucket_on, bounds))
     part = keys + ["_b"]
     w = Window.partitionBy(*part).orderBy(*order_cols)
@@ -105,9 +106,9 @@ def category(is_prequential: Column, is_topk: Column) -> Column:
 
 
 def record_id(df: DataFrame, learner: str = "learner", key: str = "question_id", out: str = "record_id",
-              n_buckets: int | None = None) -> DataFrame:
+              n_buckets: int | None = None, bounds: Sequence | None = None) -> DataFrame:
     """Rank of the question id among the learner's distinct ids, from 1."""
-    return prefix_aggregate(df, [learner], [key], key, dense_rank_of={out: key}, n_buckets=n_buckets)
+    return prefix_aggregate(df, [learner], [key], key, dense_rank_of={out: key}, n_buckets=n_buckets, bounds=bounds)
 
 
 def melt_long(df: DataFrame, include_test: bool = False) -> DataFrame:
@@ -138,7 +139,9 @@ def melt_results(df: DataFrame, include_test: bool = False, scale: int = F_SCALE
     and divided only at the end.
     """
     base = df if include_test else df.filter(F.col("is_test") == 0)
-    base = record_id(base, n_buckets=n_buckets)
+    # one set of question-id cut points serves both the record ids and the running sums
+    bounds = order_bounds(base, "question_id", _n_buckets(base, n_buckets))
+    base = record_id(base, bounds=bounds)
     long = melt_long(base, include_test=True)
     ranked = prefix_aggregate(
         long,
@@ -146,7 +149,7 @@ def melt_results(df: DataFrame, include_test: bool = False, scale: int = F_SCALE
         ["question_id", "created_on"],
         "question_id",
         sums={"_cum_u": F.col("units"), "_cum_r": F.lit(scale) - F.col("units")},
-        n_buckets=n_buckets,
+        bounds=bounds,
     )
     s = F.lit(float(scale))
     return ranked.select(
