@@ -164,15 +164,18 @@ def decode_predictions(pred: DataFrame, tags: DataFrame, key: str = "question_id
 
 def learner_tree(learners: DataFrame, max_depth: int = 64) -> DataFrame:
     """Every learner with its root and depth, by iterated parent joins (one join per level,
-    stops when a level is empty)."""
+    stops when a level is empty; the depth of a learner forest is small, so the per-level
+    checkpoints stay few)."""
     edges = learners.select("learner_id", "parent_id")
     level = edges.filter(F.col("parent_id").isNull()).select(
         "learner_id", F.col("learner_id").alias("root_id"), F.lit(0).alias("depth"))
     out = level
     children = edges.filter(F.col("parent_id").isNotNull())
     for d in range(1, max_depth + 1):
+        # each level is materialised in the shared checkpoint folder, so the emptiness test and
+        # the next join start from stored rows instead of re-running every earlier level
         level = (children.join(level.select(F.col("learner_id").alias("parent_id"), "root_id"), "parent_id")
-                 .select("learner_id", "root_id", F.lit(d).alias("depth")))
+                 .select("learner_id", "root_id", F.lit(d).alias("depth"))).checkpoint(eager=True)
         if level.isEmpty():
             break
         out = out.unionByName(level)
