@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,20 +55,48 @@ def prepare_session(spark: SparkSession) -> None:
     # question joined on (question, node)) is used as is instead of being shuffled again
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and intermediate tables: ``spark.checkpoint.dir``.
+
+    Only a one-machine ``local[...]`` master, as in tests, gets a folder of its own when the
+    setting is absent; on a cluster that is an error, since executors share no local folder.
+    """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = os.path.join("/tmp", "tagstream-checkpoints")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = os.path.join(tempfile.gettempdir(), "tagstream-checkpoints")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, wherever it was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tagstream-ship-"), "tagstream.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("tagstream", os.path.relpath(full, here)))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location, for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
