@@ -5,12 +5,15 @@ MinHash samples.  They make ``BANDS`` band keys (candidates share a band), and t
 an odd sketch: a parity bitmap in which sample i flips one bit.  The XOR of two sketches has a
 population count z from which the number of differing samples is about -b/2 ln(1 - 2z/b), a precise
 estimate at high similarity; pairs that are far off the threshold by it are dropped, the rest are
-confirmed on the full shingle sets.
+confirmed on the full shingle sets.  Where many candidates meet, an odd sketch of the whole sets
+comes before that: its differing bits are a lower bound of the differing shingles.
 
 A bucket of a band is not expanded into its pairs.  First each member is compared with the bucket's
-smallest member only, and components are formed.  Members of one bucket that are still in different
-components, and only those, are then compared with each other, in blocks of ``BLOCK`` members, so a
-link that does not pass through the smallest member is found as well.
+most central member only (the one with most fellow members over all its bands: in a group of edited
+copies, the text they were made from), and components are formed.  Members of one bucket that are
+still in different components, and only those, are then compared with each other, in blocks of
+``BLOCK`` members and each pair in its first common band, so a link that does not pass through a
+central member is found as well.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ from tagstream.llm.common import prepare, stored, text_of
 BANDS, BAND_ROWS = 32, 4
 HASHES = BANDS * BAND_ROWS
 SKETCH_BITS = 512
+#: Bits of the parity bitmap of a whole shingle set, for the candidates that are compared in blocks.
+PARITY_BITS = 4096
 #: Members of a bucket that one block compares with another block.
 BLOCK = 1000
 #: Bits of the filter that picks the candidates' texts; its size is fixed.
 FILTER_BITS = 1 << 24
 #: Standard deviations below the threshold at which a sketch still lets a pair pass.
-MARGIN = 5.0
+MARGIN = 4.5
 _M1, _M2, _ODD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
 
@@ -101,12 +106,21 @@ def odd_sketch(samples: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """Parity bitmap of a whole set: two bitmaps differ in at most as many bits as the sets in shingles."""
+    bit = (shingles >> _S33) % np.uint64(PARITY_BITS)
+    odd = np.bincount(bit.astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def differing_bits_limit(threshold: float) -> int:
     """Largest XOR population count that a pair at the threshold shows, ``MARGIN`` deviations out."""
-    differ = HASHES * (1 - threshold)
-    differ += MARGIN * np.sqrt(HASHES * threshold * (1 - threshold))
-    z = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * min(differ, HASHES)))
-    return int(np.ceil(z + MARGIN * np.sqrt(SKETCH_BITS) / 4))
+    differ = 2 * HASHES * (1 - threshold)
+    left = np.exp(-2 * differ / SKETCH_BITS)
+    z = SKETCH_BITS / 2 * (1 - left)
+    of_samples = 2 * left * np.sqrt(HASHES * threshold * (1 - threshold))  # how z varies with the samples drawn
+    of_bits = np.sqrt(SKETCH_BITS / 4 * (1 - left ** 2))  # and with where their bits fall
+    return int(np.ceil(z + MARGIN * np.hypot(of_samples, of_bits)))
 
 
 def _signatures(size: int):
@@ -155,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame, size: int, repeats: bool) -> DataFrame:
-    """(id, set) of the wanted ids.  A bitmap of fixed size keeps other texts out of the shuffle."""
+    """(id, set, parity) of the wanted ids.  A bitmap of fixed size keeps other texts out of the shuffle."""
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     maps = (wanted.select((slot + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect())  # FILTER_BITS bits at most
@@ -171,11 +185,12 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, size: int, repeats: bool
             s = b.column("slot").to_numpy()
             hit = np.flatnonzero((table[s >> 3] >> (s & 7).astype(np.uint8)) & 1)
             texts = b.column("text")
-            out = [shingler.shingles(texts[int(k)].as_py()).view(np.int64) for k in hit]
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(hit)), pa.array(out, pa.list_(pa.int64()))], names=["id", "set"])
+            out = [shingler.shingles(texts[int(k)].as_py()) for k in hit]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(hit)), pa.array([x.view(np.int64) for x in out], pa.list_(pa.int64())),
+                                              pa.array([parity(x) for x in out], pa.binary())], names=["id", "set", "parity"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    rows = docs.filter("id is not null").select("id", slot.alias("slot"), "text").mapInArrow(sets, f"id {kind}, set array<bigint>")
+    rows = docs.filter("id is not null").select("id", slot.alias("slot"), "text").mapInArrow(sets, f"id {kind}, set array<bigint>, parity binary")
     rows = rows.join(wanted, "id", "left_semi")
     if repeats:
         rows = rows.withColumn("h", F.xxhash64("set")).dropDuplicates(["id", "h"]).drop("h")
@@ -224,13 +239,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         reps = stored(reps.dropDuplicates(["id", "lo", "hi"]), "op5-reps")
 
     keys = reps.select(F.explode("bands").alias("key"), "id")
-    buckets = stored(keys.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("members")).filter("members > 1"), "op5-buckets")
-    shared = stored(keys.join(buckets, "key"), "op5-members")  # key, id, low, members
+    sizes = stored(keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "op5-sizes")
+    members = stored(keys.join(sizes, "key"), "op5-in-buckets")  # key, id, members
+    fellows = stored(members.groupBy("id").agg(F.sum("members").alias("fellows")), "op5-fellows")
+    members = stored(members.join(fellows, "id"), "op5-weighed")
+    centre = members.groupBy("key").agg(F.max(F.struct("fellows", F.hash("id"), "id")).alias("c")).select("key", F.col("c.id").alias("centre"))
+    shared = stored(members.join(stored(centre, "op5-centres"), "key"), "op5-members")  # key, id, members, centre
+
     sketch_u = reps.select(F.col("id").alias("u"), F.col("sketch").alias("su"))
     sketch_v = reps.select(F.col("id").alias("v"), F.col("sketch").alias("sv"))
     limit = differing_bits_limit(percent / 100)
 
-    stars = shared.filter("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
+    stars = shared.filter("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()
     stars = stars.join(sketch_u, "u").join(sketch_v, "v").mapInArrow(_near(limit), f"u {kind}, v {kind}")
     stars = stored(stars, "op5-stars")
     sets = stored(_candidate_sets(rows, shared.select("id").distinct(), shingle, repeats), "op5-sets")
@@ -241,11 +261,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     placed = shared.join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = stored(placed, "op5-placed")
     open_ = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    todo = placed.join(stored(open_, "op5-open"), "key").join(reps.select("id", "sketch"), "id")
+    todo = placed.join(stored(open_, "op5-open"), "key").join(reps.select("id", "bands", "sketch"), "id").join(sets.select("id", "parity", F.size("set").alias("n")), "id")
     todo = todo.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     todo = todo.withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    todo = todo.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "sketch")
+    todo = todo.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "bands", "sketch", "parity", "n")
 
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         first = part[part["own"] == key[1]]
@@ -256,12 +276,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         y = np.frombuffer(b"".join(second["sketch"]), dtype=np.uint64).reshape(len(second), -1)
         ids, others = first["id"].to_numpy(), second["id"].to_numpy()
         root, rooted = first["root"].to_numpy(), second["root"].to_numpy()
+        a, b = np.stack(first["bands"].to_numpy()), np.stack(second["bands"].to_numpy())
+        before = int(np.flatnonzero(a[0] == key[0])[0])  # bands in front of this one
+        a, b = a[:, :before], b[:, :before]
+        whole, over = (np.frombuffer(b"".join(f["parity"]), dtype=np.uint64).reshape(len(f), -1) for f in (first, second))
+        n, m = first["n"].to_numpy(), second["n"].to_numpy()
+        names, counts = np.unique(rooted, return_counts=True)
+        most = names[counts.argmax()]
+        rest = np.flatnonzero(rooted != most)  # all that a member of the largest component can be open with
         us, vs = [], []
         for k in range(len(x)):
-            hit = np.flatnonzero((np.bitwise_count(x[k] ^ y).sum(axis=1) <= limit) & (rooted != root[k]))
+            if root[k] != most:
+                hit = np.flatnonzero(rooted != root[k])
+            elif key[1] != key[2]:
+                hit = rest
+            else:
+                continue  # the same pairs come up from their other side
+            hit = hit[np.bitwise_count(x[k] ^ y[hit]).sum(axis=1) <= limit]
+            hit = hit[~(a[k] == b[hit]).any(axis=1)]
+            # odd bits never outnumber the shingles that differ, so this bound loses no link
+            odd = np.bitwise_count(whole[k] ^ over[hit]).sum(axis=1)
+            hit = hit[(100 + percent) * odd <= (100 - percent) * (n[k] + m[hit])]
             us.append(np.full(len(hit), ids[k]))
             vs.append(others[hit])
-        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}) if us else pd.DataFrame({"u": [], "v": []})
 
     more = todo.groupBy("key", "i", "j").applyInPandas(compare, f"u {kind}, v {kind}")
     more = stored(more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "op5-more")
