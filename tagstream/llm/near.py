@@ -214,6 +214,41 @@ def _near(limit: int):
     return run
 
 
+class _Block:
+    """Members of buckets as arrays."""
+
+    def __init__(self, part: pd.DataFrame):
+        self.key, self.own, self.id, self.root, self.n = (part[c].to_numpy() for c in ("key", "own", "id", "root", "n"))
+        self.bands = np.stack(part["bands"].to_numpy())
+        self.sketch, self.parity = (np.frombuffer(b"".join(part[c]), dtype=np.uint64).reshape(len(part), -1) for c in ("sketch", "parity"))
+
+    def open_pairs(self, first: np.ndarray, second: np.ndarray, same: bool, limit: int, percent: int):
+        """(u, [v ...]) of one bucket's members that may be linked and are in different components."""
+        if not len(first) or not len(second):
+            return
+        rooted = self.root[second]
+        names, counts = np.unique(rooted, return_counts=True)
+        most = names[counts.argmax()]
+        rest = second[rooted != most]  # all that a member of the largest component can be open with
+        before = int(np.flatnonzero(self.bands[first[0]] == self.key[first[0]])[0])  # bands in front of this one
+        for u in first.tolist():
+            if self.root[u] != most:
+                v = second[rooted != self.root[u]]
+            elif not same:
+                v = rest
+            else:
+                continue  # the same pairs come up from their other side
+            v = v[np.bitwise_count(self.sketch[u] ^ self.sketch[v]).sum(axis=1) <= limit]
+            if before and len(v):
+                v = v[~(self.bands[u, :before] == self.bands[v, :before]).any(axis=1)]
+            if len(v):
+                # odd bits never outnumber the shingles that differ, so this bound loses no link
+                odd = np.bitwise_count(self.parity[u] ^ self.parity[v]).sum(axis=1)
+                v = v[(100 + percent) * odd <= (100 - percent) * (self.n[u] + self.n[v])]
+            if len(v):
+                yield u, v
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
@@ -265,43 +300,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     todo = todo.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     todo = todo.withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    todo = todo.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "bands", "sketch", "parity", "n")
+    # buckets of one block go to the workers in bundles, a block of a larger bucket by itself
+    bundles = max(1, placed.count() // (2 * BLOCK))
+    todo = todo.withColumn("alone", F.col("blocks") > 1).withColumn("bundle", F.when(F.col("alone"), F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(bundles))))
+    todo = todo.select("alone", "bundle", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "bands", "sketch", "parity", "n")
 
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        first = part[part["own"] == key[1]]
-        second = part[part["own"] == key[2]]
-        if first.empty or second.empty:
-            return pd.DataFrame({"u": [], "v": []})
-        x = np.frombuffer(b"".join(first["sketch"]), dtype=np.uint64).reshape(len(first), -1)
-        y = np.frombuffer(b"".join(second["sketch"]), dtype=np.uint64).reshape(len(second), -1)
-        ids, others = first["id"].to_numpy(), second["id"].to_numpy()
-        root, rooted = first["root"].to_numpy(), second["root"].to_numpy()
-        a, b = np.stack(first["bands"].to_numpy()), np.stack(second["bands"].to_numpy())
-        before = int(np.flatnonzero(a[0] == key[0])[0])  # bands in front of this one
-        a, b = a[:, :before], b[:, :before]
-        whole, over = (np.frombuffer(b"".join(f["parity"]), dtype=np.uint64).reshape(len(f), -1) for f in (first, second))
-        n, m = first["n"].to_numpy(), second["n"].to_numpy()
-        names, counts = np.unique(rooted, return_counts=True)
-        most = names[counts.argmax()]
-        rest = np.flatnonzero(rooted != most)  # all that a member of the largest component can be open with
+        block = _Block(part)
+        order = np.argsort(block.key, kind="stable")
+        cuts = np.flatnonzero(np.diff(block.key[order])) + 1
         us, vs = [], []
-        for k in range(len(x)):
-            if root[k] != most:
-                hit = np.flatnonzero(rooted != root[k])
-            elif key[1] != key[2]:
-                hit = rest
-            else:
-                continue  # the same pairs come up from their other side
-            hit = hit[np.bitwise_count(x[k] ^ y[hit]).sum(axis=1) <= limit]
-            hit = hit[~(a[k] == b[hit]).any(axis=1)]
-            # odd bits never outnumber the shingles that differ, so this bound loses no link
-            odd = np.bitwise_count(whole[k] ^ over[hit]).sum(axis=1)
-            hit = hit[(100 + percent) * odd <= (100 - percent) * (n[k] + m[hit])]
-            us.append(np.full(len(hit), ids[k]))
-            vs.append(others[hit])
+        for members in np.split(order, cuts):
+            first, second = members[block.own[members] == key[2]], members[block.own[members] == key[3]]
+            for u, v in block.open_pairs(first, second, key[2] == key[3], limit, percent):
+                us.append(np.full(len(v), block.id[u]))
+                vs.append(block.id[v])
         return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}) if us else pd.DataFrame({"u": [], "v": []})
 
-    more = todo.groupBy("key", "i", "j").applyInPandas(compare, f"u {kind}, v {kind}")
+    more = todo.groupBy("alone", "bundle", "i", "j").applyInPandas(compare, f"u {kind}, v {kind}")
     more = stored(more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "op5-more")
     found = _confirmed(more, sets, percent)
     both = stored(edges.union(found), "op5-all-links")
