@@ -213,10 +213,14 @@ def node_probabilities(frontier: DataFrame, features: DataFrame, weights: DataFr
 
 
 def score_labels(questions: DataFrame, features: DataFrame, weights: DataFrame, tree: DataFrame,
-                 k: int = 2, cut: float = 0.0, key: str = "question_id", label: str = "tag_index") -> DataFrame:
+                 k: int = 2, cut: float = 0.0, key: str = "question_id", label: str = "tag_index",
+                 bound: DataFrame | None = None, beam: int | None = None) -> DataFrame:
     """M9: label probabilities = product of node probabilities on the root path, expanded level
     by level; a node whose running product falls below ``cut`` is not expanded (``cut = 0``
-    scores every label).  Products are kept as sums of logs."""
+    scores every label).  Products are kept as sums of logs, and only fall along a path.
+
+    ``bound`` (question, bound): nodes below their question's log bound are not expanded.  ``beam``
+    expands the best nodes of each question and level only, for a first lower bound."""
     internal, total, depth = tree_params(tree, label)
     features = with_bias(features, questions, key)
     frontier = questions.select(key).distinct().withColumn("node", F.lit(0).cast("bigint")).withColumn(
@@ -227,6 +231,11 @@ def score_labels(questions: DataFrame, features: DataFrame, weights: DataFrame,
         scored = scored.withColumn("logp", F.col("logp") + F.log(F.greatest(F.col("p"), F.lit(1e-300)))).drop("p")
         if cut > 0:
             scored = scored.filter(F.col("logp") >= math.log(cut))
+        if bound is not None:
+            scored = scored.join(bound, key, "left").filter(F.col("bound").isNull() | (F.col("logp") >= F.col("bound"))).drop("bound")
+        if beam is not None:
+            best = Window.partitionBy(key).orderBy(F.col("logp").desc(), "node")
+            scored = scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= beam).drop("_r")
         scored = scored.checkpoint(eager=True)  # cut the per-level lineage (shared folder)
         leaves = scored.filter(F.col("node") >= internal)
         done = leaves if done is None else done.unionByName(leaves)
@@ -236,15 +245,30 @@ def score_labels(questions: DataFrame, features: DataFrame, weights: DataFrame,
     return done.select(key, (F.col("node") - internal).cast("int").alias(label), F.exp("logp").alias("prob"))
 
 
+def score_needed(questions: DataFrame, features: DataFrame, weights: DataFrame, tree: DataFrame, tree_k: int, k: int,
+                 low: float | None, key: str = "question_id", label: str = "tag_index") -> DataFrame:
+    """Every label at or above ``low`` and the ``k`` best labels of each question, among others.
+
+    A beam finds k labels of each question; nothing below the least of them can be among the k
+    best, and nothing below ``low`` can be positive, so what is below both is not expanded."""
+    found = score_labels(questions, features, weights, tree, tree_k, key=key, label=label, beam=k)
+    least = F.sort_array(F.collect_list("prob"), asc=False)  # at most k a level
+    bound = found.groupBy(key).agg(least.alias("_p")).filter(F.size("_p") >= k).select(key, F.log(F.get("_p", F.lit(k - 1))).alias("bound"))
+    floor = math.log(max(low if low is not None else 0.0, 1e-300))
+    bound = bound.withColumn("bound", F.least("bound", F.lit(floor)) - 1e-9).checkpoint(eager=True)
+    return score_labels(questions, features, weights, tree, tree_k, key=key, label=label, bound=bound)
+
+
 def predict(questions: DataFrame, features: DataFrame, weights: DataFrame, tree: DataFrame,
-            tags: DataFrame, tree_k: int = 2, k: int = 5, threshold: float | DataFrame = 0.5, cut: float = 0.01,
+            tags: DataFrame, tree_k: int = 2, k: int = 5, threshold: float | DataFrame = 0.5,
             key: str = "question_id", label: str = "tag_index") -> DataFrame:
-    """Score (M9, pruned at ``cut``) → positive labels (M10: a global threshold or a per-label
-    threshold table) and top-k (O5) → U3 → J6 decode, for all questions in one job."""
+    """Score (M9) → positive labels (M10: a global threshold or a per-label threshold table) and
+    top-k (O5) → U3 → J6 decode, for all questions in one job.  Scoring is pruned exactly."""
     from tagstream.operators.quality import positive_labels, topk_labels
     from tagstream.operators.relational import decode_predictions
 
-    scores = score_labels(questions, features, weights, tree, tree_k, cut, key, label)
+    low = threshold.agg(F.min("threshold")).first()[0] if isinstance(threshold, DataFrame) else threshold
+    scores = score_needed(questions, features, weights, tree, tree_k, k, low, key, label)
     if isinstance(threshold, DataFrame):
         pos = positive_labels(scores, threshold, label, "prob")
     else:

@@ -7,6 +7,7 @@ shuffle and AQE re-plans with the measured size.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -162,16 +163,15 @@ def decode_predictions(pred: DataFrame, tags: DataFrame, key: str = "question_id
     return g.join(k, key)
 
 
-def learner_tree(learners: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Every learner with its root and depth, by iterated parent joins (one join per level,
-    stops when a level is empty; the depth of a learner forest is small, so the per-level
-    checkpoints stay few)."""
+def learner_tree(learners: DataFrame) -> DataFrame:
+    """Every learner that a root reaches with its root and depth, by iterated parent joins (one
+    join per level, until a level is empty).  ``unreached_learners`` returns the others."""
     edges = learners.select("learner_id", "parent_id")
     level = edges.filter(F.col("parent_id").isNull()).select(
         "learner_id", F.col("learner_id").alias("root_id"), F.lit(0).alias("depth"))
     out = level
     children = edges.filter(F.col("parent_id").isNotNull())
-    for d in range(1, max_depth + 1):
+    for d in itertools.count(1):
         # each level is materialised in the shared checkpoint folder, so the emptiness test and
         # the next join start from stored rows instead of re-running every earlier level
         level = (children.join(level.select(F.col("learner_id").alias("parent_id"), "root_id"), "parent_id")
@@ -182,6 +182,11 @@ def learner_tree(learners: DataFrame, max_depth: int = 64) -> DataFrame:
     return out
 
 
+def unreached_learners(learners: DataFrame, tree: DataFrame) -> DataFrame:
+    """Learners without a place in ``learner_tree``: members of a cycle, and those below a missing parent."""
+    return learners.join(tree.select("learner_id"), "learner_id", "left_anti")
+
+
 def fetch_or_store(vocab: DataFrame, names: DataFrame, name: str = "name", index: str = "index") -> DataFrame:
     """J8 (with W7, U4): known names keep their index; unknown ones are added once with the next
     indices in name order.  Returns the whole vocabulary."""
@@ -281,13 +286,15 @@ def append_rows(base: DataFrame, new: DataFrame, batch_ts, ts: str = "created_on
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str | Sequence[str], version: str) -> DataFrame:
-    """K2: union and keep, per key, the row of the highest version (last write wins).  ``max_by``
-    is a partial aggregate, so a hot key is reduced map-side."""
+    """K2: union and keep, per key, the row of the highest version (last write wins; a null version
+    is the lowest, and equal versions are settled by the remaining columns).  ``max`` is a partial
+    aggregate, so a hot key is reduced map-side."""
     keys = [key] if isinstance(key, str) else list(key)
     u = base.unionByName(delta)
     others = [c for c in u.columns if c not in keys]
-    pick = F.max_by(F.struct(*others), F.col(version)).alias("_row")
-    return u.groupBy(*keys).agg(pick).select(*keys, "_row.*")
+    first = [version, *[c for c in others if c != version]]
+    pick = F.max(F.struct(*first)).alias("_row")
+    return u.groupBy(*keys).agg(pick).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
 def delete_keys(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:

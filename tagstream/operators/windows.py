@@ -9,6 +9,7 @@ over ``n_buckets`` tasks instead of one.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,7 +81,10 @@ def prefix_aggregate(
     wk = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_b").rowsBetween(_UNB, -1)
     names = list(sums) + list(dense_rank_of)
     off = tot.select(*part, *[F.coalesce(F.sum(f"_t_{n}").over(wk), F.lit(0)).alias(f"_o_{n}") for n in names])
-    out = local.join(maybe_broadcast(off), part)
+    # null-safe: rows with a null key or order value form groups of their own
+    off = off.withColumnsRenamed({c: f"_k_{c}" for c in part})
+    same = functools.reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in part])
+    out = local.join(maybe_broadcast(off), same).drop(*[f"_k_{c}" for c in part])
     for n in names:
         out = out.withColumn(n, F.col(f"_l_{n}") + F.col(f"_o_{n}"))
     return out.drop("_b", *[f"_l_{n}" for n in names], *[f"_o_{n}" for n in names])

@@ -70,14 +70,14 @@ def p10_question_docs(fx):
 
 
 @query("p11_to_questions", """
-select q.question_id, q.title, q.body, q.created_on, list_sort(list_distinct(list(qt.tag))) as tags
-from fx_question q join fx_question_tag qt on qt.question_id = q.question_id
+select q.question_id, q.title, q.body, q.created_on, coalesce(list_sort(list_distinct(list(qt.tag) filter (where qt.tag is not null))), []) as tags
+from fx_question q left join fx_question_tag qt on qt.question_id = q.question_id
 group by q.question_id, q.title, q.body, q.created_on""")
 def p11_to_questions(fx):
     """Source records carry the tag names as a list (with repeats from the bridge)."""
-    raw = fx.question.join(fx.question_tag, "question_id").groupBy(
-        "question_id", "title", "body", "created_on").agg(F.collect_list("tag").alias("tags"))
-    return R.to_questions(raw)
+    tags = fx.question_tag.groupBy("question_id").agg(F.collect_list("tag").alias("tags"))
+    raw = fx.question.select("question_id", "title", "body", "created_on").join(tags, "question_id", "left")
+    return R.to_questions(raw.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))))
 
 
 @query("p12_assert_ids", """

@@ -114,7 +114,7 @@ def m20_predict(fx):
     from tagstream.operators.multilabel import predict
 
     tree, feats, w = _trained(fx)
-    return predict(fx.question, feats, w, tree, fx.tag, K, k=5, threshold=0.5, cut=0.01)
+    return predict(fx.question, feats, w, tree, fx.tag, K, k=5, threshold=0.5)
 
 
 @query("m14_online_thresholds")

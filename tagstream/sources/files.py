@@ -39,7 +39,8 @@ def read_sparse_arff(spark: SparkSession, path: str, glob: str | None = None) ->
     header: (file_name, attr_index, name, type) — attribute lines numbered in file order (line ids
     grow with the file offset inside a file, and the header is small).
     rows:   (file_name, question_id, attr_index, val) — entries ``{i v, j w}``; the id is the value
-    of attribute 0, 0 when the sparse row omits it.
+    of attribute 0, 0 when the sparse row omits it.  An instance that holds only its id is one row
+    with null attr_index and val.
     """
     lines = _lines(spark, path, glob)
     attr = lines.filter(F.lower(F.trim("line")).startswith("@attribute"))
@@ -57,7 +58,7 @@ def read_sparse_arff(spark: SparkSession, path: str, glob: str | None = None) ->
                       F.split(F.trim("_p"), r"\s+")[1].alias("_v"))
     ids = kv.filter(F.col("attr_index") == 0).select("file_name", "_row", F.col("_v").cast("long").alias("question_id"))
     rows = (data.select("file_name", "_row").join(ids, ["file_name", "_row"], "left")
-            .join(kv.filter(F.col("attr_index") != 0), ["file_name", "_row"])
+            .join(kv.filter(F.col("attr_index") != 0), ["file_name", "_row"], "left")
             .select("file_name", F.coalesce("question_id", F.lit(0)).alias("question_id"), "attr_index",
                     F.col("_v").cast("double").alias("val")))
     return header, rows

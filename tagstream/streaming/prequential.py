@@ -27,9 +27,9 @@ def _f_rows(pred: DataFrame, truth: DataFrame, questions: DataFrame, is_topk: in
 
 
 def evaluate(questions: DataFrame, feats: DataFrame, truth: DataFrame, weights: DataFrame, tree: DataFrame,
-             k_tree: int, topk: int, threshold: float, cut: float) -> DataFrame:
+             k_tree: int, topk: int, threshold: float) -> DataFrame:
     """General (probability ≥ threshold) and top-k F per question, in F units (T2 rows)."""
-    scores = ML.score_labels(questions, feats, weights, tree, k_tree, cut)
+    scores = ML.score_needed(questions, feats, weights, tree, k_tree, topk, threshold)
     general = scores.filter(F.col("prob") >= threshold).select("question_id", "tag_index")
     top = Q.topk_labels(scores, topk, score="prob").select("question_id", "tag_index")
     return _f_rows(general, truth, questions, 0).unionByName(_f_rows(top, truth, questions, 1))
@@ -37,7 +37,7 @@ def evaluate(questions: DataFrame, feats: DataFrame, truth: DataFrame, weights:
 
 def prequential_step(batch: DataFrame, labels: DataFrame, tree: DataFrame, model_path: str, log_path: str,
                      learner: str, batch_id: int, hd: int = 16384, k_tree: int = 2, epochs: int = 1,
-                     topk: int = 5, threshold: float = 0.5, cut: float = 0.01) -> None:
+                     topk: int = 5, threshold: float = 0.5) -> None:
     """M17 for one batch of questions (question_id, body, created_on): T2 rows of the
     prequential phase, M6 update of the model, T2 rows of the post-training phase."""
     spark = batch.sparkSession
@@ -47,7 +47,7 @@ def prequential_step(batch: DataFrame, labels: DataFrame, tree: DataFrame, model
     prev = os.path.join(model_path, f"v={batch_id - 1}")
     weights = spark.read.parquet(prev) if batch_id > 0 and _exists(spark, prev) else ML.empty_weights(spark)
 
-    pre = evaluate(questions, feats, truth, weights, tree, k_tree, topk, threshold, cut).withColumn("is_prequential", F.lit(1))
+    pre = evaluate(questions, feats, truth, weights, tree, k_tree, topk, threshold).withColumn("is_prequential", F.lit(1))
     ex = ML.node_examples(truth, questions, tree, k_tree)
     matrix = ML.train_matrix(ex, ML.with_bias(feats, questions))
     n_node = ML.node_counts(ex).checkpoint(eager=True)
@@ -56,7 +56,7 @@ def prequential_step(batch: DataFrame, labels: DataFrame, tree: DataFrame, model
         w = ML.gradient_step(matrix, n_node, w, n_w, 1.0 / (1.0 + batch_id * epochs + t)).checkpoint(eager=True)
         n_w = w.count()
     w.write.mode("overwrite").parquet(os.path.join(model_path, f"v={batch_id}"))
-    post = evaluate(questions, feats, truth, w, tree, k_tree, topk, threshold, cut).withColumn("is_prequential", F.lit(0))
+    post = evaluate(questions, feats, truth, w, tree, k_tree, topk, threshold).withColumn("is_prequential", F.lit(0))
     rows = pre.unionByName(post).join(questions, "question_id").select(
         F.lit(learner).alias("learner"), "question_id", "created_on", F.col("is_prequential").cast("int"),
         F.lit(0).alias("is_test"), F.col("is_topk").cast("int"), "units")
