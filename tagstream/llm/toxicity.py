@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagstream.llm.common import fold, prepare, text_of
+from tagstream.llm.common import fold, prepare, stored, text_of
 
 #: Bound of the labelled sample: rows of each class.
-MAX_PER_CLASS = 5000
+MAX_PER_CLASS = 3000
 STEM = 5
 WINDOW = 8
 #: Discounts of counts of one, two, and three or more.
@@ -70,12 +70,9 @@ def _interpolate(n: list[np.ndarray], backoff) -> list[np.ndarray]:
 class KneserNey:
     """Log-likelihood ratios (toxic over ordinary) of words and of pairs of words."""
 
-    def __init__(self, counts: list[dict[tuple[str, str], int]]):
-        """counts: for the ordinary and the toxic class, (previous word or '', word) -> count."""
-        uni = [Counter() for _ in counts]
-        for c, u in zip(counts, uni):
-            for (_, w), n in c.items():
-                u[w] += n
+    def __init__(self, uni: list[dict[str, int]], total: list[dict[str, int]], pairs: list[list[tuple[list[str], list[str], np.ndarray]]]):
+        """For the ordinary and the toxic class: counts of words; counts of the first words that both
+        classes have often enough; and, in batches, the pairs that begin with one (first, second, counts)."""
         vocab = sorted(set(uni[0]) | set(uni[1]))
         self.id = {w: k for k, w in enumerate(vocab)}
         stem_words = Counter(w[:STEM] for w in vocab)  # shared continuation counts
@@ -83,8 +80,8 @@ class KneserNey:
         self.stem_id = {s: len(vocab) + k for k, s in enumerate(stems)}
         self.unknown = len(vocab) + len(stems)
         stem_at = np.array([self.stem_id[w[:STEM]] - len(vocab) for w in vocab], dtype=np.int64)
-        n_stem = [np.bincount(stem_at, weights=[u[w] for w in vocab], minlength=len(stems)) for u in uni]
-        n_word = [np.array([u[w] for w in vocab], dtype=np.float64) for u in uni]
+        n_stem = [np.bincount(stem_at, weights=[u.get(w, 0) for w in vocab], minlength=len(stems)) for u in uni]
+        n_word = [np.array([u.get(w, 0) for w in vocab], dtype=np.float64) for u in uni]
         kinds_of = np.array([stem_words[s] for s in stems], dtype=np.float64)
         stem_p = _interpolate(n_stem, _shared(n_stem, kinds_of / kinds_of.sum()))
         within = _shared(n_word, (stem_p[0] + stem_p[1])[stem_at] / 2 / (kinds_of[stem_at] + 1.0))
@@ -92,27 +89,28 @@ class KneserNey:
         word_p = _interpolate(n_word, [within * stem_p[k][stem_at] / ((stem_p[0] + stem_p[1])[stem_at] / 2) for k in (0, 1)])
         self.single = np.concatenate([np.log(word_p[1] / word_p[0]), np.log(stem_p[1] / stem_p[0]), [0.0]]).astype(np.float32)
         # word after word, for first words that both classes have often enough
-        keep = [np.ones(self.unknown + 1) for _ in counts]
-        total = [np.zeros(len(vocab)) for _ in counts]
-        pairs: dict[int, list[int]] = {}
-        for k, c in enumerate(counts):
-            for (v, w), n in c.items():
-                if v in self.id:
-                    total[k][self.id[v]] += n
-        common = (total[0] >= MIN_CONTEXT) & (total[1] >= MIN_CONTEXT)
-        for k, c in enumerate(counts):
-            for (v, w), n in c.items():
-                if v and common[a := self.id.get(v, 0)] and v in self.id:
-                    pairs.setdefault(a * (self.unknown + 1) + self.id[w], [0, 0])[k] = n
-        keys = np.array(sorted(pairs), dtype=np.int64)
-        n = np.array([pairs[x] for x in keys.tolist()], dtype=np.float64).reshape(-1, 2)
-        a, b = keys // (self.unknown + 1), keys % (self.unknown + 1)
+        width = self.unknown + 1
+        found = []
+        for k in (0, 1):
+            key = [np.array([self.id[x] for x in v], dtype=np.int64) * width + np.array([self.id[x] for x in w], dtype=np.int64) for v, w, _ in pairs[k]]
+            key = np.concatenate([*key, np.zeros(0, dtype=np.int64)])
+            n = np.concatenate([*(x for _, _, x in pairs[k]), np.zeros(0)])
+            order = np.argsort(key)
+            found.append((key[order], n[order]))
+        keys = np.union1d(found[0][0], found[1][0])
+        a, b = keys // width, keys % width
+        keep = [np.ones(width) for _ in uni]
         p = []
         for k in (0, 1):
-            left = np.maximum(n[:, k] - _discount(n[:, k]), 0)
+            n = np.zeros(len(keys))
+            n[np.searchsorted(keys, found[k][0])] = found[k][1]
+            whole = np.ones(len(vocab))
+            at = np.array([self.id[v] for v in total[k]], dtype=np.int64)
+            whole[at] = list(total[k].values())
+            left = np.maximum(n - _discount(n), 0)
             kept = np.bincount(a, weights=left, minlength=len(vocab))
-            keep[k][:len(vocab)][common] = 1 - kept[common] / total[k][common]
-            p.append(left / np.maximum(total[k][a], 1) + keep[k][a] * word_p[k][b])
+            keep[k][at] = 1 - kept[at] / whole[at]
+            p.append(left / whole[a] + keep[k][a] * word_p[k][b])
         self.backoff = np.log(keep[1] / keep[0]).astype(np.float32)
         self.keys, self.pair = keys, np.log(p[1] / p[0]).astype(np.float32)
 
@@ -148,15 +146,15 @@ class KneserNey:
         return float(run[-1] / len(r)), float(((run[w:] - run[:-w]) / w).max()), float(top.mean()), float(top.min()), float(np.log1p(len(r)))
 
 
-def fit_link(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps; returns weights, means and scales."""
+def fit_link(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted logistic regression by Newton steps; returns weights, means and scales."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
-        w = w - np.linalg.solve(h, z.T @ (p - y) + ridge * w)
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+        w = w - np.linalg.solve(h, z.T @ (weight * (p - y)) + ridge * w)
     return w, mean, scale
 
 
@@ -167,11 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Of labels that contradict each other for one id, toxic wins; null labels and ids are left out.
     Without rows of both classes the model is None and every text scores 0.
     """
-    of = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(
+    of_labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(
         F.col("id").isNotNull() & F.col("y").isin(0, 1) & (fold("id") != 0)).groupBy("id").agg(F.max("y").alias("y"))
     ids = None
     for y in (0, 1):
-        part = of.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_per_class)
+        part = of_labels.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_per_class)
         ids = part if ids is None else ids.union(part)
     # bounded by 2 * max_per_class rows, so its broadcast is
     sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(ids), "id")
@@ -188,15 +186,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_pydict({"y": pa.array([k[0] for k in keys], pa.int32()), "v": pa.array([k[1] for k in keys], pa.string()),
                                           "w": pa.array([k[2] for k in keys], pa.string()), "n": pa.array(c.values(), pa.int64())})
 
-    pairs = sample.select("text", "y", "link").mapInArrow(count, "y int, v string, w string, n long").groupBy("y", "v", "w").agg(F.sum("n").alias("n"))
-    counts: list[dict] = [{}, {}]
-    got = pairs.toArrow()  # bounded by the sample
-    for y, v, w, n in zip(*(got.column(c).to_pylist() for c in ("y", "v", "w", "n"))):
-        counts[y][(v, w)] = n
-    del got
-    if not counts[0] or not counts[1]:
+    # all of what follows is bounded by the sample
+    counted = sample.select("text", "y", "link").mapInArrow(count, "y int, v string, w string, n long").groupBy("y", "v", "w").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "op2-counts")
+    uni: list[dict[str, int]] = [{}, {}]
+    for b in counted.groupBy("y", "w").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        for y, w, n in zip(*(b.column(c).to_pylist() for c in ("y", "w", "n"))):
+            uni[y][w] = n
+    if not uni[0] or not uni[1]:
         return None, None
-    model = KneserNey(counts)
+    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    often = counted.filter("v <> ''").groupBy("v").agg(of(0).alias("n0"), of(1).alias("n1")).filter((F.col("n0") >= MIN_CONTEXT) & (F.col("n1") >= MIN_CONTEXT))
+    often = stored(often, "op2-contexts")
+    total: list[dict[str, int]] = [{}, {}]
+    for r in often.collect():
+        total[0][r["v"]], total[1][r["v"]] = r["n0"], r["n1"]
+    pairs: list[list] = [[], []]
+    for y in (0, 1):
+        for b in counted.filter(F.col("y") == y).join(often.select("v"), "v").select("v", "w", "n").toArrow().to_batches():
+            pairs[y].append((b.column("v").to_pylist(), b.column("w").to_pylist(), b.column("n").to_numpy().astype(np.float64)))
+    model = KneserNey(uni, total, pairs)
+    del uni, total, pairs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def featurise(batches):
@@ -210,7 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([r["y"] for r in rows], dtype=np.float64)
     if len(rows) < 2 or y.min() == y.max():  # too few rows for a link: the plain sign of the run's ratio
         return shared, (np.array([0.0, 4.0, 0.0, 0.0, 0.0, -4.0]), np.zeros(N_FEATURES), np.ones(N_FEATURES))
-    return shared, fit_link(x, y)
+    # the sample holds the classes in other shares than the labels do
+    share = {r["y"]: r["n"] for r in of_labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    weight = np.where(y > 0, share[1] / y.sum(), share[0] / (1 - y).sum())
+    return shared, fit_link(x, y, weight / weight.mean())
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
