@@ -220,9 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([r["y"] for r in rows], dtype=np.float64)
     if len(rows) < 2 or y.min() == y.max():  # too few rows for a link: the plain sign of the run's ratio
         return shared, (np.array([0.0, 4.0, 0.0, 0.0, 0.0, -4.0]), np.zeros(N_FEATURES), np.ones(N_FEATURES))
-    # the sample holds the classes in other shares than the labels do
+    # the sample holds the classes in other shares than the labels do; the weights go half of the way
+    # (in log) to the labels' shares, since a missed toxic text costs more than a clean one dropped
     share = {r["y"]: r["n"] for r in of_labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    weight = np.where(y > 0, share[1] / y.sum(), share[0] / (1 - y).sum())
+    weight = np.sqrt(np.where(y > 0, share[1] / y.sum(), share[0] / (1 - y).sum()))
     return shared, fit_link(x, y, weight / weight.mean())
 
 
