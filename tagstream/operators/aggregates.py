@@ -190,48 +190,28 @@ def rare_tags(qt: DataFrame, n: int = 10, tag: str = "tag") -> DataFrame:
     return tag_counts(qt, tag).orderBy(F.col("n"), F.col(tag)).limit(n)
 
 
-MAX_COOC_SET = 20
-
-
 def cooccurrence(qt: DataFrame, set_a: DataFrame, set_b: DataFrame | None = None, key: str = "question_id",
                  tag: str = "tag") -> DataFrame:
     """Co-occurrence counts of tag pairs (a, b), a from ``set_a``, b from ``set_b`` (default:
-    unordered pairs within ``set_a``), zero counts kept.
+    unordered pairs within ``set_a``), zero counts kept, for chosen sets of any size.
 
-    No per-question pairs are emitted: each question's chosen tags become a bit mask
-    (``bit_or`` per question), masks are counted (≤ 2^s distinct values, partial aggregation),
-    and pairs are expanded only on that small mask table.
+    No per-question pairs are emitted: each question's chosen tags become one sorted array, equal
+    arrays are counted (partial aggregation), and pairs are expanded only on the distinct arrays.
     """
     same = set_b is None
-    a_names = set_a.select(F.col(tag).alias("t")).distinct()
-    b_names = a_names if same else set_b.select(F.col(tag).alias("t")).distinct()
-    chosen = a_names.union(b_names).distinct()
-    n = chosen.count()
-    if n > MAX_COOC_SET:
-        raise ValueError(f"{n} chosen tags; the mask plan is bounded to {MAX_COOC_SET}")
-    # positions of the chosen tags (≤ 20 rows, so the unpartitioned window is over a tiny table)
-    pos = chosen.select("t", (F.row_number().over(Window.orderBy("t")) - 1).alias("p"))
-    masks = (qt.join(F.broadcast(pos.withColumnRenamed("t", tag)), tag)
-             .groupBy(key).agg(F.bit_or(F.pow(F.lit(2), F.col("p")).cast("bigint")).alias("_m"))
-             .groupBy("_m").agg(F.count(F.lit(1)).alias("_n")))
-    # ordered position pairs present in each distinct mask (pairs per mask, never per question)
-    bits = masks.select("_n", F.filter(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)),
-                                       lambda i: F.floor(F.col("_m") / F.pow(F.lit(2), i)) % 2 == 1).alias("_b"))
-    pp = bits.select("_n", F.explode(F.flatten(F.transform(
-        "_b", lambda x: F.transform(F.filter("_b", lambda y: y != x),
-                                    lambda y: F.struct(x.alias("p1"), y.alias("p2")))))).alias("_pp"))
-    pair_counts = pp.groupBy(F.col("_pp.p1").alias("p1"), F.col("_pp.p2").alias("p2")).agg(F.sum("_n").alias("_n"))
-    # the requested pair list, built from two small name arrays (no join): ≤ 20 × 20 pairs
-    sides = (a_names.withColumn("side", F.lit("a")).unionByName(b_names.withColumn("side", F.lit("b")))
-             .join(F.broadcast(pos), "t"))
-    arrs = sides.agg(F.collect_list(F.when(F.col("side") == "a", F.struct("t", "p"))).alias("a"),
-                     F.collect_list(F.when(F.col("side") == "b", F.struct("t", "p"))).alias("b"))
-    keep = (lambda x, y: x["t"] < y["t"]) if same else (lambda x, y: x["t"] != y["t"])
-    pairs = arrs.select(F.explode(F.flatten(F.transform(F.col("a"), lambda x: F.transform(
-        F.filter(F.col("b"), lambda y: keep(x, y)),
-        lambda y: F.struct(x["t"].alias("tag1"), y["t"].alias("tag2"), x["p"].alias("p1"), y["p"].alias("p2")))))
-    ).alias("_q")).select("_q.*")
-    counted = pairs.join(pair_counts, ["p1", "p2"], "left")
+    a_names = set_a.select(F.col(tag).alias("tag1")).distinct()
+    b_names = (set_a if same else set_b).select(F.col(tag).alias("tag2")).distinct()
+    chosen = a_names.union(b_names).distinct().withColumnRenamed("tag1", tag)
+    sets = (qt.join(maybe_broadcast(chosen), tag, "left_semi")
+            .groupBy(key).agg(F.array_sort(F.collect_set(tag)).alias("_s")).filter(F.size("_s") > 1)
+            .groupBy("_s").agg(F.count(F.lit(1)).alias("_n")))
+    found = (sets.select("_n", "_s", F.explode("_s").alias("tag1")).select("_n", "tag1", F.explode("_s").alias("tag2"))
+             .filter("tag1 <> tag2").groupBy("tag1", "tag2").agg(F.sum("_n").alias("_n")))
+    # the requested pairs are the result itself: every name of one set beside those of the other
+    others = b_names.agg(F.array_sort(F.collect_list("tag2"))).scalar()
+    wanted = F.col("tag1") < F.col("tag2") if same else F.col("tag1") != F.col("tag2")
+    pairs = a_names.select("tag1", F.explode(others).alias("tag2")).filter(wanted)
+    counted = pairs.join(found, ["tag1", "tag2"], "left")
     return counted.select("tag1", "tag2", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("n"))
 
 

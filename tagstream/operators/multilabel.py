@@ -161,7 +161,7 @@ def gradient_step(matrix: DataFrame, n_node: DataFrame, weights: DataFrame, n_we
     # back onto the matrix with a shuffled hash join (both sides clustered by question)
     g = matrix.join(margins.hint("shuffle_hash"), [key, "node"])
     grad = g.groupBy("node", "bucket").agg(F.sum(F.col("g") * F.col("value")).alias("gw"))
-    upd = grad.join(F.broadcast(n_node), "node").join(weights, ["node", "bucket"], "full_outer")
+    upd = grad.join(maybe_broadcast(n_node), "node").join(weights, ["node", "bucket"], "full_outer")
     return upd.select("node", "bucket", (F.coalesce(F.col("w"), F.lit(0.0))
                                          - F.lit(lr) * F.coalesce(F.col("gw") / F.col("n_node"), F.lit(0.0))).alias("w"))
 

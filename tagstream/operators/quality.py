@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagstream.operators.windows import prefix_aggregate
 from tagstream.session import maybe_broadcast
 
 
@@ -69,11 +70,14 @@ def topk_labels(scores: DataFrame, k: int, key: str = "question_id", label: str
 
 def tune_thresholds(scored: DataFrame, label: str = "tag_index", score: str = "score", y: str = "y") -> DataFrame:
     """Per label the cut s maximising 2·TP(≥ s) / (N(≥ s) + P); ties in F go to the higher
-    cut.  Rows are first reduced to (label, score bin) counts; the window runs over bins."""
-    bins = scored.groupBy(label, score).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("tp"))
-    w = Window.partitionBy(label).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = bins.select(label, score, F.sum("tp").over(w).alias("cum_tp"), F.sum("n").over(w).alias("cum_n"),
-                    F.sum("tp").over(Window.partitionBy(label)).alias("n_pos"))
+    cut.  Rows are first reduced to counts of each (label, score); the running sums over a label's
+    scores are two-level, so a label with many distinct scores is spread over tasks.  A row without a
+    score reaches no cut and counts in P only."""
+    counts = scored.groupBy(label, score).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("tp")).checkpoint(eager=True)
+    down = counts.filter(F.col(score).isNotNull()).withColumn("_down", -F.col(score))
+    c = prefix_aggregate(down, [label], ["_down"], "_down", {"cum_tp": F.col("tp"), "cum_n": F.col("n")})
+    pos = counts.groupBy(F.col(label).alias("_label")).agg(F.sum("tp").alias("n_pos"))
+    c = c.join(maybe_broadcast(pos), F.col(label).eqNullSafe(F.col("_label")))
     c = c.withColumn("f", (2 * F.col("cum_tp")).cast("double") / (F.col("cum_n") + F.col("n_pos")))
     best = c.groupBy(label).agg(F.max_by(F.struct("f", score), F.struct("f", score)).alias("_b"))
     return best.select(label, F.col(f"_b.{score}").alias("threshold"), F.col("_b.f").alias("best_f"))
@@ -103,11 +107,37 @@ def ensemble_vote(votes: DataFrame, mode: str = "MV", weights: DataFrame | None
     return g.filter(F.col("_s") * 2 > total).select(key, label)
 
 
-def member_quality(inst_f: DataFrame, per_label_macro: DataFrame, prefer_macro: bool, member: str = "member") -> DataFrame:
-    """Each member's quality: macro F, or the average instance F, by a preference flag."""
-    if prefer_macro:
-        return per_label_macro.select(member, F.col("macro_f").alias("quality"))
-    return inst_f.groupBy(member).agg(F.round(F.avg("f"), 9).alias("quality"))
+def _member_hits(votes: DataFrame, truth: DataFrame, by: str, member: str, key: str, label: str) -> DataFrame:
+    """(member, ``by``): n_pred, tp and n_true; only predicted rows meet the truth, which is not
+    copied for each member.  n_true is 0 where the truth has nothing."""
+    v = votes.select(member, key, label).distinct()
+    t = truth.select(key, label).distinct()
+    hits = v.join(t.withColumn("_t", F.lit(1)), [key, label], "left").groupBy(member, by).agg(
+        F.count(F.lit(1)).alias("n_pred"), F.count("_t").alias("tp"))
+    return hits.join(t.groupBy(by).agg(F.count(F.lit(1)).alias("n_true")), by, "left").fillna(0, subset=["n_true"]).withColumn(
+        "f", (2 * F.col("tp")).cast("double") / (F.col("n_pred") + F.col("n_true")))
+
+
+def member_macro_f(votes: DataFrame, truth: DataFrame, member: str = "member", key: str = "question_id", label: str = "tag") -> DataFrame:
+    """M12 by label: each member's macro F over the labels that it predicts or that the truth has;
+    a label of the truth that it never predicts counts with F = 0."""
+    n_labels = truth.agg(F.count_distinct(label)).scalar()
+    own = F.sum((F.col("n_true") == 0).cast("int"))
+    return _member_hits(votes, truth, label, member, key, label).groupBy(member).agg(
+        F.round(F.sum("f") / (own + n_labels), 9).alias("quality"))
+
+
+def member_avg_f(votes: DataFrame, truth: DataFrame, questions: DataFrame, member: str = "member", key: str = "question_id",
+                 label: str = "tag") -> DataFrame:
+    """M12 by instance: each member's F averaged over ``questions``; without its prediction a
+    question counts 0, or 1 where the truth is empty too."""
+    q = questions.select(key).distinct()
+    v, t = votes.join(q, key, "left_semi"), truth.join(q, key, "left_semi")
+    n_q = q.agg(F.count(F.lit(1))).scalar()
+    with_truth = t.agg(F.count_distinct(key)).scalar()
+    own = F.sum((F.col("n_true") == 0).cast("int"))
+    return _member_hits(v, t, key, member, key, label).groupBy(member).agg(
+        F.round((F.sum("f") + n_q - with_truth - own) / n_q, 9).alias("quality"))
 
 
 def retain_members(members: DataFrame, fraction: float, n_min: int, group: str, member: str, n_rows: str,

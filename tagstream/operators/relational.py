@@ -203,17 +203,10 @@ def label_results(results: DataFrame, configs: DataFrame, key: str = "learner",
     return results.join(maybe_broadcast(c), F.col(key) == F.col("_cfg_key"), "left").drop("_cfg_key")
 
 
-MAX_CHOSEN_TAGS = 64
-
-
 def tag_pairs(qt: DataFrame, chosen: DataFrame, key: str = "question_id", tag: str = "tag") -> DataFrame:
-    """(question, tag1 < tag2) pairs among a *chosen* tag set (semi join before the self
-    join).  The chosen set is bounded (≤ 64 tags, checked), so one question yields at most
-    C(64, 2) pairs whatever its tag count."""
-    n = chosen.count()
-    if n > MAX_CHOSEN_TAGS:
-        raise ValueError(f"chosen tag set has {n} tags; the pair join is bounded to {MAX_CHOSEN_TAGS}")
-    c = F.broadcast(chosen.select(F.col(tag).alias("_t")))
+    """(question, tag1 < tag2) pairs among a chosen tag set of any size (semi join before the
+    self join, so a question's pairs are bounded by its own chosen tags)."""
+    c = maybe_broadcast(chosen.select(F.col(tag).alias("_t")))
     q = qt.join(c, F.col(tag) == F.col("_t"), "left_semi").select(key, tag)
     a, b = q.alias("a"), q.alias("b")
     return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{tag}") < F.col(f"b.{tag}"))).select(

@@ -12,7 +12,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagstream.functions.text import combined_text
 from tagstream.operators.indexing import assign_index
+from tagstream.session import dimension, maybe_broadcast
 from tagstream.sources.tables import Tables
 
 
@@ -31,6 +33,11 @@ class Fixtures:
             e.ts.alias("created_on"),
         )
 
+    @cached_property
+    def feature_text(self) -> DataFrame:
+        """The text that a question's features are made from (title and visible body)."""
+        return self.question.select("question_id", combined_text("title", "body").alias("text"))
+
     @cached_property
     def question_tag(self) -> DataFrame:
         d, lab = self.t.documents, self.t.labels
@@ -50,7 +57,7 @@ class Fixtures:
     @cached_property
     def tag(self) -> DataFrame:
         names = self.question_tag.select(F.col("tag").alias("name")).distinct()
-        return assign_index(names, "name", 0, out="tag_index").select("tag_index", "name")
+        return dimension(assign_index(names, "name", 0, out="tag_index").select("tag_index", "name"), "fx-tag")
 
     @cached_property
     def result(self) -> DataFrame:
@@ -97,11 +104,11 @@ class Fixtures:
 
     @cached_property
     def label_score(self) -> DataFrame:
-        # every (question, label): labels are the dense range 0..max(tag_index), taken by a scalar
-        # subquery, so no cross join is planned.
-        max_idx = self.tag.agg(F.max("tag_index")).scalar()
-        q = self.question.select("question_id", F.explode(F.sequence(F.lit(0), max_idx)).alias("tag_index"))
-        return q.select(
+        # candidate labels of a question: its own tags and those of the next two questions
+        near = self.question.select("question_id", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("_d"))
+        tags = self.question_tag.select(F.col("question_id").alias("_of"), "tag")
+        c = near.join(tags, F.col("_of") == F.col("question_id") + F.col("_d")).join(maybe_broadcast(self.tag), F.col("name") == F.col("tag"))
+        return c.select("question_id", "tag_index").distinct().select(
             "question_id",
             "tag_index",
             ((F.col("question_id") * 7919 + F.col("tag_index") * 104729) % 1000).cast("int").alias("score_milli"),
@@ -144,7 +151,7 @@ class Fixtures:
             (F.lit(1) + F.col("n_chars") % 16).cast("int").alias("attr_index"),
             F.col("n_chars").alias("val"),
         )
-        labs = self.question_tag.join(F.broadcast(self.tag), F.col("name") == F.col("tag")).select(
+        labs = self.question_tag.join(maybe_broadcast(self.tag), F.col("name") == F.col("tag")).select(
             "question_id", (F.lit(17) + F.col("tag_index")).cast("int").alias("attr_index"), F.lit(1).cast("bigint").alias("val")
         )
         return feats.unionByName(labs)
@@ -175,8 +182,9 @@ cross join (select 1 as member union all select 2 union all select 3) m
 join fx_question_tag t on t.question_id = q.question_id + m.member""",
     "fx_score": """select l.doc_id as question_id, cast(d.n_chars % 1000 as int) as score_milli, l.quality as y
 from labels l join documents d on d.doc_id = l.doc_id""",
-    "fx_label_score": """select q.question_id, t.tag_index, cast((q.question_id * 7919 + t.tag_index * 104729) % 1000 as int) as score_milli
-from fx_question q cross join fx_tag t""",
+    "fx_label_score": """select distinct q.question_id, t.tag_index, cast((q.question_id * 7919 + t.tag_index * 104729) % 1000 as int) as score_milli
+from fx_question q cross join (select 0 as d union all select 1 union all select 2) n
+join fx_question_tag qt on qt.question_id = q.question_id + n.d join fx_tag t on t.name = qt.tag""",
     "fx_learner": """select concat('L', cast(u.user_id as varchar(8))) as learner_id,
        case when p.user_id is null then null else concat('L', cast(p.user_id as varchar(8))) end as parent_id,
        cast(case when u.user_id % 10 = 0 then 0 else 1 end as int) as is_active

@@ -78,19 +78,12 @@ select member, round(avg(f), 9) as quality from lab group by member"""
 
 
 def _member_truth(fx):
-    members = fx.vote.select("member").distinct()
-    truth = fx.question_tag.join(fx.question.select("question_id"), "question_id", "left_semi")
-    # every member is judged against the same truth: attach the member by exploding the small,
-    # bounded member list (one array literal per row, not a join)
-    ms = [r[0] for r in members.collect()]  # ensemble size, a handful of ids
-    return truth.withColumn("member", F.explode(F.array(*[F.lit(m) for m in ms])))
+    return fx.question_tag.join(fx.question.select("question_id"), "question_id", "left_semi")
 
 
 @query("m12_member_quality_macro", _MEMBER_MACRO)
 def m12_member_quality_macro(fx):
-    truth = _member_truth(fx)
-    per = Q.macro_f(fx.vote, truth, keys=["member"])
-    return Q.member_quality(None, per, prefer_macro=True)
+    return Q.member_macro_f(fx.vote, _member_truth(fx))
 
 
 @query("m12_member_quality_avg", f"""with {_VOTE_FLAGS},
@@ -102,11 +95,7 @@ qf as (select m.member, q.question_id,
        left join pq on pq.question_id = q.question_id and pq.member = m.member)
 select member, round(avg(f), 9) as quality from qf group by member""")
 def m12_member_quality_avg(fx):
-    truth = _member_truth(fx)
-    qs = fx.question.select("question_id").withColumn(
-        "member", F.explode(F.array(*[F.lit(m) for m in (r[0] for r in fx.vote.select("member").distinct().collect())])))
-    inst = Q.instance_f(fx.vote, truth, qs, keys=["member"])
-    return Q.member_quality(inst, None, prefer_macro=False)
+    return Q.member_avg_f(fx.vote, _member_truth(fx), fx.question)
 
 
 _SCORED = """scored as (select ls.tag_index, ls.question_id, ls.score_milli,
@@ -204,9 +193,9 @@ def o5_topk_labels(fx):
 
 
 @query("m19_top_estimates", f"""with {_TOP5}
-select question_id, tag_index, score_milli, cast(rnk as int) as rank from top5 where rnk <= 10000""")
+select question_id, tag_index, score_milli, cast(rnk as int) as rank from top5 where rnk <= 3""")
 def m19_top_estimates(fx):
-    return Q.topk_labels(fx.label_score, 10000, score="score_milli")
+    return Q.topk_labels(fx.label_score, 3, score="score_milli")
 
 
 _PRED_SETS = f"""{_TOP5},

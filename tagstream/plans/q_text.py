@@ -7,6 +7,7 @@ from tagstream.functions.scalar import hash_bucket
 from tagstream.operators import aggregates as A
 from tagstream.operators import relational as R
 from tagstream.operators.indexing import assign_index
+from tagstream.plans.fixtures import FIXTURE_SQL
 from tagstream.plans.registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in TX.ENGLISH_STOP_WORDS)
@@ -35,8 +36,9 @@ def terms_sql(x: str) -> str:
     return _TERMS.format(x=x)
 
 
-_TF = f"""tf as (select question_id, term, cast(count(*) as int) as freq
-  from (select question_id, unnest({terms_sql('body')}) as term from fx_question) x
+FIXTURE_SQL["fx_feature_text"] = f"select question_id, concat_ws(' ', title, {html_sql('body')}) as text from fx_question"
+TF_SQL = f"""tf as (select question_id, term, cast(count(*) as int) as freq
+  from (select question_id, unnest({terms_sql('text')}) as term from fx_feature_text) x
   group by question_id, term)"""
 
 
@@ -70,14 +72,14 @@ def p2_combined_text(fx):
     return fx.question.select("question_id", TX.combined_text("title", "body").alias("text"))
 
 
-@query("a1_term_frequencies", f"with {_TF} select * from tf")
+@query("a1_term_frequencies", f"with {TF_SQL} select * from tf")
 def a1_term_frequencies(fx):
-    return A.term_frequencies(fx.question, "body")
+    return A.term_frequencies(fx.feature_text, "text")
 
 
-@query("a2_vocabulary", f"with {_TF} select distinct term as name from tf")
+@query("a2_vocabulary", f"with {TF_SQL} select distinct term as name from tf")
 def a2_vocabulary(fx):
-    t = A.term_tokens(fx.question, "body")
+    t = A.term_tokens(fx.feature_text, "text")
     return A.vocabulary(t, "term")
 
 
@@ -89,13 +91,13 @@ def a2_tag_vocabulary(fx):
 def _term_index(fx):
     # stored features (the reference materialises them too): tokenise once, reuse for the
     # vocabulary and the encoding join
-    tf = A.term_frequencies(fx.question, "body").checkpoint(eager=True)
+    tf = A.term_frequencies(fx.feature_text, "text").checkpoint(eager=True)
     terms = assign_index(tf.select(F.col("term").alias("name")).distinct(), "name", 0, out="term_index")
     return tf, terms
 
 
 @query("j3_stored_features", f"""
-with {_TF},
+with {TF_SQL},
 terms as (select cast(row_number() over (order by term) - 1 as int) as term_index, term as name
           from (select distinct term from tf) t)
 select tf.question_id,
@@ -108,7 +110,7 @@ def j3_stored_features(fx):
 
 
 @query("m1_feature_vectors", f"""
-with {_TF},
+with {TF_SQL},
 terms as (select cast(row_number() over (order by term) - 1 as int) as term_index, term as name
           from (select distinct term from tf) t)
 select tf.question_id, t.term_index as index, tf.freq from tf join terms t on t.name = tf.term""")
@@ -120,14 +122,14 @@ def m1_feature_vectors(fx):
 
 
 @query("m2_hash_features", f"""
-with {_TF}
+with {TF_SQL}
 select question_id, cast(cast(('0x' || substr(md5(term), 1, 8)) as bigint) % 16384 as int) as bucket,
        cast(sum(freq) as bigint) as value
 from tf group by question_id, bucket""")
 def m2_hash_features(fx):
     from tagstream.operators.multilabel import hash_features
 
-    return hash_features(A.term_frequencies(fx.question, "body"), 16384)
+    return hash_features(A.term_frequencies(fx.feature_text, "text"), 16384)
 
 
 @query("m3_label_vectors", """
@@ -142,4 +144,4 @@ def m3_label_vectors(fx):
 @query("f5_stemmed_frequencies")
 def f5_stemmed_frequencies(fx):
     """F5 (X1) + A1: stemmed term frequencies (rows-only; the stems are checked by unit vectors)."""
-    return A.term_frequencies(fx.question, "body", stem=True)
+    return A.term_frequencies(fx.feature_text, "text", stem=True)

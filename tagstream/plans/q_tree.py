@@ -6,6 +6,7 @@ from tagstream.operators import aggregates as A
 from tagstream.operators import multilabel as ML
 from tagstream.operators import quality as Q
 from tagstream.operators import relational as R
+from tagstream.plans.q_text import TF_SQL
 from tagstream.plans.registry import query
 
 HD = 16384  # hashed dimension (the reference's smaller grid value)
@@ -29,7 +30,7 @@ def _labels(fx):
 
 
 def _features(fx, hd=HD):
-    return ML.hash_features(A.term_frequencies(fx.question, "body"), hd)
+    return ML.hash_features(A.term_frequencies(fx.feature_text, "text"), hd)
 
 
 @query("m4_label_tree", """
@@ -51,10 +52,7 @@ def m5_node_examples(fx):
 
 
 @query("m6_gradient_step", f"""with recursive {_TREE_SQL},
-tf as (select question_id, term, count(*) as freq
-       from (select question_id, unnest(list_filter(regexp_split_to_array(lower(body), '[^\\p{{L}}\\p{{N}}]+'),
-             lambda t: t <> '' and not list_contains([{", ".join(repr(w) for w in __import__("tagstream.functions.text", fromlist=["x"]).ENGLISH_STOP_WORDS)}], t))) as term
-             from fx_question) x group by question_id, term),
+{TF_SQL},
 feat as (select question_id, cast(cast(('0x' || substr(md5(term), 1, 8)) as bigint) % {HD} as int) as bucket,
                 cast(sum(freq) as bigint) as value from tf group by question_id, bucket
          union all select question_id, -1, 1 from fx_question),
@@ -140,4 +138,4 @@ def m17_prequential(fx):
 
     tree = ML.label_tree(fx.tag, K)
     root = scratch_path(fx.spark, "prequential")
-    return prequential_replay(fx.question, _labels(fx), tree, root, "PLT", 500, hd=HD, k_tree=K, epochs=1)
+    return prequential_replay(fx.question.join(fx.feature_text, "question_id"), _labels(fx), tree, root, "PLT", 500, hd=HD, k_tree=K, epochs=1)

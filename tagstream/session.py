@@ -102,6 +102,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def dimension(df: DataFrame, name: str) -> DataFrame:
+    """A small derived table written to the shared folder and read again.
+
+    The optimizer's estimate of a derived table follows its inputs, however few rows come out; that
+    of a written one follows its files, so ``maybe_broadcast`` then decides by the measured size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer size estimate of a plan (no job is run)."""
     try:

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagstream.functions.scalar import TS_TEXT_FORMAT, digits_label, part_int
+from tagstream.functions.scalar import TS_TEXT_FORMAT, digits_label, part_int, ts_text
 
 # Result-file attribute layout (position, name, type).
 RESULT_ATTRIBUTES = (
@@ -102,6 +102,45 @@ def read_learner_configs(spark: SparkSession, path: str) -> DataFrame:
                       F.col("value").alias("config"))
 
 
+def _rename_parts(spark: SparkSession, path: str, name) -> None:
+    """Give the part files under ``path/key=value/`` their final names ``name(value, n)``: one metadata
+    call for each file, no data is moved."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen: dict[str, int] = {}
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "*=*/part-*")):
+        part = status.getPath()
+        value = part.getParent().getName().split("=", 1)[1]
+        seen[value] = seen.get(value, -1) + 1
+        fs.rename(part, jvm.org.apache.hadoop.fs.Path(path, name(value, seen[value])))
+
+
+def write_results(df: DataFrame, path: str, prefix: str) -> None:
+    """Result files ``<prefix>-<learner>-<n>.arff``, as ``read_results`` reads them: (learner, question_id,
+    created_on, fmeasure, topk_fmeasure, is_test, is_prequential)."""
+    line = F.concat_ws(",", "question_id", F.concat(F.lit("'"), ts_text("created_on"), F.lit("'")), "fmeasure", "topk_fmeasure",
+                       "is_test", "is_prequential")
+    df.select("learner", line.alias("line")).write.partitionBy("learner").text(path)
+    _rename_parts(df.sparkSession, path, lambda learner, n: f"{prefix}-{learner}-{n}.arff")
+
+
+def write_learner_configs(df: DataFrame, path: str) -> None:
+    """One ``<learner id>.json`` for each row of (learner_id, config)."""
+    df.write.partitionBy("learner_id").text(path)
+    _rename_parts(df.sparkSession, path, lambda learner, n: f"{learner}.json")
+
+
+def write_sparse_arff(header: DataFrame, rows: DataFrame, path: str) -> None:
+    """S5 layout: the attribute lines in order, in one file, and the data lines ``{0 id,i v,...}``."""
+    attr = header.orderBy("attr_index").coalesce(1)  # one line for each attribute
+    attr.select(F.concat(F.lit("@attribute '"), "name", F.lit("' numeric")).alias("line")).write.mode("append").text(path)
+    entry = F.struct("attr_index", F.concat_ws(" ", "attr_index", "val").alias("e"))
+    lines = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    text = F.concat(F.lit("{0 "), F.col("question_id").cast("string"), F.lit(","), F.array_join(F.transform("_e", lambda x: x["e"]), ","), F.lit("}"))
+    lines.select(text.alias("line")).write.mode("append").text(path)
+
+
 def boosted_config_label(config: Column) -> Column:
     """F6 + F18: ``hd-ensembleSize-minEpochs-strategy`` of a boosted-ensemble config; the
     strategy is LCW when aggregating by λ-CW, else MV by majority vote, else FM."""
@@ -127,7 +166,7 @@ def validate_results(spark: SparkSession, df: DataFrame, nominal: Sequence[str]
     columns whose value set is not exactly the domain (checked both ways on distinct values)."""
     expected = [("question_id", "bigint"), ("created_on", "timestamp_ntz"), ("fmeasure", "double"),
                 ("topk_fmeasure", "double"), ("is_test", "string"), ("is_prequential", "string")]
-    got = [(f.name, f.dataType.simpleString()) for f in df.schema.fields if f.name in dict(expected) or True]
+    got = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
     issues = []
     for i, (name, typ) in enumerate(expected):
         if i >= len(got):
@@ -136,6 +175,7 @@ def validate_results(spark: SparkSession, df: DataFrame, nominal: Sequence[str]
             issues.append((i, name, f"name {got[i][0]}"))
         elif got[i][1] != typ:
             issues.append((i, name, f"type {got[i][1]}"))
+    issues += [(i, got[i][0], "unexpected column") for i in range(len(expected), len(got))]
     schema_df = spark.createDataFrame(issues, "position int, column string, problem string")
     dom = spark.createDataFrame([(d,) for d in domain], "v string")
     parts = [schema_df]

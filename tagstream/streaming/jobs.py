@@ -8,20 +8,28 @@ shared checkpoint folder, and the stream's own checkpoint makes it resumable.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagstream.operators.windows import chunk_no
+from tagstream.session import scratch_path
 
 
 def write_feed(df: DataFrame, path: str, batch_size: int, order_col: str = "question_id") -> None:
-    """Lay out an ordered feed: one Parquet file per chunk of ``batch_size`` rows (W6), written
-    in chunk order so the file source replays them oldest first."""
+    """Lay out an ordered feed: one Parquet file per chunk of ``batch_size`` rows.
+
+    The file source replays files by modification time, so the chunks are laid out by one parallel
+    job first and then published one after another (each read is pruned to its own chunk).
+    """
+    spark = df.sparkSession
+    staged = scratch_path(spark, "feed")
     c = chunk_no(df, order_col, batch_size).drop("rn")
-    (c.repartition("chunk_no").sortWithinPartitions(order_col)
-     .write.mode("append").partitionBy("chunk_no").parquet(path))
+    c.repartition("chunk_no").write.partitionBy("chunk_no").parquet(staged)
+    rows = spark.read.schema(c.schema).parquet(staged)
+    last = rows.agg(F.max("chunk_no")).first()[0]
+    for n in range(0 if last is None else last + 1):
+        chunk = rows.filter(F.col("chunk_no") == n).drop("chunk_no").coalesce(1)  # batch_size rows
+        chunk.sortWithinPartitions(order_col).write.mode("append").parquet(f"{path}/chunk_no={n}")
 
 
 def feed(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -58,7 +66,7 @@ def upkeep_vocab_batch(batch: DataFrame, vocab_path: str, name_col: str = "name"
 
     spark = batch.sparkSession
     names = batch.select(F.col(name_col).alias("name"))
-    if os.path.exists(vocab_path) or _exists(spark, vocab_path):
+    if _exists(spark, vocab_path):
         vocab = spark.read.parquet(vocab_path)
     else:
         vocab = spark.createDataFrame([], "index int, name string")
@@ -77,7 +85,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def upkeep_vocab(stream: DataFrame, vocab_path: str, checkpoint: str, name_col: str = "name"):
+def upkeep_vocab(stream: DataFrame, vocab_path: str, checkpoint: str, name_col: str = "name", available_now: bool = False):
     """Keep the vocabulary current as batches arrive (``foreachBatch`` + J8)."""
-    return (stream.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, _id: upkeep_vocab_batch(df, vocab_path, name_col)).start())
+    w = stream.writeStream.option("checkpointLocation", checkpoint)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return (w.foreachBatch(lambda df, _id: upkeep_vocab_batch(df, vocab_path, name_col)).start())

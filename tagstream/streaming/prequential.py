@@ -38,14 +38,16 @@ def evaluate(questions: DataFrame, feats: DataFrame, truth: DataFrame, weights:
 def prequential_step(batch: DataFrame, labels: DataFrame, tree: DataFrame, model_path: str, log_path: str,
                      learner: str, batch_id: int, hd: int = 16384, k_tree: int = 2, epochs: int = 1,
                      topk: int = 5, threshold: float = 0.5) -> None:
-    """M17 for one batch of questions (question_id, body, created_on): T2 rows of the
+    """M17 for one batch of questions (question_id, text, created_on): T2 rows of the
     prequential phase, M6 update of the model, T2 rows of the post-training phase."""
     spark = batch.sparkSession
     questions = batch.select("question_id", "created_on").checkpoint(eager=True)
-    feats = ML.hash_features(A.term_frequencies(batch, "body"), hd).checkpoint(eager=True)
+    feats = ML.hash_features(A.term_frequencies(batch, "text"), hd).checkpoint(eager=True)
     truth = labels.join(questions.select("question_id"), "question_id", "left_semi").select("question_id", "tag_index")
     prev = os.path.join(model_path, f"v={batch_id - 1}")
-    weights = spark.read.parquet(prev) if batch_id > 0 and _exists(spark, prev) else ML.empty_weights(spark)
+    if batch_id > 0 and not _exists(spark, prev):
+        raise FileNotFoundError(f"the model of the batch before {batch_id} is missing: {prev}")
+    weights = spark.read.parquet(prev) if batch_id > 0 else ML.empty_weights(spark)
 
     pre = evaluate(questions, feats, truth, weights, tree, k_tree, topk, threshold).withColumn("is_prequential", F.lit(1))
     ex = ML.node_examples(truth, questions, tree, k_tree)
@@ -60,7 +62,8 @@ def prequential_step(batch: DataFrame, labels: DataFrame, tree: DataFrame, model
     rows = pre.unionByName(post).join(questions, "question_id").select(
         F.lit(learner).alias("learner"), "question_id", "created_on", F.col("is_prequential").cast("int"),
         F.lit(0).alias("is_test"), F.col("is_topk").cast("int"), "units")
-    rows.write.mode("append").parquet(log_path)
+    # one folder for each batch, overwritten: a batch that is replayed logs its rows once
+    rows.write.mode("overwrite").parquet(os.path.join(log_path, f"batch={batch_id}"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -69,6 +72,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def read_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """The logged rows of all batches (none before the first)."""
+    if not _exists(spark, log_path):
+        return spark.createDataFrame([], LOG_SCHEMA)
+    return spark.read.schema(LOG_SCHEMA).parquet(log_path).drop("batch")
+
+
 def prequential_stream(stream: DataFrame, labels: DataFrame, tree: DataFrame, model_path: str, log_path: str,
                        learner: str, checkpoint: str, **kw):
     """M17 as a stream: ``foreachBatch`` over the T1 feed."""
@@ -84,10 +94,10 @@ def prequential_replay(questions: DataFrame, labels: DataFrame, tree: DataFrame,
     from tagstream.operators.windows import chunk_no
 
     spark = questions.sparkSession
-    chunks = chunk_no(questions.select("question_id", "body", "created_on"), "question_id", batch_size).drop("rn")
+    chunks = chunk_no(questions.select("question_id", "text", "created_on"), "question_id", batch_size).drop("rn")
     chunks = chunks.checkpoint(eager=True)
     n = chunks.agg(F.max("chunk_no")).first()[0]
     model_path, log_path = os.path.join(root, "model"), os.path.join(root, "log")
     for b in range(0 if n is None else int(n) + 1):
         prequential_step(chunks.filter(F.col("chunk_no") == b), labels, tree, model_path, log_path, learner, b, **kw)
-    return spark.read.schema(LOG_SCHEMA).parquet(log_path)
+    return read_log(spark, log_path)

@@ -74,6 +74,15 @@ def online_thresholds(scored: DataFrame, n_partitions: int | None = None) -> Dat
     return d.mapInPandas(_threshold_partition, THRESHOLD_OUT)
 
 
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A key's rows of one micro-batch in question order, whatever Arrow batches they come in.
+
+    What is held is bounded by the trigger (``files_per_trigger`` files of the feed's batch size)."""
+    parts = list(rows)
+    if parts:
+        yield pd.concat(parts, ignore_index=True).sort_values("question_id", kind="stable", ignore_index=True)
+
+
 class ThresholdProcessor(StatefulProcessor):
     """Online threshold state per label for a stream of scored rows.  Micro-batches
     arrive in question order (T1); rows inside a batch are sorted by question."""
@@ -83,8 +92,7 @@ class ThresholdProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         a, b = (self.ab.get() if self.ab.exists() else (THRESHOLD_A0, THRESHOLD_B0))
-        for pdf in rows:
-            pdf = pdf.sort_values("question_id")
+        for pdf in _in_order(rows):
             thr, yh, a, b = threshold_steps(pdf["score"].to_numpy(dtype=float), pdf["y"].to_numpy(dtype=float), a, b)
             yield pd.DataFrame({"tag_index": pdf["tag_index"].astype("int32"), "question_id": pdf["question_id"].astype("int64"),
                                 "score": pdf["score"].astype(float), "y": pdf["y"].astype("int32"),
@@ -106,8 +114,7 @@ class RunningTotalProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         total, n = (self.acc.get() if self.acc.exists() else (0, 0))
-        for pdf in rows:
-            pdf = pdf.sort_values("question_id")
+        for pdf in _in_order(rows):
             units = pdf["units"].astype("int64").to_numpy()
             run = total + np.cumsum(units)
             cnt = n + np.arange(1, len(units) + 1)

@@ -83,7 +83,7 @@ def test_prequential_rows(spark, fx, tmpdir_fresh):
     from tagstream.streaming.prequential import prequential_replay
 
     tree = ML.label_tree(fx.tag, 2)
-    log = prequential_replay(fx.question, q_tree._labels(fx), tree, tmpdir_fresh, "PLT", 100, hd=256)
+    log = prequential_replay(fx.question.join(fx.feature_text, "question_id"), q_tree._labels(fx), tree, tmpdir_fresh, "PLT", 100, hd=256)
     n = fx.question.count()
     assert log.count() == 4 * n
     assert log.groupBy("is_prequential", "is_topk").count().count() == 4
