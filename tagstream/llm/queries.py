@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagstream.llm import bytepair, divergence, exact, lattice, lines, mixing, near, personal, secrets, toxicity
+from tagstream.llm import bytepair, divergence, exact, lattice, mixing, near, passages, personal, secrets, toxicity
 from tagstream.llm.common import prepare, read_table
 from tagstream.llm.sql import ORACLE  # noqa: F401
 
@@ -79,7 +79,7 @@ def op7_exact_duplicates(spark, sf_dir):
 
 @query
 def op8_line_dedup(spark, sf_dir):
-    out = lines.dedup_lines(read_table(spark, sf_dir, "documents"))
+    out = passages.dedup_passages(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_gone", "gone_lines", "text")
 
 
