@@ -7,6 +7,13 @@ rejected when a distance is beyond its limit.  Each comparison has a guard: text
 ``MIN_CHARS`` or ``MIN_WORDS`` say too little about a distribution and pass it, and so do languages
 with less than ``MIN_REFERENCE`` words.
 
+The limit of the word distance follows from each language's own documents of the same length (four
+classes an octave of words), as short texts are further from any reference than long ones: their
+median and ``SPREADS`` of their spreads (scaled median deviation), but at most ``TOWARDS_NONE`` of the
+way from the median to the distance of a text with none of the common words.  A length with fewer than
+``MIN_PEERS`` documents takes the limit of the next shorter one that has them; without one, the limit
+is just below the distance of a text without common words.
+
 Native columns only.  A document's work is done in its row (arrays of its own words); only counts by
 language and word are shuffled, after partial sums.
 """
@@ -16,11 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagstream.llm.common import SPACES, prepare, stored, text_of, words_of
+from tagstream.llm.common import SPACES, let, prepare, stored, text_of, words_of
 
-COMMON = 32
+COMMON = 256
+#: The common words lie in so many buckets by hash, so a lookup reads a few of them only.
+BUCKETS = 64
 MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 200, 100, 5000
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.50
+MAX_CLASS_DISTANCE = 0.30
+SPREADS, MIN_SPREAD, TOWARDS_NONE, MIN_PEERS = 4.0, 0.005, 2 / 3, 20
+NEAR_NONE = 0.98
 #: A reference table of more languages than this is joined by shuffle, not broadcast.
 BROADCAST_LANGUAGES = 10_000
 SYMBOLS = "#*$%&|<>"
@@ -43,22 +54,67 @@ def with_classes(df: DataFrame, text_col: str) -> DataFrame:
 CLASS_COLUMNS = [f"n_{n}" for n, _ in CLASSES] + ["n_other"]
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of shares."""
+def _term(a: Column, b: Column) -> Column:
     def half(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(a * 2 / (a + b))).otherwise(F.lit(0.0))
 
-    terms = F.zip_with(p, q, lambda a, b: half(a, b) + half(b, a))
-    total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    return half(a, b) + half(b, a)
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, x: s + x)
+
+
+def _root(total: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def js_distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two arrays of shares."""
+    return _root(_sum(F.zip_with(p, q, _term)))
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(BUCKETS))
+
+
+def _word_distance() -> Column:
+    """Distance of the words of a text (``bins``: numbers of its common words, sorted) to ref_shares.
+
+    A common word that the text lacks adds its whole share, so only those that it has are looked at."""
+    common = _sum("ref_shares")
+    starts = F.array_compact(F.transform("bins", lambda b, i: F.when((i == 0) | (b != F.get("bins", i - 1)), i)))
+
+    def term(s: Column, end: Column) -> Column:
+        q = F.get("ref_shares", F.get("bins", s) - 1)
+        return _term((end - s) / F.col("n_words"), q) - q
+
+    terms = let(starts, lambda at: F.transform(at, lambda s, k: term(s, F.coalesce(F.get(at, k + 1), F.size("bins")))))
+    return _root(_sum(terms) + common + _term((F.col("n_words") - F.size("bins")) / F.col("n_words"), F.lit(1.0) - common))
+
+
+def word_limits(scored: DataFrame) -> DataFrame:
+    """lang, length, word_limit from (lang, length, word_distance, none_distance) rows of all documents.
+
+    Distances are counted by thousandths, so what is grouped again does not grow with the documents."""
+    hist = scored.filter("word_distance is not null").groupBy("lang", "length", F.round("word_distance", 3).alias("d")).agg(
+        F.count("*").alias("n"), F.first("none_distance").alias("none"))
+    hist = stored(hist, "op4-distances")
+    middle = hist.groupBy("lang", "length").agg(F.expr("percentile(d, 0.5, n)").alias("mid"), F.sum("n").alias("peers"), F.first("none").alias("none"))
+    away = hist.join(middle.select("lang", "length", "mid"), ["lang", "length"]).groupBy("lang", "length").agg(F.expr("percentile(abs(d - mid), 0.5, n)").alias("mad"))
+    spread = F.greatest(F.col("mad") * 1.4826, F.lit(MIN_SPREAD))
+    limit = F.least(F.col("mid") + SPREADS * spread, F.col("mid") + TOWARDS_NONE * F.greatest(F.col("none") - F.col("mid"), F.lit(0.0)))
+    shorter = Window.partitionBy("lang").orderBy("length").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    limit = F.last(F.when(F.col("peers") >= MIN_PEERS, limit), ignorenulls=True).over(shorter)
+    return stored(middle.join(away, ["lang", "length"]).select("lang", "length", F.coalesce(limit, F.col("none") * NEAR_NONE).alias("word_limit")), "op4-limits")
+
+
 def _shares(counts: list[Column], total: Column) -> Column:
     return F.array(*[c / total for c in counts])
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """lang, ref_classes, ref_words, ref_shares, ref_total from (lang, text, words) rows of all documents."""
+    """lang, ref_classes, ref_words (by bucket), ref_before, ref_shares, ref_total, none_distance from (lang, text, words) rows of all documents."""
     classes = with_classes(rows.select("lang", "text"), "text").groupBy("lang").agg(*[F.sum(c).alias(c) for c in CLASS_COLUMNS])
     chars = sum((F.col(c) for c in CLASS_COLUMNS[1:]), F.col(CLASS_COLUMNS[0]))
     classes = classes.select("lang", _shares([F.col(c) for c in CLASS_COLUMNS], F.greatest(chars, F.lit(1))).alias("ref_classes"))
@@ -67,10 +123,13 @@ def references(rows: DataFrame) -> DataFrame:
     total = counts.groupBy("lang").agg(F.sum("n").alias("ref_total"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "w")
     top = counts.filter("w is not null").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= COMMON)
-    top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n"))).alias("top")).join(total, "lang")
-    share = F.transform("top", lambda t: t["n"] / F.col("ref_total"))
-    top = top.select("lang", F.col("top.w").alias("ref_words"), share.alias("s"), "ref_total")
-    top = top.select("lang", "ref_words", F.concat("s", F.array(F.lit(1.0) - F.aggregate("s", F.lit(0.0), lambda a, x: a + x))).alias("ref_shares"), "ref_total")
+    top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct(_bucket(F.col("w")).alias("b"), "w", "n"))).alias("top")).join(total, "lang")
+    buckets = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
+    top = top.select("lang", "ref_total", F.transform("top", lambda t: t["n"] / F.col("ref_total")).alias("ref_shares"),
+                     F.transform(buckets, lambda b: F.transform(F.filter("top", lambda t: t["b"] == b), lambda t: t["w"])).alias("ref_words"),
+                     F.transform(buckets, lambda b: F.size(F.filter("top", lambda t: t["b"] < b))).alias("ref_before"))
+    common = _sum("ref_shares")
+    top = top.withColumn("none_distance", _root(common + _term(F.lit(1.0), F.lit(1.0) - common)))
     return stored(classes.join(top, "lang", "left"), "op4-references")
 
 
@@ -105,16 +164,22 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     chars = sum((F.col(c) for c in CLASS_COLUMNS[1:]), F.col(CLASS_COLUMNS[0]))
     enough = F.col("ref_total") >= MIN_REFERENCE
     df = df.withColumn("class_distance", F.when(enough & (chars >= MIN_CHARS), js_distance(_shares([F.col(c) for c in CLASS_COLUMNS], chars), F.col("ref_classes"))))
-    # bin of each common word of the text, then the counts of the bins
-    bins = F.filter(F.transform("words", lambda w: F.array_position("ref_words", w)), lambda b: b > 0)
-    df = df.withColumn("bins", F.when(enough & (F.col("n_words") >= MIN_WORDS), bins))
-    counts = F.transform(F.sequence(F.lit(1), F.size("ref_words")), lambda k: F.size(F.filter("bins", lambda b: b == k)))
-    shares = F.concat(F.transform(counts, lambda c: c / F.col("n_words")), F.array((F.col("n_words") - F.size("bins")) / F.col("n_words")))
-    df = df.withColumn("word_distance", F.when(F.col("bins").isNotNull(), js_distance(shares, F.col("ref_shares"))))
+    # number of each common word of the text, sorted
+    at = lambda w, b: F.array_position(F.get("ref_words", b), w).cast("int")
+    bins = F.transform("words", lambda w: let(_bucket(w), lambda b: let(at(w, b), lambda p: F.when(p > 0, p + F.get("ref_before", b)))))
+    df = df.withColumn("bins", F.when(enough & (F.col("n_words") >= MIN_WORDS), F.sort_array(F.array_compact(bins))))
+    df = df.withColumn("word_distance", F.when(F.col("bins").isNotNull(), _word_distance()))
 
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return df.select(F.col("id").alias(id_col), "n_words", (F.length("text") - F.col("n_space")).cast("long").alias("word_chars"),
-                     (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-                     (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-                     failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "word_distance")
+    scored = df.select("id", "lang", F.floor(4 * F.log2(F.greatest("n_words", F.lit(1)))).cast("int").alias("length"), "none_distance", "n_words",
+                       (F.length("text") - F.col("n_space")).cast("long").alias("word_chars"),
+                       (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                       (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
+                       failed.alias("base_failed"), "class_distance", "word_distance")
+    scored = stored(scored, "op4-scored")
+    limits = word_limits(scored)
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_LANGUAGES else limits
+    far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | F.coalesce(F.col("word_distance") > F.col("word_limit"), F.lit(False))
+    out = scored.join(limits, ["lang", "length"], "left")
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance")

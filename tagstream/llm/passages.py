@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagstream.llm.common import prepare, stored, text_of, words_of
+from tagstream.llm.common import let, prepare, stored, text_of, words_of
 
 MIN_WORDS = 50
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
@@ -29,11 +29,6 @@ RUNS = "array<struct<from:int,to:int>>"
 ALL = 2**31 - 1
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def gram_words(min_words: int) -> int:
     """Words of a gram: the largest power of two that is at most three quarters of a window."""
     n = 1
