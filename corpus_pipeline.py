@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagstream.llm import bytepair, lines, mixing, near, toxicity
-from tagstream.llm.common import prepare, read_table, stored
+from tagstream.llm.common import prepare, read_table, stored, text_of
 from tagstream.llm.queries import MIX_SEED, MIX_WEIGHTS, mix_levels, tokenizer_file
 
 #: Share of the remaining tokens that the mixture is given.  One epoch: what dedup took out stays out.
@@ -35,11 +35,24 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
+    """One row of each group of near copies (five-word shingles, similarity 0.8) stays.
+
+    A document is an id with a text: where an id has several texts each is judged by itself, and of
+    rows that repeat both the first by their other columns stays.  Rows without an id all stay.
+    """
     prepare(spark)
-    found = near.near_duplicates(docs, shingle=5, percent=80)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    named = docs.filter("doc_id is not null")
+    if named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        found = near.near_duplicates(docs, shingle=5, percent=80)
+        return docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # keys in the order of the ids, so the smallest id of a group still stays
+    order = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    named = named.withColumn("__key", F.concat_ws(":", order, F.hex(F.xxhash64(text_of("text")))))
+    named = named.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("r")).select("__key", "r.*")
+    named = stored(named, "pipeline-rows")
+    found = near.near_duplicates(named, shingle=5, percent=80, id_col="__key")
+    kept = named.join(found.filter("not kept").select("__key"), "__key", "left_anti").select(*docs.columns)
+    return kept.union(docs.filter("doc_id is null"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
