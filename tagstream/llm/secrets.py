@@ -2,9 +2,9 @@
 
 Fixed patterns find the base spans.  The method looks at every candidate credential in the corpus,
 the value of a base span or any long mixed token, and counts the distinct repositories and owners
-that hold it.  A value that many owners hold is a widely copied example; a value that one owner
-holds, and that looks random, is a live credential of that owner.  A mixed token that is specific to
-its owner becomes a span of kind ``owned`` unless it overlaps a base span.
+that hold it.  A value that more than ``MAX_OWNERS`` owners or ``MAX_REPOSITORIES`` repositories hold is
+a widely copied example; any other is live.  A live mixed token that looks random (see
+``looks_random``) becomes a span of kind ``owned`` unless it overlaps a base span.
 
 Native columns only.  Candidates are small rows; the counts are by distinct (value, owner,
 repository) with partial sums, so a value that is copied everywhere stays a few rows per task.
@@ -26,6 +26,11 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 8, 16, 32
 TOKEN_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: A value of up to this many owners is specific to them; of more, an example.
 MAX_OWNERS = 2
+#: Likewise of repositories: a value that one owner copies to more is that owner's template.
+MAX_REPOSITORIES = 4
+#: A random token has so many different characters, and so many changes a character between letter and
+#: digit, or between lower case, upper case and digit.  Paths, slugs and identifiers have whole words.
+MIN_DISTINCT, MIN_DIGIT_CHANGES, MIN_CHANGES = 8, 0.12, 0.5
 KINDS = ("assign", "access", "hex", "owned")
 
 
@@ -71,17 +76,29 @@ def candidates(rows: DataFrame) -> DataFrame:
     return found.select("*", base.alias("base"), F.coalesce(_kinded(mixed, 3), none).alias("tokens")).drop("__a", "__b", "__c", "__d")
 
 
+def looks_random(value: Column) -> Column:
+    """Whether a token mixes its characters as random ones do; separators are left out."""
+    bare = F.regexp_replace(value, "[+/_=-]", "")
+    changes = lambda *edges: F.length(F.regexp_replace(bare, "|".join(f"(?<=[{a}])(?=[{b}])" for a, b in edges), " ")) - F.length(bare)
+    digit = changes(("0-9", "A-Za-z"), ("A-Za-z", "0-9"))
+    every = changes(("0-9", "A-Za-z"), ("a-z", "A-Z0-9"), ("A-Z", "a-z0-9"))
+    return (F.size(F.array_distinct(F.split(bare, ""))) >= MIN_DISTINCT) & (
+        (digit >= MIN_DIGIT_CHANGES * F.length(bare)) | (every >= MIN_CHANGES * F.length(bare)))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
+def scan(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text", max_owners: int = MAX_OWNERS,
+         max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, repositories.
 
     ``owner`` and ``repository`` are columns of ``docs``; a null one is a name of its own.  n_live and
-    n_example count the spans (base and owned) whose value at most, or more than, ``max_owners`` owners
-    hold.  Null texts are empty.  Rows that repeat an id have a row each, with the same result.
+    n_example count the spans (base and owned) whose value is live, or an example (held by more than
+    ``max_owners`` owners or ``max_repositories`` repositories).  repositories has the number of distinct
+    repositories of the value of each of ``spans``, comma-joined in their order.  Null texts are empty.  Rows that repeat an id have a row each, with the same result.
     """
     prepare(docs.sparkSession)
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
@@ -94,21 +111,24 @@ def scan(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_
     found = stored(found, "op9-candidates")
     spans = found.select("row", "id", "th", "owner", "repo", F.explode(F.concat("base", "tokens")).alias("s"))
     spans = spans.withColumn("h1", F.xxhash64("s.value")).withColumn("h2", F.hash(F.col("s.value"), F.lit(1)))
-    held = spans.groupBy("h1", "h2", "owner", "repo").agg(F.count("*").alias("uses"))
-    owners = held.groupBy("h1", "h2", "owner").agg(F.count("*").alias("repos"), F.sum("uses").alias("uses"))
-    counts = stored(owners.groupBy("h1", "h2").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("uses").alias("uses")), "op9-counts")
+    held = spans.select("h1", "h2", "owner", "repo").distinct()
+    owners = held.groupBy("h1", "h2", "owner").agg(F.count("*").alias("repos"))
+    counts = stored(owners.groupBy("h1", "h2").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")), "op9-counts")
     judged = spans.select("id", "th", "owner", "repo", "s", "h1", "h2").join(counts, ["h1", "h2"])
-    judged = judged.withColumn("live", F.col("owners") <= max_owners).select("id", "th", "owner", "repo", F.struct("s.start", "s.kind", "s.end", "live").alias("s")).distinct()
+    judged = judged.withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repositories))
+    judged = judged.withColumn("random", (F.col("s.kind") == 3) & looks_random(F.col("s.value")))
+    judged = judged.select("id", "th", "owner", "repo", F.struct("s.start", "s.kind", "s.end", "live", "random", "repos").alias("s")).distinct()
     judged = judged.groupBy("id", "th", "owner", "repo").agg(F.sort_array(F.collect_list("s")).alias("all"))
     judged = judged.withColumnsRenamed({"id": "__id", "th": "__th", "owner": "__owner", "repo": "__repo"})
     out = found.join(judged, found["id"].eqNullSafe(judged["__id"]) & (found["th"] == judged["__th"]) & (found["owner"] == judged["__owner"]) & (found["repo"] == judged["__repo"]), "left")
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,random:boolean,repos:bigint>>")
     out = out.withColumn("all", F.coalesce("all", empty))
     base = F.filter("all", lambda s: s["kind"] < 3)
     apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    out = out.withColumn("shown", F.filter("all", lambda s: (s["kind"] < 3) | (s["live"] & apart(s))))
+    out = out.withColumn("shown", F.filter("all", lambda s: (s["kind"] < 3) | (s["live"] & s["random"] & apart(s))))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return out.select(F.col("id").alias(id_col), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
                       F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("shown")).alias("spans"),
                       F.size(F.filter("shown", lambda s: s["live"])).cast("long").alias("n_live"),
-                      F.size(F.filter(base, lambda s: ~s["live"])).cast("long").alias("n_example"))
+                      F.size(F.filter(base, lambda s: ~s["live"])).cast("long").alias("n_example"),
+                      F.array_join(F.transform("shown", lambda s: s["repos"].cast("string")), ",").alias("repositories"))
