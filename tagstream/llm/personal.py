@@ -42,6 +42,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_SPACES = frozenset("\x20\t\n\x0b\x0c\r")
 _DIGITS = re.compile(r"[0-9]")
 
 
@@ -109,14 +110,25 @@ _BUCKETS = _Bucketed()
 
 
 def _shape(token: str) -> str:
+    """Classes of the characters of the whole token, each run of one class or character as one."""
     out = []
-    for ch in token[:64]:  # the shape of a long token is that of its beginning and its length
+    for ch in token:
         k = "9" if ch.isdigit() else "a" if ch.isalpha() else ch
         if not out or out[-1] != k:
             out.append(k)
     return "".join(out)
 
 
+def _word_before(text: str, at: int) -> str:
+    end = at
+    while end and text[end - 1] in _SPACES:
+        end -= 1
+    start = end
+    while start and text[start - 1] not in _SPACES:
+        start -= 1
+    return text[start:end]
+
+
 class Document:
     """Nodes of a text with features, base labels and edges."""
 
@@ -138,9 +150,9 @@ class Document:
         for i, (a, b) in enumerate(found):
             token = text[a:b].strip(".,;:!?\"'")
             digits = "".join(_DIGITS.findall(token))
-            before = text[max(0, a - 24):a].rsplit(None, 1)
+            before = _word_before(text, a)
             feats = (f"s:{_shape(token)}", f"n:{min(len(token) // 2, 20)}", f"d:{min(len(digits), 20)}", f"@:{'@' in token}",
-                     f".:{min(token.count('.'), 4)}", f"+:{token[:1] == '+'}", f"w:{before[-1].lower()[-12:] if before else ''}", "bias")
+                     f".:{min(token.count('.'), 4)}", f"+:{token[:1] == '+'}", f"w:{before.lower()}", "bias")
             for f in feats:
                 rows.append(i)
                 cols.append(_BUCKETS[f])
