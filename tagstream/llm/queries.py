@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagstream.llm import bytepair, divergence, exact, lattice, mixing, near, passages, personal, secrets, toxicity
+from tagstream.llm import bytepair, caps, divergence, exact, lattice, mixing, near, negatives, passages, personal, secrets, toxicity, turns
 from tagstream.llm.common import prepare, read_table
 from tagstream.llm.sql import ORACLE  # noqa: F401
 
@@ -91,3 +91,20 @@ def op9_secrets(spark, sf_dir):
 @query
 def op10_personal(spark, sf_dir):
     return personal.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_cap_duplicates(spark, sf_dir):
+    return caps.near_vectors(read_table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query
+def op12_repair(spark, sf_dir):
+    conversations = read_table(spark, sf_dir, "conversations")
+    return turns.repair_report(conversations, turns.damaged(conversations))
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
