@@ -4,10 +4,12 @@ laid out in the shared scratch folder, with Parquet results there."""
 from pyspark.sql import functions as F
 
 from tagstream.operators import windows as W
+from tagstream.plans.q_tree import THRESHOLD_SQL, scored_labels
 from tagstream.plans.registry import query
 from tagstream.session import scratch_path
+from tagstream.streaming import carried as C
 from tagstream.streaming import jobs as J
-from tagstream.streaming.state import running_total
+from tagstream.streaming.commits import CommitLog
 
 
 def _source(fx, df, name: str):
@@ -32,6 +34,41 @@ def _complete(fx, stream, name: str):
     return fx.spark.read.schema(stream.schema).parquet(out)
 
 
+#: Micro-batches that the queries cut their tables into.
+FEED_BATCHES = 4
+
+
+def _fed(fx, df, name: str) -> str:
+    """An ordered feed of ``df`` by question in ``FEED_BATCHES`` chunks."""
+    path = scratch_path(fx.spark, f"{name}-feed")
+    J.write_feed(df, path, max(1, -(-df.count() // FEED_BATCHES)))
+    return path
+
+
+def _carried(fx, df, step, name: str) -> str:
+    """The folder of what ``step`` has published over the feed of ``df``."""
+    root, mark = scratch_path(fx.spark, name), scratch_path(fx.spark, f"{name}-mark")
+    J.drained(C.carry(fx.spark, _fed(fx, df, name), step, root, mark))
+    return root
+
+
+@query("t1_feed_stream", """
+select question_id, title, row_no, row_no // ((count(*) over () + 3) // 4) as batch_no
+from (select question_id, title, row_number() over (order by question_id) - 1 as row_no from fx_question) x""")
+def t1_feed_stream(fx):
+    """Every question with its place in the feed and the micro-batch that brought it."""
+    root, mark = scratch_path(fx.spark, "t1-out"), scratch_path(fx.spark, "t1-mark")
+    log = CommitLog(fx.spark, root)
+
+    def took(df, n):
+        out = log.folder("out", n)
+        df.select("question_id", "title", "row_no").write.parquet(out)
+        log.publish(n, {"out": out})
+
+    J.drained(J.each_batch(fx.spark, _fed(fx, fx.question.select("question_id", "title"), "t1"), took, mark))
+    return log.table("out", "question_id long, title string, row_no long").withColumnRenamed("batch", "batch_no")
+
+
 @query("t3_running_avg_stream", """
 select learner, is_prequential, is_topk, avg(units) / cast(50000 as double) as avg_f, count(*) as n
 from fx_log where is_test = 0 group by learner, is_prequential, is_topk""")
@@ -48,9 +85,16 @@ from (select learner, question_id, units,
                case when is_topk = 1 then 'topk' else 'general' end) as category
       from fx_log where is_test = 0) x""")
 def t4_running_total_stream(fx):
-    """T4 (X2): one state for each learner and category; one trigger holds the whole log here."""
+    """T4 (X2): totals carried from micro-batch to micro-batch of an ordered feed, in blocks inside each."""
     long = W.melt_long(fx.result).select("learner", "category", "question_id", "units")
-    return _appended(fx, running_total(_source(fx, long, "t4-in")), "t4-out")
+    return C.read_totals(fx.spark, _carried(fx, long, C.running_totals_batch, "t4"))
+
+
+@query("t5_threshold_stream", THRESHOLD_SQL)
+def t5_threshold_stream(fx):
+    """T5 (X3): thresholds over an ordered feed of scored rows, with a state per label and micro-batch."""
+    root = _carried(fx, scored_labels(fx), C.thresholds_batch, "t5")
+    return C.threshold_rows(CommitLog(fx.spark, root))
 
 
 @query("t6_vocabulary_stream", """

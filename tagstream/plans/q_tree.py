@@ -11,6 +11,7 @@ from tagstream.plans.registry import query
 
 HD = 16384  # hashed dimension (the reference's smaller grid value)
 K = 2  # branching factor of the single-tree setting
+M14_BITS = 10  # rows of a block (as a power of two): the candidate scores of a question are few
 
 _TREE_SQL = """params as (select count(*) as m from fx_tag),
 lab as (select qt.question_id, t.tag_index + (select m - 1 from params) as node
@@ -115,18 +116,34 @@ def m20_predict(fx):
     return predict(fx.question, feats, w, tree, fx.tag, K, k=5, threshold=0.5)
 
 
-@query("m14_online_thresholds")
+THRESHOLD_SQL = """with recursive s as (
+  select ls.tag_index, ls.question_id, ls.score_milli / cast(1000 as double) as score, case when qt.tag is null then 0 else 1 end as y,
+         row_number() over (partition by ls.tag_index order by ls.question_id) as i
+  from fx_label_score ls join fx_tag t on t.tag_index = ls.tag_index
+  left join fx_question_tag qt on qt.question_id = ls.question_id and qt.tag = t.name),
+steps(tag_index, i, a, b, question_id, score, y, threshold, y_hat) as (
+  select distinct tag_index, cast(0 as bigint), cast(1 as bigint), cast(2 as bigint), cast(null as bigint), cast(null as double), 0, cast(null as double), 0 from s
+  union all
+  select tag_index, i, a + y * y_hat, b + y + y_hat, question_id, score, y, threshold, y_hat
+  from (select s.tag_index, s.i, p.a, p.b, s.question_id, s.score, s.y, cast(p.a as double) / p.b as threshold,
+          case when s.score >= cast(p.a as double) / p.b then 1 else 0 end as y_hat
+        from steps p join s on s.tag_index = p.tag_index and s.i = p.i + 1) x)
+select tag_index, question_id, score, y, threshold, y_hat from steps where i > 0"""
+
+
+def scored_labels(fx):
+    """(tag_index, question_id, score, y) of every candidate label."""
+    truth = fx.question_tag.join(fx.tag, F.col("name") == F.col("tag")).select("question_id", "tag_index", F.lit(1).alias("y"))
+    return fx.label_score.join(truth, ["question_id", "tag_index"], "left").select(
+        "tag_index", "question_id", (F.col("score_milli") / F.lit(1000.0)).alias("score"), F.coalesce("y", F.lit(0)).alias("y"))
+
+
+@query("m14_online_thresholds", THRESHOLD_SQL)
 def m14_online_thresholds(fx):
-    """M14 batch replay over every (label, question) score in question order (rows-only; the
-    recurrence is unit-tested against a plain loop)."""
-    from tagstream.streaming.state import online_thresholds
-
-    truth = fx.question_tag.join(fx.tag, F.col("name") == F.col("tag")).select(
-        "question_id", "tag_index", F.lit(1).alias("y"))
-    s = fx.label_score.join(truth, ["question_id", "tag_index"], "left").select(
-        "tag_index", "question_id", (F.col("score_milli") / F.lit(1000.0)).alias("score"),
-        F.coalesce("y", F.lit(0)).alias("y"))
-    return online_thresholds(s)
+    """M14 batch replay over every (label, question) score in question order, by blocks."""
+    from tagstream.operators.thresholds import thresholds
+
+    return thresholds(scored_labels(fx), bits=M14_BITS)
 
 
 @query("m17_prequential")

@@ -1,7 +1,7 @@
 """Structured Streaming jobs.
 
 The online loop of the reference — take the next questions, score them, train on them, log both
-evaluations — becomes a file-source stream of ordered question batches processed by
+evaluations — becomes an ordered feed (``feed.py``) of question batches processed by
 ``foreachBatch``; every piece of state (vocabulary, model weights, metric log) is a table in the
 shared checkpoint folder, and the stream's own checkpoint makes it resumable.
 """
@@ -11,32 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagstream.operators.windows import chunk_no
-from tagstream.session import scratch_path
-
-
-def write_feed(df: DataFrame, path: str, batch_size: int, order_col: str = "question_id") -> None:
-    """Lay out an ordered feed: one Parquet file per chunk of ``batch_size`` rows.
-
-    The file source replays files by modification time, so the chunks are laid out by one parallel
-    job first and then published one after another (each read is pruned to its own chunk).
-    """
-    spark = df.sparkSession
-    staged = scratch_path(spark, "feed")
-    c = chunk_no(df, order_col, batch_size).drop("rn")
-    c.repartition("chunk_no").write.partitionBy("chunk_no").parquet(staged)
-    rows = spark.read.schema(c.schema).parquet(staged)
-    last = rows.agg(F.max("chunk_no")).first()[0]
-    for n in range(0 if last is None else last + 1):
-        chunk = rows.filter(F.col("chunk_no") == n).drop("chunk_no").coalesce(1)  # batch_size rows
-        chunk.sortWithinPartitions(order_col).write.mode("append").parquet(f"{path}/chunk_no={n}")
-
-
-def feed(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """The ordered micro-batch feed (``maxFilesPerTrigger`` files per batch).  Resuming is the
-    stream checkpoint's job: a restarted query continues after the last committed batch."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(path))
+from tagstream.streaming.feed import drained, each_batch, feed, write_feed  # noqa: F401  (T1)
 
 
 def running_avg_stream(events: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Prequential evaluation (M17): score each batch, train on it, score it again, log both phases.
 
-One micro-batch step runs as Spark jobs over the batch; the model (weights) and the metric log
-are Parquet tables in the shared checkpoint folder, so ``foreachBatch`` over the T1 feed resumes
-from the last committed batch after a failure.
+One micro-batch step runs as Spark jobs over the batch's chunk of the feed; the model's versions and the
+metric rows are Parquet tables in the shared checkpoint folder, published together per batch in a commit
+log, so ``foreachBatch`` over the T1 feed resumes from the last published batch after a failure.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tagstream.operators import aggregates as A
 from tagstream.operators import multilabel as ML
 from tagstream.operators import quality as Q
+from tagstream.streaming.commits import CommitLog
+from tagstream.streaming.feed import drained, each_batch, write_feed
 
 LOG_SCHEMA = ("learner string, question_id long, created_on timestamp_ntz, is_prequential int, is_test int, "
               "is_topk int, units long")
@@ -39,15 +41,23 @@ def prequential_step(batch: DataFrame, labels: DataFrame, tree: DataFrame, model
                      learner: str, batch_id: int, hd: int = 16384, k_tree: int = 2, epochs: int = 1,
                      topk: int = 5, threshold: float = 0.5) -> None:
     """M17 for one batch of questions (question_id, text, created_on): T2 rows of the
-    prequential phase, M6 update of the model, T2 rows of the post-training phase."""
+    prequential phase, M6 update of the model, T2 rows of the post-training phase.
+
+    The new model and the batch's rows are published together in the commit log at ``log_path``; a
+    batch that is replayed after that does nothing, one that failed before it starts from the model of
+    the batch before."""
     spark = batch.sparkSession
-    questions = batch.select("question_id", "created_on").checkpoint(eager=True)
+    log = CommitLog(spark, log_path)
+    if log.read(batch_id) is not None:
+        return
+    previous = log.read(batch_id - 1)
+    if batch_id > 0 and previous is None:
+        raise FileNotFoundError(f"the model of the batch before {batch_id} is missing in {log_path}")
+    batch = batch.checkpoint(eager=True)  # the batch's own chunk of the feed, read once
+    questions = batch.select("question_id", "created_on")
     feats = ML.hash_features(A.term_frequencies(batch, "text"), hd).checkpoint(eager=True)
-    truth = labels.join(questions.select("question_id"), "question_id", "left_semi").select("question_id", "tag_index")
-    prev = os.path.join(model_path, f"v={batch_id - 1}")
-    if batch_id > 0 and not _exists(spark, prev):
-        raise FileNotFoundError(f"the model of the batch before {batch_id} is missing: {prev}")
-    weights = spark.read.parquet(prev) if batch_id > 0 else ML.empty_weights(spark)
+    truth = labels.join(questions.select("question_id"), "question_id", "left_semi").select("question_id", "tag_index").checkpoint(eager=True)
+    weights = spark.read.parquet(previous["model"]) if previous else ML.empty_weights(spark)
 
     pre = evaluate(questions, feats, truth, weights, tree, k_tree, topk, threshold).withColumn("is_prequential", F.lit(1))
     ex = ML.node_examples(truth, questions, tree, k_tree)
@@ -57,47 +67,39 @@ def prequential_step(batch: DataFrame, labels: DataFrame, tree: DataFrame, model
     for t in range(epochs):
         w = ML.gradient_step(matrix, n_node, w, n_w, 1.0 / (1.0 + batch_id * epochs + t)).checkpoint(eager=True)
         n_w = w.count()
-    w.write.mode("overwrite").parquet(os.path.join(model_path, f"v={batch_id}"))
+    record = {"model": CommitLog(spark, model_path).folder("versions", batch_id), "log": log.folder("rows", batch_id)}
+    w.write.parquet(record["model"])
+    w = spark.read.parquet(record["model"])
     post = evaluate(questions, feats, truth, w, tree, k_tree, topk, threshold).withColumn("is_prequential", F.lit(0))
     rows = pre.unionByName(post).join(questions, "question_id").select(
         F.lit(learner).alias("learner"), "question_id", "created_on", F.col("is_prequential").cast("int"),
         F.lit(0).alias("is_test"), F.col("is_topk").cast("int"), "units")
-    # one folder for each batch, overwritten: a batch that is replayed logs its rows once
-    rows.write.mode("overwrite").parquet(os.path.join(log_path, f"batch={batch_id}"))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    rows.write.parquet(record["log"])
+    log.publish(batch_id, record)
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    """The logged rows of all batches (none before the first)."""
-    if not _exists(spark, log_path):
-        return spark.createDataFrame([], LOG_SCHEMA)
-    return spark.read.schema(LOG_SCHEMA).parquet(log_path).drop("batch")
+    """The logged rows of all published batches (none before the first)."""
+    return CommitLog(spark, log_path).table("log", LOG_SCHEMA).drop("batch")
 
 
-def prequential_stream(stream: DataFrame, labels: DataFrame, tree: DataFrame, model_path: str, log_path: str,
+def prequential_stream(spark: SparkSession, feed_path: str, labels: DataFrame, tree: DataFrame, model_path: str, log_path: str,
                        learner: str, checkpoint: str, **kw):
-    """M17 as a stream: ``foreachBatch`` over the T1 feed."""
+    """M17 as a stream over the micro-batches of the T1 feed."""
     def run(df: DataFrame, batch_id: int) -> None:
-        prequential_step(df, labels, tree, model_path, log_path, learner, batch_id, **kw)
+        prequential_step(df.select("question_id", "text", "created_on"), labels, tree, model_path, log_path, learner, batch_id, **kw)
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).start()
+    return each_batch(spark, feed_path, run, checkpoint)
 
 
 def prequential_replay(questions: DataFrame, labels: DataFrame, tree: DataFrame, root: str, learner: str,
                        batch_size: int, **kw) -> DataFrame:
-    """M17 batch replay: the questions in id order, ``batch_size`` per step (W6 chunks)."""
-    from tagstream.operators.windows import chunk_no
-
+    """M17 over a whole table: the questions become an ordered feed (T1) of ``batch_size`` rows a chunk,
+    whose micro-batches read their own chunk only.  Started again on the same ``root``, it goes on."""
     spark = questions.sparkSession
-    chunks = chunk_no(questions.select("question_id", "text", "created_on"), "question_id", batch_size).drop("rn")
-    chunks = chunks.checkpoint(eager=True)
-    n = chunks.agg(F.max("chunk_no")).first()[0]
+    feed_path = os.path.join(root, "feed")
+    if not CommitLog(spark, feed_path).numbers():
+        write_feed(questions.select("question_id", "text", "created_on"), feed_path, batch_size)
     model_path, log_path = os.path.join(root, "model"), os.path.join(root, "log")
-    for b in range(0 if n is None else int(n) + 1):
-        prequential_step(chunks.filter(F.col("chunk_no") == b), labels, tree, model_path, log_path, learner, b, **kw)
+    drained(prequential_stream(spark, feed_path, labels, tree, model_path, log_path, learner, os.path.join(root, "mark"), **kw))
     return read_log(spark, log_path)

@@ -1,9 +1,8 @@
-"""Order-dependent per-key state: online thresholds (M14, T5, X3) and running F totals.
+"""Per-key state processors: online thresholds (X3) and running F totals.
 
-Batch replay (M14) streams each partition through ``mapInPandas`` after a shuffle by label and a
-sort by (label, question): the recurrence is sequential per label by definition, but rows arrive
-in Arrow batches, so a label's history is never held in memory at once.  The stream forms keep
-the same state in ``transformWithStateInPandas`` value states.
+They keep a key's state in ``transformWithStateInPandas`` value states and hold the rows of one key and
+one micro-batch, which the ordered feed bounds by its chunks.  ``carried.py`` has the forms of T4 and T5
+that also split a key's rows over tasks; the batch replay (M14) is in ``operators/thresholds.py``.
 """
 
 from __future__ import annotations
@@ -17,61 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-# Initial online threshold state τ = a / b (a = 1, b = 2).
-THRESHOLD_A0 = 1.0
-THRESHOLD_B0 = 2.0
-
-THRESHOLD_OUT = "tag_index int, question_id long, score double, y int, threshold double, y_hat int"
-
-
-def threshold_steps(scores: np.ndarray, ys: np.ndarray, a: float, b: float):
-    """Run the online F-measure threshold recurrence over one label's rows in order.
-
-    ŷ = [score ≥ a/b];  a += y·ŷ;  b += y + ŷ.  Returns (thresholds, ŷ, a, b)."""
-    n = len(scores)
-    thr = np.empty(n)
-    yh = np.empty(n, dtype=np.int32)
-    for i in range(n):
-        t = a / b
-        h = 1 if scores[i] >= t else 0
-        thr[i] = t
-        yh[i] = h
-        a += ys[i] * h
-        b += ys[i] + h
-    return thr, yh, a, b
-
-
-def _threshold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    state: dict[int, tuple[float, float]] = {}
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        out = []
-        # rows are sorted by (label, question); split the batch into label runs
-        labels = pdf["tag_index"].to_numpy()
-        cuts = np.flatnonzero(np.diff(labels)) + 1
-        for seg in np.split(np.arange(len(pdf)), cuts):
-            lab = int(labels[seg[0]])
-            a, b = state.get(lab, (THRESHOLD_A0, THRESHOLD_B0))
-            part = pdf.iloc[seg]
-            thr, yh, a, b = threshold_steps(part["score"].to_numpy(dtype=float), part["y"].to_numpy(dtype=float), a, b)
-            state[lab] = (a, b)
-            out.append(pd.DataFrame({"tag_index": part["tag_index"].astype("int32").to_numpy(),
-                                     "question_id": part["question_id"].astype("int64").to_numpy(),
-                                     "score": part["score"].astype(float).to_numpy(),
-                                     "y": part["y"].astype("int32").to_numpy(),
-                                     "threshold": thr, "y_hat": yh}))
-        yield pd.concat(out, ignore_index=True)
-
-
-def online_thresholds(scored: DataFrame, n_partitions: int | None = None) -> DataFrame:
-    """M14 (batch replay): per label, in question order, the threshold in force before each row
-    and the resulting decision.  ``scored``: (tag_index, question_id, score, y)."""
-    n = n_partitions or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = (scored.select(F.col("tag_index").cast("int"), F.col("question_id").cast("long"),
-                       F.col("score").cast("double"), F.col("y").cast("int"))
-         .repartition(n, "tag_index").sortWithinPartitions("tag_index", "question_id"))
-    return d.mapInPandas(_threshold_partition, THRESHOLD_OUT)
+from tagstream.operators.thresholds import A0, B0, OUT, thresholds
+from tagstream.operators.thresholds import steps as threshold_steps
+
+THRESHOLD_A0, THRESHOLD_B0 = float(A0), float(B0)
+THRESHOLD_OUT = OUT
+
+
+def online_thresholds(scored: DataFrame) -> DataFrame:
+    """M14 (batch replay): per label, in question order, the threshold in force before each row and the
+    resulting decision, replayed by blocks.  ``scored``: (tag_index, question_id, score, y)."""
+    return thresholds(scored)
 
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -44,8 +44,8 @@ def test_feed_replays_in_order(spark, tmpdir_fresh):
         J.write_feed(df, path, 100)
         seen = []
         s = J.feed(spark, path, "question_id long, chunk_no long")
-        (s.writeStream.trigger(availableNow=True).option("checkpointLocation", os.path.join(tmpdir_fresh, "mark"))
-         .foreachBatch(lambda b, _: seen.append(sorted(r.question_id for r in b.collect()))).start().awaitTermination())
+        J.drained(s.writeStream.option("checkpointLocation", os.path.join(tmpdir_fresh, "mark"))
+                  .foreachBatch(lambda b, _: seen.append(sorted(r.question_id for r in b.collect()))).start())
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
     assert seen == [list(range(k, k + 100)) for k in range(0, 1200, 100)]
