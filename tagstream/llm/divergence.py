@@ -165,9 +165,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     enough = F.col("ref_total") >= MIN_REFERENCE
     df = df.withColumn("class_distance", F.when(enough & (chars >= MIN_CHARS), js_distance(_shares([F.col(c) for c in CLASS_COLUMNS], chars), F.col("ref_classes"))))
     # number of each common word of the text, sorted
-    at = lambda w, b: F.array_position(F.get("ref_words", b), w).cast("int")
-    bins = F.transform("words", lambda w: let(_bucket(w), lambda b: let(at(w, b), lambda p: F.when(p > 0, p + F.get("ref_before", b)))))
-    df = df.withColumn("bins", F.when(enough & (F.col("n_words") >= MIN_WORDS), F.sort_array(F.array_compact(bins))))
+    common = F.filter("words", lambda w: F.array_contains(F.get("ref_words", _bucket(w)), w))
+    bins = F.transform(common, lambda w: F.array_position(F.get("ref_words", _bucket(w)), w).cast("int") + F.get("ref_before", _bucket(w)))
+    df = df.withColumn("bins", F.when(enough & (F.col("n_words") >= MIN_WORDS), F.sort_array(bins)))
     df = df.withColumn("word_distance", F.when(F.col("bins").isNotNull(), _word_distance()))
 
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
