@@ -1,67 +1,33 @@
-"""Porter stemming (F5, X1), written from the published algorithm (M. F. Porter, "An algorithm for
-suffix stripping", Program 14(3), 1980) with the two rule changes of the author's reference C
-version (``bli`` → ``ble`` in place of ``abli`` → ``able``, and ``logi`` → ``log``).
+"""Porter stemming (F5, X1) as column expressions, from the published algorithm (M. F. Porter, "An
+algorithm for suffix stripping", Program 14(3), 1980) with the two rule changes of the author's reference
+C version (``bli`` → ``ble`` in place of ``abli`` → ``able``, and ``logi`` → ``log``).
 
-It runs as a vectorised pandas UDF over the *distinct* vocabulary only; the stems are joined back
-to the token rows, so Python sees each term once however often it occurs.
+A word's letters are first marked so that one regular expression can tell vowels from consonants: a y at
+the beginning or after a vowel is a consonant and becomes Y.  The measure of a stem, that is how often a
+run of vowels is followed by a consonant, is then a pattern.  Each step finds its longest suffix with one
+pattern that is anchored at the end, and looks at what is left.
+
+The steps run on the *distinct* vocabulary; the stems are joined back to counted terms, so a term is
+stemmed once however often it occurs.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_VOWELS = frozenset("aeiou")
-
-
-def _is_cons(w: str, i: int) -> bool:
-    ch = w[i]
-    if ch in _VOWELS:
-        return False
-    if ch == "y":
-        return i == 0 or not _is_cons(w, i - 1)
-    return True
-
-
-def _measure(stem: str) -> int:
-    """Number of vowel→consonant transitions, the m of [C](VC){m}[V]."""
-    m, prev_vowel = 0, False
-    for i in range(len(stem)):
-        c = _is_cons(stem, i)
-        if c and prev_vowel:
-            m += 1
-        prev_vowel = not c
-    return m
-
-
-def _has_vowel(stem: str) -> bool:
-    return any(not _is_cons(stem, i) for i in range(len(stem)))
-
+from collections.abc import Callable
 
-def _double_cons(w: str) -> bool:
-    return len(w) >= 2 and w[-1] == w[-2] and _is_cons(w, len(w) - 1)
-
-
-def _cvc(w: str) -> bool:
-    if len(w) < 3:
-        return False
-    n = len(w)
-    return _is_cons(w, n - 3) and not _is_cons(w, n - 2) and _is_cons(w, n - 1) and w[-1] not in "wxy"
-
-
-def _replace_m(w: str, rules: tuple[tuple[str, str], ...], min_m: int) -> str:
-    """Apply the rule of the longest matching suffix, if its stem has measure > min_m."""
-    for suf, rep in rules:
-        if w.endswith(suf):
-            stem = w[: len(w) - len(suf)]
-            return stem + rep if _measure(stem) > min_m else w
-    return w
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+# Patterns over marked letters.
+VOWEL, CONSONANT = "[aeiouy]", "[^aeiouy]"
+ONCE = f"^{CONSONANT}*{VOWEL}+{CONSONANT}"  # measure above 0
+TWICE = f"{ONCE}+{VOWEL}+{CONSONANT}"  # measure above 1
+SHORT = f"{CONSONANT}{VOWEL}[^aeiouywxY]$"  # consonant, vowel, consonant other than w, x, y
+# Marking: a y that is a consonant, then every second one of what is left in a run.
+MARKS = (("(^|[aeiou])y", "Y"), ("yy", "yY"))
 
 # Suffix rules of steps 2, 3 and 4 (longest match within a step wins; the lists
-# are in the paper's order, and matching picks the longest candidate below).
+# are in the paper's order).
 _STEP2 = (
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
     ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
@@ -79,93 +45,75 @@ _STEP4 = (
 )
 
 
-def _longest_first(rules):
-    return tuple(sorted(rules, key=lambda r: -len(r[0] if isinstance(r, tuple) else r)))
-
-
-_STEP2_L = _longest_first(_STEP2)
-_STEP3_L = _longest_first(_STEP3)
-_STEP4_L = _longest_first(_STEP4)
-
-
-def _step1ab(w: str) -> str:
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("ss"):
-        pass
-    elif w.endswith("s"):
-        w = w[:-1]
-
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-        return w
-    for suf in ("ed", "ing"):
-        if w.endswith(suf):
-            stem = w[: -len(suf)]
-            if not _has_vowel(stem):
-                return w
-            w = stem
-            if w.endswith(("at", "bl", "iz")):
-                return w + "e"
-            if _double_cons(w) and w[-1] not in "lsz":
-                return w[:-1]
-            if _measure(w) == 1 and _cvc(w):
-                return w + "e"
-            return w
-    return w
-
-
-def _step1c(w: str) -> str:
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        return w[:-1] + "i"
-    return w
-
-
-def _step4(w: str) -> str:
-    for suf in _STEP4_L:
-        if w.endswith(suf):
-            stem = w[: len(w) - len(suf)]
-            if _measure(stem) > 1 and (suf != "ion" or (stem and stem[-1] in "st")):
-                return stem
-            return w
-    return w
-
-
-def _step5(w: str) -> str:
-    if w.endswith("e"):
-        stem = w[:-1]
-        m = _measure(stem)
-        if m > 1 or (m == 1 and not _cvc(stem)):
-            w = stem
-    if w.endswith("ll") and _measure(w) > 1:
-        w = w[:-1]
-    return w
-
-
-def stem(word: str) -> str:
-    """Porter stem of a lower-case word; words of one or two letters are left alone."""
-    if word is None:
-        return None
-    if len(word) <= 2:
-        return word
-    w = _step1ab(word)
-    w = _step1c(w)
-    w = _replace_m(w, _STEP2_L, 0)
-    w = _replace_m(w, _STEP3_L, 0)
-    w = _step4(w)
-    w = _step5(w)
-    return w
-
-
-@F.pandas_udf(T.StringType())
-def porter_stem(terms: pd.Series) -> pd.Series:
-    """Vectorised stemming (Arrow batches)."""
-    return terms.map(stem)
+
+
+def ending(suffixes) -> str:
+    """Pattern of the longest of these suffixes: a search finds the leftmost, so longest, one."""
+    return f"({'|'.join(suffixes)})$"
+
+
+def marked(w: Column) -> Column:
+    w = F.regexp_replace(w, MARKS[0][0], f"$1{MARKS[0][1]}")
+    return F.regexp_replace(w, *MARKS[1])
+
+
+def _cut(w: Column, n: int | Column) -> Column:
+    return F.left(w, F.length(w) - (F.lit(n) if isinstance(n, int) else n))
+
+
+def _step1a(w: Column) -> Column:
+    return F.when(w.rlike("(sses|ies)$"), _cut(w, 2)).when(w.rlike("[^s]s$|^s$"), _cut(w, 1)).otherwise(w)
+
+
+def _step1b(w: Column) -> Column:
+    past = F.when(w.rlike("ed$"), _cut(w, 2)).when(w.rlike("ing$"), _cut(w, 3))
+    left = marked(past)
+    twice = (F.right(past, F.lit(1)) == F.substring(past, -2, 1)) & (F.length(past) >= 2) & left.rlike("[^aeiouylsz]$")
+    mended = (F.when(past.rlike("(at|bl|iz)$"), F.concat(past, F.lit("e"))).when(twice, _cut(past, 1))
+              .when(left.rlike(ONCE) & ~left.rlike(TWICE) & left.rlike(SHORT), F.concat(past, F.lit("e"))).otherwise(past))
+    return (F.when(w.rlike("eed$"), F.when(marked(_cut(w, 3)).rlike(ONCE), _cut(w, 1)).otherwise(w))
+            .when(past.isNotNull() & left.rlike(VOWEL), mended).otherwise(w))
+
+
+def _step1c(w: Column) -> Column:
+    return F.when(w.rlike("y$") & marked(_cut(w, 1)).rlike(VOWEL), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
+
+
+def _rules(rules) -> Callable[[Column], Column]:
+    def step(w: Column) -> Column:
+        suffix = F.regexp_extract(w, ending([s for s, _ in rules]), 1)
+        stem = _cut(w, F.length(suffix))
+        new = F.lit("")
+        for s, r in rules:
+            new = F.when(suffix == s, F.lit(r)).otherwise(new)
+        return F.when((suffix != "") & marked(stem).rlike(ONCE), F.concat(stem, new)).otherwise(w)
+    return step
+
+
+def _step4(w: Column) -> Column:
+    suffix = F.regexp_extract(w, ending(_STEP4), 1)
+    stem = _cut(w, F.length(suffix))
+    goes = (suffix != "") & marked(stem).rlike(TWICE) & ((suffix != "ion") | stem.rlike("[st]$"))
+    return F.when(goes, stem).otherwise(w)
+
+
+def _step5a(w: Column) -> Column:
+    stem = marked(_cut(w, 1))
+    return F.when(w.rlike("e$") & (stem.rlike(TWICE) | (stem.rlike(ONCE) & ~stem.rlike(SHORT))), _cut(w, 1)).otherwise(w)
+
+
+def _step5b(w: Column) -> Column:
+    return F.when(w.rlike("ll$") & marked(w).rlike(TWICE), _cut(w, 1)).otherwise(w)
+
+
+STEPS = (_step1a, _step1b, _step1c, _rules(_STEP2), _rules(_STEP3), _step4, _step5a, _step5b)
 
 
 def stem_terms(vocab: DataFrame, term_col: str = "term", out: str = "stem") -> DataFrame:
-    """stems of a distinct vocabulary (term → stem), to be joined back to token rows."""
-    return vocab.select(term_col).distinct().withColumn(out, porter_stem(F.col(term_col)))
+    """F5 (X1): stems of a distinct vocabulary of lower-case words (term → stem), to be joined back to terms.
+
+    Words of one or two letters are left alone; a null term has a null stem."""
+    words = vocab.select(F.col(term_col)).distinct().withColumn(out, F.col(term_col))
+    for step in STEPS:
+        words = words.withColumn(out, step(F.col(out)))
+    return words.withColumn(out, F.when(F.length(term_col) <= 2, F.col(term_col)).otherwise(F.col(out)))

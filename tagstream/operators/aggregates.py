@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tagstream.functions import text as TX
 from tagstream.functions.scalar import md5_fraction
-from tagstream.session import maybe_broadcast
+from tagstream.session import dimension, maybe_broadcast
 
 F_SCALE = 50000
 EPOCH = "1970-01-01 00:00:00"
@@ -35,15 +35,17 @@ def term_tokens(df: DataFrame, text_col: str, key: str = "question_id", drop_sto
 
 
 def term_frequencies(df: DataFrame, text_col: str, key: str = "question_id", stem: bool = False) -> DataFrame:
-    """A1: (key, term, freq).  With ``stem`` the F5 stems replace the terms: the pandas UDF runs on
-    the distinct vocabulary only and is joined back."""
-    t = term_tokens(df, text_col, key)
-    if stem:
-        from tagstream.functions.porter import stem_terms
-
-        stems = stem_terms(t)  # distinct terms → stem
-        t = t.join(stems, "term").select(key, F.col("stem").alias("term"))
-    return t.groupBy(key, "term").agg(F.count(F.lit(1)).cast("int").alias("freq"))
+    """A1: (key, term, freq).  With ``stem`` the F5 stems replace the terms: they are made of the distinct
+    vocabulary and joined to the counted terms."""
+    counted = term_tokens(df, text_col, key).groupBy(key, "term").agg(F.count(F.lit(1)).cast("int").alias("freq"))
+    if not stem:
+        return counted
+    from tagstream.functions.porter import stem_terms
+
+    counted = dimension(counted, "a1-counted")  # read for the vocabulary and for the join
+    stems = dimension(stem_terms(counted), "a1-stems")
+    return (counted.join(maybe_broadcast(stems), "term").groupBy(key, F.col("stem").alias("term"))
+            .agg(F.sum("freq").cast("int").alias("freq")))
 
 
 def vocabulary(df: DataFrame, col: str, out: str = "name") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tagstream.functions import porter as PS
 from tagstream.functions import text as TX
 from tagstream.functions.scalar import hash_bucket
 from tagstream.operators import aggregates as A
@@ -11,21 +12,29 @@ from tagstream.plans.fixtures import FIXTURE_SQL
 from tagstream.plans.registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in TX.ENGLISH_STOP_WORDS)
-_HTML = r"""trim(regexp_replace(
-  replace(replace(replace(replace(replace(replace(
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace({x},
+_STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({x},
       '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'),
       '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'),
       '(?s)<!--.*?-->', ' ', 'g'),
-      '<[^>]*>', ' ', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
-  '\s+', ' ', 'g'))"""
-_TOKENS = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
-_TERMS = "list_filter(" + _TOKENS + ", lambda t: not list_contains([" + _STOP.replace("{", "{{").replace("}", "}}") + "], t))"
+      '<[^>]*>', ' ', 'g')"""
+_NAMES = "map {" + ", ".join(f"'{n}': " + (f"'{c}'" if c != "'" else "chr(39)") for n, c in TX.entity_table().items()) + "}"
+_REF = TX.REFERENCE
+_NUMBER = f"""case when not regexp_matches(p, '{_REF}') or p[1] <> '#' then null
+  when lower(p[2]) = 'x' then ('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1))::bigint else regexp_extract(p, '^#([0-9]+)', 1)::bigint end"""
+_CHARS = f"""case when not regexp_matches(r.p, '{_REF}') then null when r.n is null then {_NAMES}[regexp_extract(r.p, '{_REF}', 1)]
+  when r.n = 0 or r.n > 1114111 or r.n between 55296 and 57343 then chr(65533) when r.n = 160 then ' ' else chr(r.n::int) end"""
+_DECODED = f"""list_transform(list_transform(string_split(s, '&')[2:], lambda p: {{'p': p, 'n': {_NUMBER}}}),
+  lambda r: coalesce({_CHARS} || substr(r.p, strpos(r.p, ';') + 1), '&' || r.p))"""
 
 
 def html_sql(x: str) -> str:
-    return _HTML.replace("{x}", x)
+    """F1 of a column, character references by the same table as in Spark."""
+    return f"""(select trim(regexp_replace(case when contains(s, '&') then string_split(s, '&')[1] || array_to_string({_DECODED}, '') else s end, '\\s+', ' ', 'g'))
+  from (select {_STRIPPED.replace('{x}', x)} as s) one)"""
+
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+_TERMS = "list_filter(" + _TOKENS + ", lambda t: not list_contains([" + _STOP.replace("{", "{{").replace("}", "}}") + "], t))"
 
 
 def tokens_sql(x: str) -> str:
@@ -141,7 +150,50 @@ def m3_label_vectors(fx):
     return label_vectors(R.encode(fx.question_tag, fx.tag, "tag", name="name", index="tag_index", out="tag_index"))
 
 
-@query("f5_stemmed_frequencies")
+def _marked(w: str) -> str:
+    (first, y), (run, yy) = PS.MARKS
+    return f"regexp_replace(regexp_replace({w}, '{first}', '\\1{y}', 'g'), '{run}', '{yy}', 'g')"
+
+
+def _is(w: str, pattern: str) -> str:
+    return f"regexp_matches({w}, '{pattern}')"
+
+
+def _cut(n) -> str:
+    return f"substr(w, 1, len(w) - {n})"
+
+
+def _suffix_step(rules: list[tuple[str, str]], measure: str, guard: str = "true") -> str:
+    """The longest suffix of the rules, replaced if its stem has the measure."""
+    whens = " ".join(f"when suf = '{a}' then '{b}'" for a, b in rules)
+    return f"""case when suf <> '' and {_is(_marked(_cut('len(suf)')), measure)} and {guard} then {_cut('len(suf)')} || case {whens} end else w end"""
+
+
+_ED = f"case when w like '%ed' then {_cut(2)} when w like '%ing' then {_cut(3)} end"
+_STEM_STEPS = [
+    ("null", f"case when {_is('w', '(sses|ies)$')} then {_cut(2)} when w like '%s' and w not like '%ss' then {_cut(1)} else w end"),
+    (_ED, f"""case when w like '%eed' then case when {_is(_marked(_cut(3)), PS.ONCE)} then {_cut(1)} else w end
+      when suf is null or not {_is(_marked('suf'), PS.VOWEL)} then w
+      when {_is('suf', '(at|bl|iz)$')} then suf || 'e'
+      when len(suf) > 1 and right(suf, 1) = left(right(suf, 2), 1) and {_is(_marked('suf'), '[^aeiouylsz]$')} then left(suf, len(suf) - 1)
+      when {_is(_marked('suf'), PS.ONCE)} and not {_is(_marked('suf'), PS.TWICE)} and {_is(_marked('suf'), PS.SHORT)} then suf || 'e' else suf end"""),
+    ("null", f"case when w like '%y' and {_is(_marked(_cut(1)), PS.VOWEL)} then {_cut(1)} || 'i' else w end"),
+    (f"regexp_extract(w, '{PS.ending([a for a, _ in PS._STEP2])}', 1)", _suffix_step(PS._STEP2, PS.ONCE)),
+    (f"regexp_extract(w, '{PS.ending([a for a, _ in PS._STEP3])}', 1)", _suffix_step(PS._STEP3, PS.ONCE)),
+    (f"regexp_extract(w, '{PS.ending(PS._STEP4)}', 1)",
+     _suffix_step([(a, "") for a in PS._STEP4], PS.TWICE, f"(suf <> 'ion' or {_is(_cut('len(suf)'), '[st]$')})")),
+    (_marked(_cut(1)), f"case when w like '%e' and ({_is('suf', PS.TWICE)} or ({_is('suf', PS.ONCE)} and not {_is('suf', PS.SHORT)})) then {_cut(1)} else w end"),
+    ("null", f"case when w like '%ll' and {_is(_marked('w'), PS.TWICE)} then {_cut(1)} else w end"),
+]
+STEMS_SQL = "stem0 as (select distinct term, term as w from tf),\n" + ",\n".join(
+    f"stem{k} as (select term, {step} as w from (select term, w, {suf} as suf from stem{k - 1}) x)" for k, (suf, step) in enumerate(_STEM_STEPS, 1))
+
+
+@query("f5_stemmed_frequencies", f"""
+with {TF_SQL},
+{STEMS_SQL}
+select question_id, case when len(term) <= 2 then term else w end as term, cast(sum(freq) as int) as freq
+from tf join stem{len(_STEM_STEPS)} using (term) group by 1, 2""")
 def f5_stemmed_frequencies(fx):
-    """F5 (X1) + A1: stemmed term frequencies (rows-only; the stems are checked by unit vectors)."""
+    """F5 (X1) + A1: stemmed term frequencies; the distinct vocabulary is stemmed by column expressions."""
     return A.term_frequencies(fx.feature_text, "text", stem=True)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagstream.functions import text as TX
-from tagstream.functions.porter import stem
+from tagstream.functions.porter import stem_terms
 from tagstream.operators.aggregates import term_frequencies
 
 
@@ -44,7 +44,7 @@ def test_stop_words_keep_duplicates_and_order(spark):
     assert df.select(TX.drop_stop(TX.tokens("t"))).first()[0] == ["b", "b", "c"]
 
 
-@pytest.mark.parametrize("word,expected", [
+VECTORS = [
     ("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"),
     ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"),
     ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"),
@@ -52,9 +52,31 @@ def test_stop_words_keep_duplicates_and_order(spark):
     ("sensitiviti", "sensit"), ("triplicate", "triplic"), ("hopeful", "hope"), ("goodness", "good"),
     ("revival", "reviv"), ("allowance", "allow"), ("adoption", "adopt"), ("probate", "probat"),
     ("controll", "control"), ("roll", "roll"), ("purpose", "purpos"), ("testing", "test"),
-])
-def test_porter_vectors(word, expected):
-    assert stem(word) == expected
+]
+
+
+@pytest.fixture(scope="module")
+def stems(spark):
+    """Stems of the vectors and of words whose y is now a vowel, now a consonant."""
+    words = [w for w, _ in VECTORS] + ["yyying", "syzygy", "by", "ed", "sayyying", "toying", "été", "s", "ss", "ies", "eed", "ing", "agreement", "onion", "hissing", "fizzed"]
+    return {r.term: r.stem for r in stem_terms(spark.createDataFrame([(w,) for w in words] + [(None,), ("cats",)], "term string")).collect()}
+
+
+@pytest.mark.parametrize("word,expected", VECTORS)
+def test_porter_vectors(stems, word, expected):
+    assert stems[word] == expected
+
+
+def test_porter_edges(stems):
+    assert stems[None] is None and stems["by"] == "by" and stems["ed"] == "ed" and stems["ing"] == "ing" and stems["eed"] == "eed"
+    assert stems["toying"] == "toi" and stems["hissing"] == "hiss" and stems["fizzed"] == "fizz" and stems["onion"] == "onion" and stems["agreement"] == "agreement"
+
+
+def test_character_references(spark):
+    text = "a &amp; b &#233;&#xE9;&#x1F600;&#0;&#xD800; &copy;&amp;lt; &nosuch; &nbsp;x&#160;y & z &CounterClockwiseContourIntegral;&NotEqualTilde;&"
+    df = spark.createDataFrame([(text,), (None,), ("none",)], "t string")
+    got = [r[0] for r in df.select(TX.decode_entities("t")).collect()]
+    assert got == ["a & b éé\U0001f600\ufffd\ufffd ©&lt; &nosuch;  x y & z ∳≂̸&", None, "none"]
 
 
 def test_html_text(spark):
