@@ -10,26 +10,20 @@ Data layout (all long-form DataFrames):
   tree      (node, parent, depth, tag_index)
   weights   (node, bucket, w); bucket −1 holds the node bias
 
-Training is full-batch gradient descent.  The training matrix (question, node, y, bucket, value)
-is written once, hash-partitioned by question and sorted by (question, node); an epoch is then a
-broadcast of the (size-checked) weights, margins per (question, node) by a hash aggregate and a
-shuffled hash join back (neither needs an exchange or a sort), the sigmoid, and one gradient
-``groupBy(node, bucket).sum`` that is partially aggregated
-map-side — so the root node, which sees every question, is never a single task — followed by a
-reliable ``checkpoint()`` of the new weights to cut lineage.
+Training is full-batch gradient descent over packed questions (``packed.py``).  The long form of a step
+(``train_matrix``, ``gradient_step``) is for weights that live in tables only.
 """
 
 from __future__ import annotations
 
 import math
-import os
-import time
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagstream.functions.scalar import hash_bucket
-from tagstream.session import checkpoint_dir, maybe_broadcast, scratch_path, write_bucketed
+from tagstream.operators import packed
+from tagstream.session import checkpoint_dir, dimension, maybe_broadcast, scratch_path, write_bucketed
 
 
 # --- features and labels -----------------------------------------------------------------------
@@ -177,29 +171,22 @@ def node_counts(examples: DataFrame) -> DataFrame:
 
 def train_nodes(examples: DataFrame, features: DataFrame, questions: DataFrame, epochs: int = 30,
                 gamma: float = 1.0, lam: float = 1.0, key: str = "question_id") -> DataFrame:
-    """M6: ``epochs`` full-batch steps with step size γ / (1 + λ·t).  The training matrix is
-    written once as a bucketed table in the shared checkpoint folder, and every epoch's weights are
-    written there as a Parquet table and read back, so lineage never grows and a lost executor
-    costs one epoch at most."""
+    """M6: ``epochs`` full-batch steps with step size γ / (1 + λ·t) over packed questions (``packed.py``).
+    Every epoch's weights are written to the shared checkpoint folder and read back, so lineage never
+    grows and a lost executor costs one epoch at most."""
     spark = examples.sparkSession
     checkpoint_dir(spark)
-    feats = with_bias(features, questions, key)
-    matrix = train_matrix(examples, feats, key)
-    n_node = node_counts(examples).checkpoint(eager=True)
-    w, n_w = empty_weights(spark), 0
-    run = scratch_path(spark, "weights")
+    rows = packed.pack(features, questions, examples, key)
+    n_node = dimension(node_counts(examples), "node-counts")
+    nodes, width = (n_node.agg(F.max("node")).first()[0] or 0) + 1, packed.width_of(rows)
+    w, run = None, scratch_path(spark, "weights")
     for t in range(epochs):
-        t0 = time.time()
-        lr = gamma / (1.0 + lam * t)
         # each epoch's weights are a Parquet table in the shared folder: reading it back starts
         # the next epoch from a plan with no lineage at all
         path = f"{run}/epoch={t}"
-        gradient_step(matrix, n_node, w, n_w, lr, key).write.mode("overwrite").parquet(path)
+        packed.step(rows, n_node, w, nodes, gamma / (1.0 + lam * t), width).write.mode("overwrite").parquet(path)
         w = spark.read.parquet(path)
-        n_w = w.count()  # from the Parquet footers; sizes the next broadcast
-        if os.environ.get("TAGSTREAM_TRACE"):
-            print(f"epoch {t}: {time.time() - t0:.1f}s, {n_w} weights", flush=True)
-    return w
+    return w if w is not None else empty_weights(spark)
 
 
 # --- scoring -----------------------------------------------------------------------------------
@@ -249,8 +236,15 @@ def score_needed(questions: DataFrame, features: DataFrame, weights: DataFrame,
                  low: float | None, key: str = "question_id", label: str = "tag_index") -> DataFrame:
     """Every label at or above ``low`` and the ``k`` best labels of each question, among others.
 
-    A beam finds k labels of each question; nothing below the least of them can be among the k
-    best, and nothing below ``low`` can be positive, so what is below both is not expanded."""
+    Where the tree's weights fit into one block, each question's row is searched best node first.  For a
+    larger tree the levels are joined: a beam finds k labels of each question; nothing below the least of
+    them can be among the k best, and nothing below ``low`` can be positive, so what is below both is not
+    expanded."""
+    internal, total, _ = tree_params(tree, label)
+    rows = packed.pack(features, questions, key=key)
+    width = packed.width_of(rows, weights)
+    if packed.fits(total, width):
+        return packed.search_labels(rows, weights, internal, total, tree_k, k, low if low is not None else 0.0, width, key, label)
     found = score_labels(questions, features, weights, tree, tree_k, key=key, label=label, beam=k)
     least = F.sort_array(F.collect_list("prob"), asc=False)  # at most k a level
     bound = found.groupBy(key).agg(least.alias("_p")).filter(F.size("_p") >= k).select(key, F.log(F.get("_p", F.lit(k - 1))).alias("bound"))

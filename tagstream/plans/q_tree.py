@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from tagstream.operators import aggregates as A
 from tagstream.operators import multilabel as ML
+from tagstream.operators import packed as PK
 from tagstream.operators import quality as Q
 from tagstream.operators import relational as R
 from tagstream.plans.q_text import TF_SQL
 from tagstream.plans.registry import query
+from tagstream.session import dimension
 
 HD = 16384  # hashed dimension (the reference's smaller grid value)
 K = 2  # branching factor of the single-tree setting
@@ -52,68 +54,102 @@ def m5_node_examples(fx):
     return ML.node_examples(_labels(fx), fx.question, tree, K)
 
 
-@query("m6_gradient_step", f"""with recursive {_TREE_SQL},
-{TF_SQL},
+_FEAT_SQL = f"""{TF_SQL},
 feat as (select question_id, cast(cast(('0x' || substr(md5(term), 1, 8)) as bigint) % {HD} as int) as bucket,
                 cast(sum(freq) as bigint) as value from tf group by question_id, bucket
-         union all select question_id, -1, 1 from fx_question),
+         union all select question_id, -1, 1 from fx_question)"""
+
+
+def _first_step_sql(rate: float) -> str:
+    """w1: the weights after one step of this size from zero."""
+    return f"""{_FEAT_SQL},
 g as (select question_id, node, 0.5 - y as g from ex),
 nn as (select node, count(*) as n_node from ex group by node),
 gw as (select g.node, f.bucket, sum(g.g * f.value) as s from g join feat f on f.question_id = g.question_id
-       group by g.node, f.bucket)
-select gw.node, gw.bucket, 0.0 - 1.0 * (gw.s / nn.n_node) as w from gw join nn on nn.node = gw.node""")
-def m6_gradient_step(fx):
-    """M6, one epoch from zero weights (step size γ/(1 + λ·0) = 1): the SQL-checkable step
-    (bucket −1 is the node bias)."""
+       group by g.node, f.bucket),
+w1 as (select gw.node, gw.bucket, 0.0 - cast({rate!r} as double) * (gw.s / nn.n_node) as w from gw join nn on nn.node = gw.node)"""
+
+
+def _examples(fx):
+    """(tree, examples, packed questions, rows of each node)."""
     tree = ML.label_tree(fx.tag, K)
-    ex = ML.node_examples(_labels(fx), fx.question, tree, K)
-    feats = ML.with_bias(_features(fx), fx.question)
-    matrix = ML.train_matrix(ex, feats, materialize=False)
-    w1 = ML.gradient_step(matrix, ML.node_counts(ex), ML.empty_weights(fx.spark), 0, 1.0)
-    return w1.select("node", F.col("bucket").cast("int").alias("bucket"), "w")
+    ex = dimension(ML.node_examples(_labels(fx), fx.question, tree, K), "examples")
+    rows = PK.pack(_features(fx), fx.question, ex)
+    return tree, ex, rows, dimension(ML.node_counts(ex), "node-counts")
+
 
+def _one_step(fx, rate: float):
+    """(tree, packed questions, rows of each node, nodes, width, weights after one step from zero)."""
+    tree, _, rows, n_node = _examples(fx)
+    _, nodes, _ = ML.tree_params(tree)
+    width = PK.width_of(rows)
+    return tree, rows, n_node, nodes, width, PK.step(rows, n_node, None, nodes, rate, width)
 
-_MODELS: dict = {}
 
+@query("m6_gradient_step", f"with recursive {_TREE_SQL}, {_first_step_sql(1.0)} select node, bucket, w from w1")
+def m6_gradient_step(fx):
+    """M6, one epoch from zero weights (step size γ/(1 + λ·0) = 1): the SQL-checkable step
+    (bucket −1 is the node bias)."""
+    return _one_step(fx, 1.0)[-1]
 
-def _trained(fx, epochs=30):
-    """Train once per (session, data folder): m6_train_nodes, m9 and m20 share the stored model
-    (the weights are a checkpointed table)."""
-    key = (id(fx.spark), fx.t.root, epochs)
-    if key not in _MODELS:
-        _MODELS[key] = _train(fx, epochs)
-    return _MODELS[key]
 
+#: Step size of the models that are checked beyond the first step: margins stay where σ is not flat.
+RATE = 1e-5
 
-def _train(fx, epochs):
-    tree = ML.label_tree(fx.tag, K)
-    ex = ML.node_examples(_labels(fx), fx.question, tree, K)
-    feats = _features(fx)
-    w = ML.train_nodes(ex, feats, fx.question, epochs=epochs)
-    return tree, feats, w
+
+@query("m6_second_step", f"""with recursive {_TREE_SQL}, {_first_step_sql(RATE)},
+z as (select e.question_id, e.node, sum(w1.w * f.value) as z from ex e join feat f on f.question_id = e.question_id
+      join w1 on w1.node = e.node and w1.bucket = f.bucket group by e.question_id, e.node),
+g2 as (select e.question_id, e.node, 1 / (1 + exp(-coalesce(z.z, 0))) - e.y as g from ex e left join z on z.question_id = e.question_id and z.node = e.node),
+d as (select g2.node, f.bucket, sum(g2.g * f.value) / any_value(nn.n_node) as d from g2 join feat f on f.question_id = g2.question_id
+      join nn on nn.node = g2.node group by g2.node, f.bucket)
+select w1.node, w1.bucket, round(1e5 * (w1.w - cast({RATE!r} as double) / 2 * d.d), 5) as w from w1 join d on d.node = w1.node and d.bucket = w1.bucket""")
+def m6_second_step(fx):
+    """M6, the second epoch (step size γ/(1 + λ·1)) from the weights of the first; w in units of 1e-5."""
+    _, rows, n_node, nodes, width, w1 = _one_step(fx, RATE)
+    w = PK.step(rows, n_node, dimension(w1, "weights"), nodes, RATE / 2, width)
+    return w.select("node", "bucket", F.round(F.col("w") * 1e5, 5).alias("w"))
 
 
 @query("m6_train_nodes")
 def m6_train_nodes(fx):
     """M6: 30 epochs (the reference's fixed setting); rows-only (weights of every node)."""
-    _, _, w = _trained(fx)
-    return w
+    _, ex, _, _ = _examples(fx)
+    return ML.train_nodes(ex, _features(fx), fx.question, epochs=30)
 
 
-@query("m9_score_labels")
-def m9_score_labels(fx):
-    """M9: every label's path probability for every question (cut 0), model of 30 epochs."""
-    tree, feats, w = _trained(fx)
-    return ML.score_labels(fx.question, feats, w, tree, K, cut=0.0)
+_SCORES_SQL = f"""with recursive {_TREE_SQL}, {_first_step_sql(RATE)},
+z as (select f.question_id, w1.node, sum(w1.w * f.value) as z from feat f join w1 on w1.bucket = f.bucket group by f.question_id, w1.node),
+nodes as (select unnest(range(0, (select 2 * m - 1 from params))) as node),
+lp as (select q.question_id, n.node, ln(greatest(1 / (1 + exp(-coalesce(z.z, 0))), 1e-300)) as lp
+       from fx_question q cross join nodes n left join z on z.question_id = q.question_id and z.node = n.node),
+path(question_id, node, lp) as (select question_id, node, lp from lp where node = 0
+       union all select l.question_id, l.node, p.lp + l.lp from path p join lp l on l.question_id = p.question_id
+       and l.node in (2 * p.node + 1, 2 * p.node + 2)),
+scores as (select question_id, cast(node - (select m - 1 from params) as int) as tag_index, exp(lp) as prob
+           from path where node >= (select m - 1 from params))"""
+#: Probability from which m9 returns labels.
+CUT = 0.02
 
 
-@query("m20_predict")
+@query("m9_score_labels", f"{_SCORES_SQL} select question_id, tag_index, round(prob, 6) as prob from scores where prob >= {CUT}")
+def m9_score_labels(fx):
+    """M9: the labels of every question with a path probability of at least ``CUT``, by the model of one step."""
+    tree, rows, _, nodes, width, w = _one_step(fx, RATE)
+    internal, _, _ = ML.tree_params(tree)
+    found = PK.search_labels(rows, dimension(w, "weights"), internal, nodes, K, 0, CUT, width)
+    return found.select("question_id", "tag_index", F.round("prob", 6).alias("prob"))
+
+
+@query("m20_predict", f"""{_SCORES_SQL},
+ranked as (select s.question_id, t.name, s.prob, row_number() over (partition by s.question_id order by s.prob desc, s.tag_index) as r
+           from scores s join fx_tag t on t.tag_index = s.tag_index)
+select question_id, coalesce(list(name order by name) filter (prob >= 0.5), []) as general, list(name order by r) filter (r <= 5) as topk
+from ranked group by question_id""")
 def m20_predict(fx):
-    """General set (probability ≥ 0.5) and ranked top-5 set per question, decoded."""
-    from tagstream.operators.multilabel import predict
-
-    tree, feats, w = _trained(fx)
-    return predict(fx.question, feats, w, tree, fx.tag, K, k=5, threshold=0.5)
+    """General set (probability ≥ 0.5) and ranked top-5 set per question, decoded, by the model of one step."""
+    tree, _, _, _, _, w = _one_step(fx, RATE)
+    return ML.predict(fx.question, _features(fx), dimension(w, "weights"), tree, fx.tag, K, k=5, threshold=0.5)
 
 
 THRESHOLD_SQL = """with recursive s as (

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tagstream.operators import aggregates as A
 from tagstream.operators import multilabel as ML
+from tagstream.operators import packed
 from tagstream.operators import quality as Q
+from tagstream.session import dimension
 from tagstream.streaming.commits import CommitLog
 from tagstream.streaming.feed import drained, each_batch, write_feed
 
@@ -61,12 +63,11 @@ def prequential_step(batch: DataFrame, labels: DataFrame, tree: DataFrame, model
 
     pre = evaluate(questions, feats, truth, weights, tree, k_tree, topk, threshold).withColumn("is_prequential", F.lit(1))
     ex = ML.node_examples(truth, questions, tree, k_tree)
-    matrix = ML.train_matrix(ex, ML.with_bias(feats, questions))
-    n_node = ML.node_counts(ex).checkpoint(eager=True)
-    w, n_w = weights, weights.count()
+    rows, n_node = packed.pack(feats, questions, ex), dimension(ML.node_counts(ex), "node-counts")
+    _, nodes, _ = ML.tree_params(tree)
+    w, width = weights, packed.width_of(rows, weights)
     for t in range(epochs):
-        w = ML.gradient_step(matrix, n_node, w, n_w, 1.0 / (1.0 + batch_id * epochs + t)).checkpoint(eager=True)
-        n_w = w.count()
+        w = dimension(packed.step(rows, n_node, w, nodes, 1.0 / (1.0 + batch_id * epochs + t), width), "weights")
     record = {"model": CommitLog(spark, model_path).folder("versions", batch_id), "log": log.folder("rows", batch_id)}
     w.write.parquet(record["model"])
     w = spark.read.parquet(record["model"])

@@ -23,10 +23,10 @@ THRESHOLD_A0, THRESHOLD_B0 = float(A0), float(B0)
 THRESHOLD_OUT = OUT
 
 
-def online_thresholds(scored: DataFrame) -> DataFrame:
+def online_thresholds(scored: DataFrame, bits: int | None = None) -> DataFrame:
     """M14 (batch replay): per label, in question order, the threshold in force before each row and the
     resulting decision, replayed by blocks.  ``scored``: (tag_index, question_id, score, y)."""
-    return thresholds(scored)
+    return thresholds(scored, bits=bits)
 
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
