@@ -35,7 +35,7 @@ from tagstream.llm.near import components
 
 ROUNDS = 16
 #: Share of pairs at exactly the wanted cosine that share a cap.
-RECALL = 0.995
+RECALL = 0.999
 #: Codewords of a half: smallest and largest size, and filters for each vector in between.
 SMALLEST, LARGEST, FILTERS_A_VECTOR = 64, 1024, 4
 #: Leaders come from a sample of this many vectors (fewer of long ones), dense means this many links in it.
@@ -43,7 +43,7 @@ SAMPLE_ROWS, SAMPLE_VALUES, DENSE = 16384, 1 << 21, 12
 #: Standard deviations beyond the expected distance of two sketches at the wanted cosine.
 MARGIN = 4.5
 SEED = 20
-_PLANTED = 2000
+_PLANTED = 4000
 
 
 class Code:
@@ -142,7 +142,7 @@ def unit_rows(values: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), d)
 
 
 def _by_length(column: pa.Array):

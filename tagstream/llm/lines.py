@@ -105,14 +105,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     input columns of their names.
     """
     gone = repeated_runs(docs, id_col, text_col, min_words, gram_words)
-    gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     plain = docs.drop("n_lines", "n_gone", "gone_lines")
-    out = plain.withColumn("__hash", F.xxhash64(text_of(text_col)))
-    out = out.join(gone, (out[id_col] == gone["__id"]) & (out["__hash"] == gone["__th"]), "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n", -1)
+    own = plain.select(F.struct(*plain.columns).alias("r"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
+    out = own.join(gone, ["id", "th"], "left").withColumn("lines", F.split("text", "\n", -1))
     none = F.array().cast("array<int>")
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(F.array_contains(F.coalesce("__gone", none), i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return out.select(F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_gone"),
-                      F.coalesce(F.array_join(F.col("__gone").cast("array<string>"), ","), F.lit("")).alias("gone_lines"),
-                      *[text.alias(c) if c == text_col else F.col(c) for c in plain.columns])
+    kept = F.filter(F.transform("lines", lambda x, i: F.when(F.array_contains(F.coalesce("gone", none), i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
+    text = F.when(F.col("gone").isNull(), F.col("r")[text_col]).otherwise(F.array_join(kept, "\n"))
+    return out.select(F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_gone"),
+                      F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("gone_lines"),
+                      *[text.alias(c) if c == text_col else F.col("r")[c].alias(c) for c in plain.columns])

@@ -71,12 +71,15 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple, float],
     ``levels``: level name -> column, root first.  A null name counts as the empty name.  The budget
     is ``budget_share`` of all tokens.  Tokens are words unless ``token_col`` says otherwise; a text
     without tokens is taken with its whole epochs or its prefix.  Equal places in the order (repeated
-    ids) are taken together or not at all.  A null id has a place like any other.
+    ids) are taken together or not at all.  A null id has a place like any other.  The new columns
+    replace input columns of their names.
     """
     prepare(docs.sparkSession)
     names = [f"mix_{k}" for k in levels]
     tokens = F.size(words_of(text_of(text_col))) if token_col is None else token_col
-    rows = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(f"mix_{k}") for k, c in levels.items()], tokens.cast("long").alias("mix_tokens"))
+    own = [c for c in docs.columns if c not in (*names, "mix_tokens", "mix_epoch")]
+    rows = docs.select(F.struct(*own).alias("mix_row"), F.col(id_col).alias("mix_id"),
+                       *[F.coalesce(c.cast("string"), F.lit("")).alias(f"mix_{k}") for k, c in levels.items()], tokens.cast("long").alias("mix_tokens"))
     leaves = stored(rows.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("docs")), "op3-leaves")
     whole = leaves.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     budget = int((whole["t"] or 0) * budget_share)
@@ -87,7 +90,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple, float],
     plan = stored(plan, "op3-plan")
     small = (lambda d: F.broadcast(d)) if whole["n"] <= BROADCAST_LEAVES else (lambda d: d)
 
-    placed = rows.join(small(plan), names).withColumn("mix_place", position(seed, F.col("mix_full"), F.col(id_col)))
+    placed = rows.join(small(plan), names).withColumn("mix_place", position(seed, F.col("mix_full"), F.col("mix_id")))
     placed = placed.withColumn("mix_bucket", F.floor(F.col("mix_place") / F.lit(float(16 ** _HEX)) * F.col("mix_buckets")).cast("long"))
     totals = placed.groupBy(*names, "mix_bucket").agg(F.sum("mix_tokens").alias("t"), F.first("mix_rest").alias("mix_rest"))
     run = Window.partitionBy(*names).orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -96,7 +99,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple, float],
     cut = stored(cut, "op3-cut")
     # a leaf that is used up in all its epochs has no prefix to take: its rest is 0, and its cut the first bucket with tokens
     placed = placed.join(small(cut), names, "left")
-    out = [*docs.columns, *names, "mix_tokens", "mix_epoch"]
+    out = [*[F.col("mix_row")[c].alias(c) for c in own], *names, "mix_tokens", "mix_epoch"]
     whole_epochs = placed.filter("mix_full > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), (F.col("mix_full") - 1).cast("int")))).select(*out)
     part = placed.filter((F.col("mix_full") < max_epochs) & (F.col("mix_rest") > 0)).withColumn("mix_epoch", F.col("mix_full").cast("int"))
     before = part.filter(F.col("mix_cut").isNull() | (F.col("mix_bucket") < F.col("mix_cut"))).select(*out)

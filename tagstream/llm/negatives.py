@@ -196,7 +196,7 @@ def search(block: Block, anchors: np.ndarray, sizes: list[int], ids, labels, sam
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), d)
 
 
 def _celled(books: dict[int, Books]):
@@ -293,7 +293,8 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     sample = rows.select(mix.alias("o"), double).orderBy("o").limit(min(SAMPLE_ROWS, max(1, SAMPLE_VALUES // width))).collect()
     books: dict[int, Books] = {}
     for d in {len(r["vec"]) for r in sample}:
-        q = whole(np.array([r["vec"] for r in sample if len(r["vec"]) == d], dtype=np.float64).reshape(-1, d))
+        own = [r["vec"] for r in sample if len(r["vec"]) == d]
+        q = whole(np.array(own, dtype=np.float64).reshape(len(own), d))
         if d and q.dtype != object:
             books[d] = Books(q)
 

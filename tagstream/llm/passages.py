@@ -95,14 +95,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # of equal texts, the first
     marks = stored(marks.groupBy("th", "p0", "p1", "f").agg(F.min("id").alias("id"), F.max("id").alias("id1")), "op8-marks")
     often = stored(marks.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f"), "op8-fingerprints")
-    ranges = marks.join(often, "f").groupBy("id", "th").agg(F.collect_list(F.struct("p0", "p1")).alias("ranges"))
+    ranges = marks.join(often, "f").groupBy("id", "th").agg(F.collect_list(F.struct("p0", "p1", "f")).alias("ranges"))
     some = rows.join(stored(ranges, "op8-ranges"), ["id", "th"]).withColumn("words", words_of(F.col("text")))
     keyed = let(window_keys(F.col("words"), min_words), lambda keys: F.flatten(F.transform("ranges", lambda r: F.transform(
-        F.slice(keys, r["p0"] + 1, r["p1"] - r["p0"]), lambda key, k: F.struct(key.alias("key"), (r["p0"] + k).alias("i"))))))
+        F.slice(keys, r["p0"] + 1, r["p1"] - r["p0"]), lambda key, k: F.struct(key.alias("key"), r["f"].alias("f"), (r["p0"] + k).alias("i"))))))
     windows = stored(some.select("id", "th", F.inline(keyed)), "op8-windows")
-    first = windows.groupBy("key").agg(F.min(F.struct("id", "i", "th")).alias("p"), F.count("*").alias("n")).filter("n > 1")
-    first = stored(first.select("key", F.col("p.id").alias("id0"), F.col("p.i").alias("i0"), F.col("p.th").alias("th0")), "op8-firsts")
-    later = windows.join(first, "key").filter("id <> id0 or th <> th0 or i <> i0")
+    first = windows.groupBy("key", "f").agg(F.min(F.struct("id", "i", "th")).alias("p"), F.count("*").alias("n")).filter("n > 1")
+    first = stored(first.select("key", "f", F.col("p.id").alias("id0"), F.col("p.i").alias("i0"), F.col("p.th").alias("th0")), "op8-firsts")
+    later = windows.join(first, ["key", "f"]).filter("id <> id0 or th <> th0 or i <> i0")
     at = later.groupBy("id", "th").agg(F.sort_array(F.collect_set("i")).alias("at"))
     begin = F.filter("at", lambda p, k: F.coalesce(p > F.get("at", k - 1) + min_words, F.lit(True)))
     end = F.filter("at", lambda p, k: F.coalesce(p + min_words < F.get("at", k + 1), F.lit(True)))
@@ -145,14 +145,12 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts is so many documents.  The three new columns replace input columns of their names.
     """
     gone = repeated_passages(docs, id_col, text_col, min_words)
-    gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
     plain = docs.drop("n_lines", "n_gone", "gone_lines")
-    out = plain.withColumn("__hash", F.xxhash64(text_of(text_col)))
-    out = out.join(gone, (out[id_col] == gone["__id"]) & (out["__hash"] == gone["__th"]), "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    out = out.withColumn("__left", F.when(F.col("__runs").isNotNull(), let(lines, lambda x: _cut(x, F.col("__runs")))))
-    indexes = F.array_compact(F.transform("__left", lambda x, i: F.when(x.isNull(), i)))
-    text = F.when(F.col("__left").isNull(), F.col(text_col)).otherwise(F.array_join("__left", "\n"))
-    return out.select(F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size(indexes), F.lit(0)).alias("n_gone"),
+    own = plain.select(F.struct(*plain.columns).alias("r"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
+    out = own.join(gone, ["id", "th"], "left").withColumn("lines", F.split("text", "\n", -1))
+    out = out.withColumn("left", F.when(F.col("runs").isNotNull(), _cut(F.col("lines"), F.col("runs"))))
+    indexes = F.array_compact(F.transform("left", lambda x, i: F.when(x.isNull(), i)))
+    text = F.when(F.col("left").isNull(), F.col("r")[text_col]).otherwise(F.array_join("left", "\n"))
+    return out.select(F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size(indexes), F.lit(0)).alias("n_gone"),
                       F.coalesce(F.array_join(indexes.cast("array<string>"), ","), F.lit("")).alias("gone_lines"),
-                      *[text.alias(c) if c == text_col else F.col(c) for c in plain.columns])
+                      *[text.alias(c) if c == text_col else F.col("r")[c].alias(c) for c in plain.columns])

@@ -41,7 +41,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
-_NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACES = frozenset("\x20\t\n\x0b\x0c\r")
 _DIGITS = re.compile(r"[0-9]")
 
@@ -133,7 +133,7 @@ class Document:
     """Nodes of a text with features, base labels and edges."""
 
     def __init__(self, text: str, spans: list[tuple[int, int, int]]):
-        found = [(m.start(), m.end()) for m in _NODE.finditer(text)]
+        found = [m.span() for m in _WORD.finditer(text) if _HINT.search(m.group())]
         self.start = [a for a, _ in found]
         self.end = [b for _, b in found]
         n = len(found)
@@ -271,8 +271,10 @@ def _learn(docs: list[Document], steps: int = 200, rate: float = 0.5, ridge: flo
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, train_docs: int = TRAIN_DOCS) -> Field:
-    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(train_docs)
-    sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(ids), "id").filter(F.col("text").rlike("[0-9@]"))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).filter("id is not null").withColumn("th", F.xxhash64("text"))
+    chosen = rows.select("id", "th").distinct().orderBy(F.xxhash64("id"), "id", "th").limit(train_docs)
+    # of an id with several texts each is a row of the sample, and a repeated row counts once
+    sample = rows.join(F.broadcast(chosen), ["id", "th"]).dropDuplicates(["id", "th"]).filter(F.col("text").rlike("[0-9@]"))
 
     def nodes(batches):
         for b in batches:
