@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tagstream.llm import bytepair, lines, mixing, near, toxicity
 from tagstream.llm.common import prepare, read_table, stored, text_of
@@ -41,18 +42,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows that repeat both the first by their other columns stays.  Rows without an id all stay.
     """
     prepare(spark)
-    named = docs.filter("doc_id is not null")
-    if named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        found = near.near_duplicates(docs, shingle=5, percent=80)
-        return docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    # keys in the order of the ids, so the smallest id of a group still stays
-    order = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
-    named = named.withColumn("__key", F.concat_ws(":", order, F.hex(F.xxhash64(text_of("text")))))
-    named = named.groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("r")).select("__key", "r.*")
-    named = stored(named, "pipeline-rows")
-    found = near.near_duplicates(named, shingle=5, percent=80, id_col="__key")
-    kept = named.join(found.filter("not kept").select("__key"), "__key", "left_anti").select(*docs.columns)
-    return kept.union(docs.filter("doc_id is null"))
+    # keys in the order of the ids, so the smallest id of a group stays
+    number = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    order = F.col("doc_id") if isinstance(docs.schema["doc_id"].dataType, StringType) else number
+    key = F.concat_ws(":", order, F.hex(F.xxhash64(text_of("text"))))
+    rows = docs.select(F.struct(*docs.columns).alias("r"), F.when(F.col("doc_id").isNotNull(), key).alias("key"), F.col("text"))
+    named = rows.filter("key is not null")
+    found = near.near_duplicates(named, shingle=5, percent=80, id_col="key")
+    kept = named.join(found.filter("not kept").select("key").distinct(), "key", "left_anti")
+    repeats = stored(named.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "pipeline-repeats")
+    once = kept.join(repeats, "key", "left_anti").select("r")
+    first = kept.join(repeats, "key").groupBy("key").agg(F.min("r").alias("r")).select("r")
+    return once.union(first).union(rows.filter("key is null").select("r")).select("r.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
