@@ -9,7 +9,7 @@ the few codewords of either half that can still reach ``alpha``.
 
 ``alpha`` is calibrated on planted pairs at exactly the wanted cosine, with the very code in use, so
 that ``RECALL`` of them share a cap; closer pairs do so more often.  Vectors are joined on filters, a
-64-bit sign sketch drops far pairs inside the join, and the cosine of what is left is computed in
+128-bit sign sketch drops far pairs inside the join, and the cosine of what is left is computed in
 double precision from the vectors themselves.
 
 Copies.  Equal vectors form one class with a multiplicity.  Where a group of near copies holds a good
@@ -40,6 +40,8 @@ RECALL = 0.999
 SMALLEST, LARGEST, FILTERS_A_VECTOR = 64, 1024, 4
 #: Leaders come from a sample of this many vectors (fewer of long ones), dense means this many links in it.
 SAMPLE_ROWS, SAMPLE_VALUES, DENSE = 16384, 1 << 21, 12
+#: Bits of a sign sketch: two columns.
+SKETCH_BITS = 128
 #: Standard deviations beyond the expected distance of two sketches at the wanted cosine.
 MARGIN = 4.5
 SEED = 20
@@ -60,7 +62,7 @@ class Code:
             self.turns.append((q * np.sign(np.diag(r))).astype(np.float32))
             w = rng.standard_normal((2, size, self.half))
             self.words.append((w / np.linalg.norm(w, axis=2, keepdims=True) / math.sqrt(2)).astype(np.float32))
-        self.signs = rng.standard_normal((self.width, 64)).astype(np.float32)
+        self.signs = rng.standard_normal((self.width, SKETCH_BITS)).astype(np.float32)
 
     def padded(self, unit: np.ndarray) -> np.ndarray:
         out = np.zeros((len(unit), self.width), dtype=np.float32)
@@ -73,7 +75,8 @@ class Code:
         return y[:, :self.half] @ self.words[k][0].T, y[:, self.half:] @ self.words[k][1].T
 
     def sketch(self, x: np.ndarray) -> np.ndarray:
-        return np.packbits(x @ self.signs > 0, axis=1).view(np.int64).reshape(-1)
+        """Signs as rows of 64-bit numbers."""
+        return np.packbits(x @ self.signs > 0, axis=1).view(np.int64)
 
     def decode(self, x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of every cap that holds a row."""
@@ -132,7 +135,7 @@ def code_size(n: int) -> int:
 
 def sketch_limit(cosine: float) -> int:
     p = math.acos(cosine) / math.pi
-    return math.ceil(64 * p + MARGIN * math.sqrt(64 * p * (1 - p)))
+    return math.ceil(SKETCH_BITS * p + MARGIN * math.sqrt(SKETCH_BITS * p * (1 - p)))
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
@@ -191,8 +194,9 @@ def _filters(size: int, alphas: dict[int, float], leaders: dict[int, np.ndarray]
                 rows, keys = c.decode(p, alphas[d])
                 order = np.argsort(rows, kind="stable")
                 lists = pa.ListArray.from_arrays(np.searchsorted(rows[order], np.arange(len(u) + 1)).astype(np.int32), pa.array(keys[order]))
-                yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(core, mask=core < 0), pa.array(c.sketch(p)), lists],
-                                                 names=["cls", "core", "sketch", "keys"])
+                s = c.sketch(p)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(core, mask=core < 0), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy()), lists],
+                                                 names=["cls", "core", "s0", "s1", "keys"])
     return run
 
 
@@ -239,14 +243,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     leaders = _leaders([r["vec"] for r in sample.collect()], cosine)
 
     found = classes.select("cls", F.col("vec").cast("array<double>").alias("vec"))
-    found = found.mapInArrow(_filters(size, alphas, leaders, cosine), "cls long, core long, sketch long, keys array<long>")
+    found = found.mapInArrow(_filters(size, alphas, leaders, cosine), "cls long, core long, s0 long, s1 long, keys array<long>")
     found = stored(found, "op11-filters")
-    members = found.select(F.explode("keys").alias("key"), "cls", "core", "sketch")
+    members = found.select(F.explode("keys").alias("key"), "cls", "core", "s0", "s1")
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("key", F.col("cls").alias(name), F.col("core").alias(f"core_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+        return df.select("key", F.col("cls").alias(name), F.col("core").alias(f"core_{name}"), F.col("s0").alias(f"s0_{name}"), F.col("s1").alias(f"s1_{name}"))
 
-    close = F.bit_count(F.col("sketch_u").bitwiseXOR(F.col("sketch_v"))) <= sketch_limit(cosine)
+    differ = [F.bit_count(F.col(f"{s}_u").bitwiseXOR(F.col(f"{s}_v"))) for s in ("s0", "s1")]
+    close = differ[0] + differ[1] <= sketch_limit(cosine)
     alone, cored = members.filter("core is null"), members.filter("core is not null")
     pairs = side(alone, "u").join(side(alone, "v"), "key").filter((F.col("u") < F.col("v")) & close).select("u", "v")
     pairs = pairs.union(side(alone, "u").join(side(cored, "v"), "key").filter(close).select("u", "v"))

@@ -218,7 +218,8 @@ class _Block:
     """Members of buckets as arrays."""
 
     def __init__(self, part: pd.DataFrame):
-        self.key, self.own, self.id, self.root, self.n = (part[c].to_numpy() for c in ("key", "own", "id", "root", "n"))
+        self.key, self.own, self.n = (part[c].to_numpy() for c in ("key", "own", "n"))
+        self.id, self.root = (part[c].to_numpy() if part[c].dtype.kind in "iu" else part[c].to_numpy(dtype=object) for c in ("id", "root"))
         self.bands = np.stack(part["bands"].to_numpy())
         self.sketch, self.parity = (np.frombuffer(b"".join(part[c]), dtype=np.uint64).reshape(len(part), -1) for c in ("sketch", "parity"))
 
@@ -313,9 +314,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         for members in np.split(order, cuts):
             first, second = members[block.own[members] == key[2]], members[block.own[members] == key[3]]
             for u, v in block.open_pairs(first, second, key[2] == key[3], limit, percent):
-                us.append(np.full(len(v), block.id[u]))
+                us.append(np.full(len(v), block.id[u], dtype=block.id.dtype))
                 vs.append(block.id[v])
-        return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)}) if us else pd.DataFrame({"u": [], "v": []})
+        none = np.empty(0, dtype=block.id.dtype)
+        us, vs = np.concatenate([none, *us]), np.concatenate([none, *vs])
+        return pd.DataFrame({"u": pd.Series(us, dtype=us.dtype), "v": pd.Series(vs, dtype=vs.dtype)})  # ids of any type
 
     more = todo.groupBy("alone", "bundle", "i", "j").applyInPandas(compare, f"u {kind}, v {kind}")
     more = stored(more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "op5-more")
