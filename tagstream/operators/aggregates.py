@@ -246,9 +246,20 @@ def user_tag_counts(df: DataFrame, user: str, tag: str) -> DataFrame:
     return df.groupBy(user).agg(F.count_distinct(tag).alias("n_tags"))
 
 
-def user_tag_counts_approx(df: DataFrame, user: str, tag: str, rsd: float = 0.05) -> DataFrame:
-    """A19, HyperLogLog variant."""
-    return df.groupBy(user).agg(F.approx_count_distinct(tag, rsd).alias("n_tags"))
+#: Bits of the registers' number of a distinct-count sketch, and how far estimates may be off (three standard errors).
+SKETCH_BITS = 12
+SKETCH_BOUND = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def user_tag_sketches(df: DataFrame, user: str, day: Column, tag: str) -> DataFrame:
+    """One mergeable distinct-count sketch per user and day, to be stored: later days add rows, and no
+    day is counted again."""
+    return df.groupBy(user, day.alias("day")).agg(F.hll_sketch_agg(tag, F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def user_tag_counts_approx(sketches: DataFrame, user: str) -> DataFrame:
+    """A19 from stored sketches: the days of a user merged, off by at most ``SKETCH_BOUND`` of the count."""
+    return sketches.groupBy(user).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_tags"))
 
 
 def sample_users(df: DataFrame, user: str, n: int, seed: int) -> DataFrame:

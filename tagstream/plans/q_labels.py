@@ -8,6 +8,7 @@ from tagstream.operators import windows as W
 from tagstream.operators.indexing import assign_index
 from tagstream.plans.q_windows import _MELT_SQL as _MELT
 from tagstream.plans.registry import query
+from tagstream.session import dimension
 
 _TOP = """cnt as (select tag, count(*) as n from fx_question_tag group by tag),
 top as (select tag from cnt order by n desc, tag limit 10),
@@ -92,10 +93,16 @@ def a19_user_tag_counts(fx):
     return A.user_tag_counts(fx.t.events, "user_id", "event_type")
 
 
-@query("a19_user_tag_counts_approx")
+@query("a19_user_tag_counts_approx", """
+select user_id, count(distinct event_id % 1000) as n_tags, true as within_bound from events group by user_id""")
 def a19_user_tag_counts_approx(fx):
-    """A19 HyperLogLog variant (rows-only: estimates are not exact)."""
-    return A.user_tag_counts_approx(fx.t.events, "user_id", "event_type")
+    """A19 by stored sketches per user and day: the exact count, and whether the merged estimate keeps its bound."""
+    ev = fx.t.events.withColumn("tag", F.col("event_id") % 1000)
+    sketches = dimension(A.user_tag_sketches(ev, "user_id", F.to_date("ts"), "tag"), "a19-sketches")
+    near = A.user_tag_counts_approx(sketches, "user_id").withColumnRenamed("n_tags", "estimate")
+    both = A.user_tag_counts(ev, "user_id", "tag").join(near, "user_id")
+    off = F.abs(F.col("estimate") - F.col("n_tags"))
+    return both.select("user_id", "n_tags", (off <= F.lit(A.SKETCH_BOUND) * F.col("n_tags")).alias("within_bound"))
 
 
 @query("a20_sample_users", """

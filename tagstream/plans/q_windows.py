@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tagstream.operators import relational as R
 from tagstream.operators import windows as W
 from tagstream.plans.registry import query
 
@@ -52,8 +53,11 @@ _LONG_SQL = """long as (
 
 @query("u2_concat_categories", f"with {_LONG_SQL} select * from long")
 def u2_concat_categories(fx):
-    """The four category tables concatenated (the melt's long form)."""
-    return W.melt_long(fx.result)
+    """The four tables of one category each, concatenated."""
+    log = fx.log.filter("is_test = 0")
+    tables = [log.filter((F.col("is_prequential") == p) & (F.col("is_topk") == k)).select(
+        "learner", "question_id", "created_on", W.category(F.lit(p), F.lit(k)).alias("category"), "units") for p in (1, 0) for k in (0, 1)]
+    return R.concat_categories(*tables)
 
 
 @query("w2_cumulative_f", f"""with {_LONG_SQL}

@@ -64,22 +64,33 @@ def read_sparse_arff(spark: SparkSession, path: str, glob: str | None = None) ->
     return header, rows
 
 
-def read_results(spark: SparkSession, path: str, glob: str | None = "*.arff", name_text: str | None = None,
-                 after_pos: int = 1) -> DataFrame:
-    """Dense result rows of every file under ``path`` (``@`` header lines and blank lines
-    dropped), with the file name; ``name_text`` keeps files whose name contains it at a 1-based
-    position > ``after_pos``."""
+def _result_lines(spark: SparkSession, path: str, glob: str | None, name_text: str | None, after_pos: int) -> DataFrame:
+    """file_name, line, r (the parsed row) and wrong (the line if it has no such row) of result files."""
     lines = _lines(spark, path, glob)
     if name_text is not None:
         lines = lines.filter(F.instr("file_name", name_text) > after_pos)
     body = lines.filter(~F.trim("line").startswith("@") & (F.length(F.trim("line")) > 0)
                         & ~F.trim("line").startswith("%"))
-    parsed = body.select("file_name", F.from_csv(F.col("line"), RESULT_SCHEMA,
-                                                 {"quote": "'", "ignoreLeadingWhiteSpace": "true"}).alias("r"))
-    return parsed.select("file_name", "r.*").withColumn(
+    return body.select("file_name", "line", F.from_csv(F.col("line"), RESULT_SCHEMA + ", wrong string",
+                                                       {"quote": "'", "ignoreLeadingWhiteSpace": "true", "columnNameOfCorruptRecord": "wrong"}).alias("r"))
+
+
+def read_results(spark: SparkSession, path: str, glob: str | None = "*.arff", name_text: str | None = None,
+                 after_pos: int = 1) -> DataFrame:
+    """Dense result rows of every file under ``path`` (``@`` header lines and blank lines
+    dropped), with the file name; ``name_text`` keeps files whose name contains it at a 1-based
+    position > ``after_pos``.  Lines that are no such row are left out; ``malformed_results`` has them."""
+    rows = _result_lines(spark, path, glob, name_text, after_pos).filter("r.wrong is null")
+    return rows.select("file_name", "r.*").drop("wrong").withColumn(
         "created_on", F.to_timestamp_ntz(F.col("created_on"), F.lit(TS_TEXT_FORMAT)))
 
 
+def malformed_results(spark: SparkSession, path: str, glob: str | None = "*.arff", name_text: str | None = None,
+                      after_pos: int = 1) -> DataFrame:
+    """file_name and line of every line that is no result row, for a report."""
+    return _result_lines(spark, path, glob, name_text, after_pos).filter("r.wrong is not null").select("file_name", "line")
+
+
 def with_file_learner(df: DataFrame, rule: str = "stem", sep: str = "-", part: int = 2) -> DataFrame:
     """Learner id / parameter from the file name: ``stem`` (extension removed), ``part``
     (the n-th ``sep`` part as int) or ``digits`` (letters and dots removed)."""

@@ -113,3 +113,11 @@ def test_decode_unknown_index_leaves_null(spark):
     r = R.decode_predictions(pred, tags).first()
     assert r.topk == [None, "b"]
     assert sorted(r.general, key=lambda x: (x is not None, x)) == [None, "a"]
+
+
+def test_malformed_result_lines_are_reported(spark, tmpdir_fresh):
+    good = "1,'2020-01-01 00:00:00',0.5,0.25,0,1"
+    with open(os.path.join(tmpdir_fresh, "a.arff"), "w") as f:
+        f.write("@relation r\n@data\n" + good + "\nnot a row\nx,'2020-01-01 00:00:00',0.5,0.25,0,1\n\n")
+    assert S.read_results(spark, tmpdir_fresh).count() == 1
+    assert sorted(r.line for r in S.malformed_results(spark, tmpdir_fresh).collect()) == ["not a row", "x,'2020-01-01 00:00:00',0.5,0.25,0,1"]
