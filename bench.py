@@ -42,7 +42,7 @@ def main() -> int:
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from tagstream.plans import catalog  # noqa: F401
     from tagstream.plans.registry import QUERIES
-    from tagstream.session import get_spark
+    from tagstream.session import drop_scratch, get_spark
 
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="tagstream-bench")
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
@@ -55,6 +55,7 @@ def main() -> int:
 
         once()  # warm-up
         times[n] = round(statistics.median(once() for _ in range(runs)), 3)
+        drop_scratch(spark)
         print(f"# {n}: {times[n]}s", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),

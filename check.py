@@ -8,7 +8,7 @@ import time
 from tagstream.plans import catalog  # noqa: F401
 from tagstream.plans.compare import compare, duck
 from tagstream.plans.registry import ORACLE, QUERIES
-from tagstream.session import get_spark
+from tagstream.session import drop_scratch, get_spark
 
 
 def main(argv: list[str]) -> int:
@@ -27,6 +27,7 @@ def main(argv: list[str]) -> int:
                 ok, msg = True, f"rows-only: {df.count()} rows"
         except Exception as e:  # report and continue
             ok, msg = False, f"error: {type(e).__name__}: {str(e)[:400]}"
+        drop_scratch(spark)
         bad += 0 if ok else 1
         print(f"{'OK ' if ok else 'BAD'} {n:32s} {time.time() - t0:6.1f}s  {msg}", flush=True)
     print(f"{len(names) - bad}/{len(names)} ok")

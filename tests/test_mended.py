@@ -56,3 +56,12 @@ def test_needed_scores_hold_the_whole_top_k(spark):
         return {q: [t for _, t in sorted(v)[:5]] for q, v in out.items()}, {(q, t) for q, v in out.items() for p, t in v if -p >= 0.3}
 
     assert best(every) == best(some)
+
+
+def test_scratch_tables_can_be_dropped(spark, monkeypatch):
+    from tagstream import session
+
+    monkeypatch.setattr(session, "_scratch", {})  # other tests go on reading theirs
+    path = os.path.dirname(session.dimension(spark.range(5), "drop-me").inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(path) and session.drop_scratch(spark) == 1 and not os.path.exists(path)
+    assert session.drop_scratch(spark) == 0
