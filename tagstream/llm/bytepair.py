@@ -31,7 +31,7 @@ OTHER, LETTER, NUMBER, SPACE, WHITE, QUOTE = range(6)
 #: Unicode White_Space other than the space.
 _WHITE = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces that the cache of a Python worker holds at most.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 100_000
 
 # States before a character.  FREE: a contraction may begin; BOUND: an apostrophe belongs to what is
 # before it; ONE, TWO: so many letters of a contraction are still to come.
