@@ -75,7 +75,7 @@ def tune_thresholds(scored: DataFrame, label: str = "tag_index", score: str = "s
     score reaches no cut and counts in P only."""
     counts = scored.groupBy(label, score).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("tp")).checkpoint(eager=True)
     down = counts.filter(F.col(score).isNotNull()).withColumn("_down", -F.col(score))
-    c = prefix_aggregate(down, [label], ["_down"], "_down", {"cum_tp": F.col("tp"), "cum_n": F.col("n")})
+    c = prefix_aggregate(down, [label], ["_down"], "_down", {"cum_tp": F.col("tp"), "cum_n": F.col("n")}, is_written=True)
     pos = counts.groupBy(F.col(label).alias("_label")).agg(F.sum("tp").alias("n_pos"))
     c = c.join(maybe_broadcast(pos), F.col(label).eqNullSafe(F.col("_label")))
     c = c.withColumn("f", (2 * F.col("cum_tp")).cast("double") / (F.col("cum_n") + F.col("n_pos")))

@@ -1,24 +1,31 @@
 """Ordered window work (W1–W8, S2): record numbers, running sums, melt, chunks, newest-n.
 
 Running sums and ranks over a key that may hold a large share of all rows are computed in two
-levels: rows are split into range buckets of the order column (bounds from ``approxQuantile``, so
+levels: rows are split into range buckets of the order column (cut points from a quantile sketch, so
 the bucket is a pure function of the value), the window runs per (key, bucket), and each bucket
 gets the total of the earlier buckets of its key from a small table.  One hot key therefore spreads
 over ``n_buckets`` tasks instead of one.
+
+The input is computed once and written; cut points (the order column), bucket totals (the summed
+columns) and windows read the written rows.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagstream.session import maybe_broadcast
+from tagstream.session import dimension, maybe_broadcast, written
 
 _UNB = Window.unboundedPreceding
 
+#: Accuracy of the cut points: a bucket is off its equal share by at most a tenth of it.
+_SKETCH_PER_BUCKET = 20
+
 
 def _n_buckets(df: DataFrame, n: int | None) -> int:
     if n is not None:
@@ -27,21 +34,66 @@ def _n_buckets(df: DataFrame, n: int | None) -> int:
 
 
 def order_bounds(df: DataFrame, col: str, n_buckets: int) -> list:
-    """Approximate quantile cut points of a numeric column (a distributed aggregate; only the
-    ``n_buckets - 1`` cut points reach the driver)."""
+    """Quantile cut points of a numeric or time column, of its own type (a distributed aggregate;
+    only the ``n_buckets - 1`` cut points reach the driver).  The sketch grows with the buckets."""
     if n_buckets <= 1:
         return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(col, probs, 0.001)
-    return sorted(set(q for q in qs if q is not None))
+    qs = df.agg(F.percentile_approx(col, probs, _SKETCH_PER_BUCKET * n_buckets).alias("q")).first()["q"] or []
+    return sorted({q for q in qs if q is not None and q == q})
 
 
 def bucket_column(col: str | Column, bounds: Sequence) -> Column:
+    """How many of the ascending ``bounds`` are at most ``col``, by binary search; 0 for a null."""
     c = F.col(col) if isinstance(col, str) else col
     if not bounds:
         return F.lit(0)
     arr = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b <= c))
+    steps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda low, k: F.when(F.get(arr, low + k - 1) <= c, low + k).otherwise(low))
+
+
+class Track(NamedTuple):
+    """Running values of one grouping: sums (name → value expression) and dense ranks (name → column)
+    per ``keys`` in the order of ``order``."""
+
+    keys: Sequence[str]
+    order: Sequence[str | Column]
+    sums: dict[str, Column] = {}
+    ranks: dict[str, str] = {}
+
+
+def prefix_tracks(df: DataFrame, tracks: Sequence[Track], bucket_on: str, n_buckets: int | None = None,
+                  inclusive: bool = True, is_written: bool = False) -> DataFrame:
+    """Add the running values of all ``tracks``, over one set of range buckets of ``bucket_on``.
+
+    ``bucket_on`` must be numeric or a time and the first component of every order (ranks / sums are
+    then consistent across buckets).  Sums are frame ``unboundedPreceding..currentRow`` (``inclusive``)
+    or ``..-1``.  Tracks whose keys contain those of another share its shuffle.  ``is_written`` says that
+    ``df`` is cheap to read several times, so it is not written again.
+    """
+    rows = df if is_written else written(df, "prefix-rows")
+    b = rows.withColumn("_b", bucket_column(bucket_on, order_bounds(rows, bucket_on, _n_buckets(df, n_buckets))))
+    out, names = b, []
+    for t in tracks:
+        w = Window.partitionBy(*t.keys, "_b").orderBy(*t.order)
+        frame = w.rowsBetween(_UNB, 0 if inclusive else -1)
+        out = out.select("*", *[F.coalesce(F.sum(e).over(frame), F.lit(0)).alias(f"_l_{n}") for n, e in t.sums.items()],
+                         *[F.dense_rank().over(w).alias(f"_l_{n}") for n in t.ranks])
+    for t in tracks:
+        part, own = [*t.keys, "_b"], [*t.sums, *t.ranks]
+        total = b.groupBy(*part).agg(*[F.sum(e).alias(f"_t_{n}") for n, e in t.sums.items()],
+                                     *[F.count_distinct(F.struct(c)).alias(f"_t_{n}") for n, c in t.ranks.items()])  # a null is a rank
+        before = Window.partitionBy(*t.keys).orderBy("_b").rowsBetween(_UNB, -1)
+        off = total.select(*[F.col(c).alias(f"_k_{c}") for c in part],
+                           *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in own])
+        off = dimension(off, "prefix-offsets")
+        # null-safe: rows with a null key or order value form groups of their own
+        same = functools.reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in part])
+        out = out.join(maybe_broadcast(off), same).drop(*[f"_k_{c}" for c in part])
+        names += own
+    added = [(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in names]
+    return out.select(*[c for c in rows.columns if c not in names], *added)
 
 
 def prefix_aggregate(
@@ -53,41 +105,11 @@ def prefix_aggregate(
     dense_rank_of: dict[str, str] | None = None,
     n_buckets: int | None = None,
     inclusive: bool = True,
-    bounds: Sequence | None = None,
+    is_written: bool = False,
 ) -> DataFrame:
-    """Add running sums (``sums``: name → value expression) and dense ranks
-    (``dense_rank_of``: name → column) per ``keys`` in ``order_cols`` order.
-
-    ``bucket_on`` must be numeric and the first component of the order (ranks / sums are then
-    consistent across buckets).  Sums are frame ``unboundedPreceding..currentRow`` (``inclusive``)
-    or ``..-1``.  ``bounds`` reuses cut points already computed for the same column.
-    """
-    sums = sums or {}
-    dense_rank_of = dense_rank_of or {}
-    keys = list(keys)
-    if bounds is None:
-        bounds = order_bounds(df, bucket_on, _n_buckets(df, n_buckets))
-    b = df.withColumn("_b", bucket_column(bucket_on, bounds))
-    part = keys + ["_b"]
-    w = Window.partitionBy(*part).orderBy(*order_cols)
-    frame = w.rowsBetween(_UNB, 0 if inclusive else -1)
-    local_cols = [F.coalesce(F.sum(e).over(frame), F.lit(0)).alias(f"_l_{n}") for n, e in sums.items()]
-    local_cols += [F.dense_rank().over(w).alias(f"_l_{n}") for n in dense_rank_of]
-    local = b.select("*", *local_cols)
-
-    tot_aggs = [F.sum(e).alias(f"_t_{n}") for n, e in sums.items()]
-    tot_aggs += [F.count_distinct(F.col(c)).alias(f"_t_{n}") for n, c in dense_rank_of.items()]
-    tot = b.groupBy(*part).agg(*tot_aggs)
-    wk = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_b").rowsBetween(_UNB, -1)
-    names = list(sums) + list(dense_rank_of)
-    off = tot.select(*part, *[F.coalesce(F.sum(f"_t_{n}").over(wk), F.lit(0)).alias(f"_o_{n}") for n in names])
-    # null-safe: rows with a null key or order value form groups of their own
-    off = off.withColumnsRenamed({c: f"_k_{c}" for c in part})
-    same = functools.reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in part])
-    out = local.join(maybe_broadcast(off), same).drop(*[f"_k_{c}" for c in part])
-    for n in names:
-        out = out.withColumn(n, F.col(f"_l_{n}") + F.col(f"_o_{n}"))
-    return out.drop("_b", *[f"_l_{n}" for n in names], *[f"_o_{n}" for n in names])
+    """One track: running ``sums`` and dense ranks (``dense_rank_of``) per ``keys`` in ``order_cols`` order."""
+    track = Track(list(keys), list(order_cols), sums or {}, dense_rank_of or {})
+    return prefix_tracks(df, [track], bucket_on, n_buckets, inclusive, is_written)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -110,9 +132,9 @@ def category(is_prequential: Column, is_topk: Column) -> Column:
 
 
 def record_id(df: DataFrame, learner: str = "learner", key: str = "question_id", out: str = "record_id",
-              n_buckets: int | None = None, bounds: Sequence | None = None) -> DataFrame:
+              n_buckets: int | None = None) -> DataFrame:
     """Rank of the question id among the learner's distinct ids, from 1."""
-    return prefix_aggregate(df, [learner], [key], key, dense_rank_of={out: key}, n_buckets=n_buckets, bounds=bounds)
+    return prefix_aggregate(df, [learner], [key], key, dense_rank_of={out: key}, n_buckets=n_buckets)
 
 
 def melt_long(df: DataFrame, include_test: bool = False) -> DataFrame:
@@ -143,28 +165,30 @@ def melt_results(df: DataFrame, include_test: bool = False, scale: int = F_SCALE
     and divided only at the end.
     """
     base = df if include_test else df.filter(F.col("is_test") == 0)
-    # one set of question-id cut points serves both the record ids and the running sums
-    bounds = order_bounds(base, "question_id", _n_buckets(base, n_buckets))
-    base = record_id(base, bounds=bounds)
-    long = melt_long(base, include_test=True)
-    ranked = prefix_aggregate(
-        long,
-        ["learner", "category"],
-        ["question_id", "created_on"],
-        "question_id",
-        sums={"_cum_u": F.col("units"), "_cum_r": F.lit(scale) - F.col("units")},
-        bounds=bounds,
+    units = {"g": F.col("fm_units"), "t": F.col("topk_units")}
+    # the sums run over the wide rows, one per instance: a category is a phase and one of its two values
+    base = base.select("learner", "question_id", "created_on", "fm_units", "topk_units",
+                       F.coalesce(F.col("is_prequential") == 1, F.lit(False)).alias("_preq"))
+    ranked = prefix_tracks(base, [
+        Track(["learner"], ["question_id"], ranks={"record_id": "question_id"}),
+        Track(["learner", "_preq"], ["question_id", "created_on"],
+              {f"_cum_{k}": u for k, u in units.items()} | {f"_reg_{k}": F.lit(scale) - u for k, u in units.items()}),
+    ], "question_id", n_buckets)
+    long = ranked.select(
+        "record_id", "learner", "created_on", "_preq",
+        F.inline(F.array(*[F.struct(F.lit(int(k == "t")).alias("is_topk"), u.alias("units"), F.col(f"_cum_{k}").alias("cum"),
+                                    F.col(f"_reg_{k}").alias("reg")) for k, u in units.items()])),
     )
     s = F.lit(float(scale))
-    return ranked.select(
+    return long.select(
         F.col("record_id").cast("bigint").alias("record_id"),
         "learner",
-        "category",
+        category(F.col("_preq").cast("int"), F.col("is_topk")).alias("category"),
         "created_on",
         (F.col("units") / s).alias("fm"),
-        (F.col("_cum_u") / s).alias("cum_fm"),
+        (F.col("cum") / s).alias("cum_fm"),
         ((F.lit(scale) - F.col("units")) / s).alias("regret"),
-        (F.col("_cum_r") / s).alias("cum_regret"),
+        (F.col("reg") / s).alias("cum_regret"),
     )
 
 

@@ -118,15 +118,20 @@ def drop_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, lineage cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dimension(df: DataFrame, name: str) -> DataFrame:
-    """A small derived table written to the shared folder and read again.
+    """A small derived table, written.
 
     The optimizer's estimate of a derived table follows its inputs, however few rows come out; that
     of a written one follows its files, so ``maybe_broadcast`` then decides by the measured size.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

@@ -65,3 +65,29 @@ def test_scratch_tables_can_be_dropped(spark, monkeypatch):
     path = os.path.dirname(session.dimension(spark.range(5), "drop-me").inputFiles()[0].removeprefix("file://"))
     assert os.path.isdir(path) and session.drop_scratch(spark) == 1 and not os.path.exists(path)
     assert session.drop_scratch(spark) == 0
+
+
+def test_prefix_sums_over_many_buckets(spark):
+    """Hot keys, ties of the order, null and negative values, text-free integers beyond 2^53, one scan of the input."""
+    big = 2**60
+    rows = [("a" if k % 3 else None, None if k % 17 == 0 else big + (k * 37 % 101) - 50, k, k % 5) for k in range(400)]
+    df = spark.createDataFrame(rows, "k string, o long, id int, x int")
+    out = W.prefix_tracks(df, [W.Track(["k"], ["o", "id"], {"s": F.col("x"), "n": F.lit(1)}), W.Track([], ["o"], ranks={"r": "o"})], "o", n_buckets=37)
+    assert out.columns == ["k", "o", "id", "x", "s", "n", "r"]
+    place = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    values = sorted({r[1] for r in rows if r[1] is not None})
+    got = {r.id: (r.s, r.n, r.r) for r in out.collect()}
+    assert len(got) == 400
+    for r in rows:
+        before = [q for q in rows if q[0] == r[0] and place(q) <= place(r)]
+        assert got[r[2]][:2] == (sum(q[3] for q in before), len(before))
+        assert got[r[2]][2] == (1 if r[1] is None else 2 + values.index(r[1]))
+
+
+def test_bucket_is_found_by_binary_search(spark):
+    df = spark.createDataFrame([(None,), *[(k / 2,) for k in range(-4, 60)]], "v double")
+    for bounds in ([3.0], [0.0, 1.0], [float(k) for k in range(0, 26, 2)], [float(k) for k in range(16)]):
+        got = df.select("v", W.bucket_column("v", bounds).alias("b")).collect()
+        assert all(r.b == (0 if r.v is None else sum(c <= r.v for c in bounds)) for r in got)
+    empty = df.filter("false")
+    assert W.order_bounds(empty, "v", 8) == [] and W.prefix_aggregate(empty, [], ["v"], "v", {"s": F.lit(1)}).count() == 0
