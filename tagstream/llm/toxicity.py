@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,11 @@ from pyspark.sql import functions as F
 from tagstream.llm.common import fold, prepare, stored, text_of
 
 #: Bound of the labelled sample: rows of each class.
-MAX_PER_CLASS = 3000
+MAX_PER_CLASS = 5000
 STEM = 5
 WINDOW = 8
 #: Discounts of counts of one, two, and three or more.
 DISCOUNTS = (0.95, 1.3, 1.6)
-#: Times that each class must have a word for pairs that begin with it to count.
-MIN_CONTEXT = 20
 TOP = 3
 N_FEATURES = 5
 
@@ -70,9 +69,9 @@ def _interpolate(n: list[np.ndarray], backoff) -> list[np.ndarray]:
 class KneserNey:
     """Log-likelihood ratios (toxic over ordinary) of words and of pairs of words."""
 
-    def __init__(self, uni: list[dict[str, int]], total: list[dict[str, int]], pairs: list[list[tuple[list[str], list[str], np.ndarray]]]):
-        """For the ordinary and the toxic class: counts of words; counts of the first words that both
-        classes have often enough; and, in batches, the pairs that begin with one (first, second, counts)."""
+    def __init__(self, uni: list[dict[str, int]], pairs: list[Iterable[tuple[list[str], list[str], np.ndarray]]]):
+        """For the ordinary and the toxic class: counts of words; and, in batches that are read once, of
+        pairs (first, second, counts).  A class that has no pair with a first word backs off wholly there."""
         vocab = sorted(set(uni[0]) | set(uni[1]))
         self.id = {w: k for k, w in enumerate(vocab)}
         stem_words = Counter(w[:STEM] for w in vocab)  # shared continuation counts
@@ -88,13 +87,13 @@ class KneserNey:
         # a word's backoff carries its beginning's ratio, so an unseen word inherits it
         word_p = _interpolate(n_word, [within * stem_p[k][stem_at] / ((stem_p[0] + stem_p[1])[stem_at] / 2) for k in (0, 1)])
         self.single = np.concatenate([np.log(word_p[1] / word_p[0]), np.log(stem_p[1] / stem_p[0]), [0.0]]).astype(np.float32)
-        # word after word, for first words that both classes have often enough
+        # word after word
         width = self.unknown + 1
         found = []
         for k in (0, 1):
-            key = [np.array([self.id[x] for x in v], dtype=np.int64) * width + np.array([self.id[x] for x in w], dtype=np.int64) for v, w, _ in pairs[k]]
-            key = np.concatenate([*key, np.zeros(0, dtype=np.int64)])
-            n = np.concatenate([*(x for _, _, x in pairs[k]), np.zeros(0)])
+            parts = [(np.array([self.id[x] for x in v], dtype=np.int64) * width + np.array([self.id[x] for x in w], dtype=np.int64), x) for v, w, x in pairs[k]]
+            key = np.concatenate([*(x for x, _ in parts), np.zeros(0, dtype=np.int64)])
+            n = np.concatenate([*(x for _, x in parts), np.zeros(0)])
             order = np.argsort(key)
             found.append((key[order], n[order]))
         keys = np.union1d(found[0][0], found[1][0])
@@ -104,13 +103,12 @@ class KneserNey:
         for k in (0, 1):
             n = np.zeros(len(keys))
             n[np.searchsorted(keys, found[k][0])] = found[k][1]
-            whole = np.ones(len(vocab))
-            at = np.array([self.id[v] for v in total[k]], dtype=np.int64)
-            whole[at] = list(total[k].values())
+            whole = np.bincount(a, weights=n, minlength=len(vocab))  # times the class has a word after the first
+            at = np.flatnonzero(whole)
             left = np.maximum(n - _discount(n), 0)
             kept = np.bincount(a, weights=left, minlength=len(vocab))
             keep[k][at] = 1 - kept[at] / whole[at]
-            p.append(left / whole[a] + keep[k][a] * word_p[k][b])
+            p.append(left / np.maximum(whole[a], 1) + keep[k][a] * word_p[k][b])
         self.backoff = np.log(keep[1] / keep[0]).astype(np.float32)
         self.keys, self.pair = keys, np.log(p[1] / p[0]).astype(np.float32)
 
@@ -173,7 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         ids = part if ids is None else ids.union(part)
     # bounded by 2 * max_per_class rows, so its broadcast is
     sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(ids), "id")
-    sample = sample.withColumn("link", fold("id") == 1).dropDuplicates(["id"])
+    # of several texts of an id the one with the least hash, so the order of rows does not matter
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text")))
+    sample = sample.groupBy("id", "y").agg(one.alias("one")).select("id", "y", F.col("one.text").alias("text"), (fold("id") == 1).alias("link"))
 
     def count(batches):
         c: Counter = Counter()
@@ -195,18 +195,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             uni[y][w] = n
     if not uni[0] or not uni[1]:
         return None, None
-    of = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
-    often = counted.filter("v <> ''").groupBy("v").agg(of(0).alias("n0"), of(1).alias("n1")).filter((F.col("n0") >= MIN_CONTEXT) & (F.col("n1") >= MIN_CONTEXT))
-    often = stored(often, "op2-contexts")
-    total: list[dict[str, int]] = [{}, {}]
-    for r in often.collect():
-        total[0][r["v"]], total[1][r["v"]] = r["n0"], r["n1"]
-    pairs: list[list] = [[], []]
-    for y in (0, 1):
-        for b in counted.filter(F.col("y") == y).join(often.select("v"), "v").select("v", "w", "n").toArrow().to_batches():
-            pairs[y].append((b.column("v").to_pylist(), b.column("w").to_pylist(), b.column("n").to_numpy().astype(np.float64)))
-    model = KneserNey(uni, total, pairs)
-    del uni, total, pairs
+
+    def pairs(y: int):
+        for b in counted.filter((F.col("y") == y) & (F.col("v") != "")).select("v", "w", "n").toArrow().to_batches():
+            yield b.column("v").to_pylist(), b.column("w").to_pylist(), b.column("n").to_numpy().astype(np.float64)
+
+    model = KneserNey(uni, [pairs(0), pairs(1)])
+    del uni
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def featurise(batches):
