@@ -72,3 +72,14 @@ def test_large_trees_fall_back_to_levels(spark, monkeypatch):
 def test_nothing_to_train_on(spark):
     tree, qs, feats, ex = _parts(spark)
     assert ML.train_nodes(ex.limit(0), feats, qs, epochs=2).count() == 0
+
+
+def test_a_step_shuffles_sums_not_a_row_a_weight_and_task(spark):
+    tree, qs, feats, ex = _parts(spark, questions=200)
+    rows, n_node = PK.pack(feats, qs, ex).repartition(16), ML.node_counts(ex)
+    width = PK.width_of(rows)
+    sums = rows.select("buckets", "values", "nodes", "ys").mapInArrow(PK._stacked, ", ".join(f"{c} binary" for c in PK.STACKED)).mapInArrow(
+        PK._gradients(None, 0, 13, width), "start long, chunk int, gw binary, touched binary")
+    assert sums.count() == 16  # one row a task for this many weights
+    a, b = _weights(PK.step(rows, n_node, None, 13, 1.0, width)), _weights(PK.step(PK.stack(rows), n_node, None, 13, 1.0, width))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
