@@ -4,8 +4,11 @@ CSV.  Every reader is a distributed ``spark.read`` over a directory; file names
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ RESULT_ATTRIBUTES = (
 RESULT_SCHEMA = ("question_id long, created_on string, fmeasure double, topk_fmeasure double, "
                  "is_test string, is_prequential string")
 
+#: Tasks a core that read learner configs, at most.
+CONFIG_TASKS = 4
+
 
 def _lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     r = spark.read
@@ -109,6 +115,8 @@ def with_file_learner(df: DataFrame, rule: str = "stem", sep: str = "-", part: i
 def read_learner_configs(spark: SparkSession, path: str) -> DataFrame:
     """One row per ``<learner id>.json`` config (type-tagged ``[class, {...}]`` arrays)."""
     raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    # Spark counts a small file as megabytes, which makes a task of every few files
+    raw = raw.coalesce(CONFIG_TASKS * spark.sparkContext.defaultParallelism)
     return raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("learner_id"),
                       F.col("value").alias("config"))
 
@@ -136,10 +144,54 @@ def write_results(df: DataFrame, path: str, prefix: str) -> None:
     _rename_parts(df.sparkSession, path, lambda learner, n: f"{prefix}-{learner}-{n}.arff")
 
 
+def _escaped(name: str | None) -> str:
+    """A value as Spark writes it into the name of a partition's folder."""
+    if not name:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\\x7f{[]^" or c < " " else c for c in name)
+
+
+def _task_file_system(spark: SparkSession, path: str):
+    """(URI, folder) of ``path`` if tasks can write there by themselves, else None."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    uri = f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getRawPath()}"
+    try:
+        store, folder = pa_fs.FileSystem.from_uri(uri)
+        store.create_dir(folder, recursive=True)
+        return uri, folder
+    except (pa.ArrowException, OSError):
+        return None
+
+
+def _write_each(uri: str):
+    """Writes one file for each row; a file has its name once it is whole, and a repeated task writes the same."""
+    def run(batches):
+        store, folder = pa_fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for learner, text in zip(batch.column("learner_id").to_pylist(), batch.column("text").to_pylist()):
+                draft = f"{folder}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(draft, compression=None) as out:
+                    out.write(text.encode())
+                store.move(draft, f"{folder}/{_escaped(learner)}.json")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+    return run
+
+
 def write_learner_configs(df: DataFrame, path: str) -> None:
-    """One ``<learner id>.json`` for each row of (learner_id, config)."""
-    df.write.partitionBy("learner_id").text(path)
-    _rename_parts(df.sparkSession, path, lambda learner, n: f"{learner}.json")
+    """One ``<learner id>.json`` for each learner of (learner_id, config); several rows of one are its lines.
+
+    The tasks write the files under their names.  Only where they cannot reach the store by themselves do
+    Spark's partition folders and a renaming of each file take their place."""
+    spark = df.sparkSession
+    found = _task_file_system(spark, path)
+    if found is None:
+        df.write.partitionBy("learner_id").text(path)
+        _rename_parts(spark, path, lambda learner, n: f"{learner}.json")
+        return
+    lines = F.concat(F.array_join(F.array_sort(F.collect_list("config")), "\n"), F.lit("\n"))
+    rows = df.select(F.col("learner_id").cast("string").alias("learner_id"), F.coalesce("config", F.lit("")).alias("config"))
+    rows.groupBy("learner_id").agg(lines.alias("text")).mapInArrow(_write_each(found[0]), "files long").agg(F.sum("files")).collect()
 
 
 def write_sparse_arff(header: DataFrame, rows: DataFrame, path: str) -> None:

@@ -121,3 +121,17 @@ def test_malformed_result_lines_are_reported(spark, tmpdir_fresh):
         f.write("@relation r\n@data\n" + good + "\nnot a row\nx,'2020-01-01 00:00:00',0.5,0.25,0,1\n\n")
     assert S.read_results(spark, tmpdir_fresh).count() == 1
     assert sorted(r.line for r in S.malformed_results(spark, tmpdir_fresh).collect()) == ["not a row", "x,'2020-01-01 00:00:00',0.5,0.25,0,1"]
+
+
+def test_learner_configs_are_written_under_their_names_by_the_tasks(spark, tmpdir_fresh, monkeypatch):
+    path = os.path.join(tmpdir_fresh, "many")
+    df = spark.range(500).select(F.concat(F.lit("L"), F.col("id").cast("string")).alias("learner_id"), F.col("id").cast("string").alias("config"))
+    df = df.unionByName(spark.createDataFrame([("a/b", "x"), ("a/b", "w")], df.schema)).repartition(7)
+    monkeypatch.setattr(S, "_rename_parts", None)  # the driver renames nothing
+    S.write_learner_configs(df, path)
+    assert sorted(os.listdir(path)) == sorted([f"L{k}.json" for k in range(500)] + ["a%2Fb.json"])
+    got = S.read_learner_configs(spark, path)
+    assert got.rdd.getNumPartitions() <= S.CONFIG_TASKS * spark.sparkContext.defaultParallelism
+    rows = {(r.learner_id, r.config.strip()) for r in got.collect()}
+    assert rows >= {(f"L{k}", str(k)) for k in range(500)} and len(rows) == 501
+    assert open(os.path.join(path, "a%2Fb.json")).read() == "w\nx\n"
