@@ -154,7 +154,8 @@ def thresholds(scored: DataFrame, entry: DataFrame | None = None, bits: int | No
     rows = in_blocks(rows.dropna(subset=["tag_index", "score", "y"]), ["tag_index"], ["question_id", "score", "y"], "m14-rows", bits)
     packed = rows.groupBy("tag_index", "block").agg(F.array_sort(F.collect_list(F.struct("at", "question_id", "score", "y"))).alias("rows"))
     packed = packed.withColumn("n", F.size("rows")).withColumn("ones", F.aggregate("rows", F.lit(0).cast("long"), lambda s, r: s + r["y"]))
-    # clustered by block, so the rounds join small per-block tables to it without moving the rows
+    # clustered by block, so the rounds join small per-block tables to it without moving the rows; the joins
+    # hash these tables, as Spark might send the rows through the driver to broadcast them
     packed = write_bucketed(packed, "m14_blocks", int(spark.conf.get("spark.sql.shuffle.partitions")), ["tag_index", "block"])
 
     start = packed.select("tag_index").distinct()
@@ -178,15 +179,15 @@ def thresholds(scored: DataFrame, entry: DataFrame | None = None, bits: int | No
         return e.select("tag_index", "block", (F.col("a") + F.col("a0")).alias("a"), (F.col("b") + F.col("b0")).alias("b"), "open1", "open0", "a0", "b0")
 
     for _ in range(ROUNDS if left else 0):
-        totals = dimension(hot.join(entries(totals), ["tag_index", "block"]).mapInArrow(_narrow, _SUMS), "m14-totals")
+        totals = dimension(hot.join(entries(totals).hint("shuffle_hash"), ["tag_index", "block"]).mapInArrow(_narrow, _SUMS), "m14-totals")
         before, left = left, _left(totals)
         if 10 * left > 9 * before or not left:
             break
-    gaps = hot.join(entries(totals), ["tag_index", "block"]).mapInArrow(
+    gaps = hot.join(entries(totals).hint("shuffle_hash"), ["tag_index", "block"]).mapInArrow(
         _open_rows, "tag_index int, block long, a0 long, b0 long, gaps array<struct<a: long, b: long, score: double, y: long>>")
     exact = gaps.repartition("tag_index").sortWithinPartitions("tag_index", "block").mapInArrow(_replay, "tag_index int, block long, a long, b long")
     exact = dimension(exact.union(first), "m14-entries")
-    return packed.join(exact, ["tag_index", "block"]).mapInArrow(_exact, OUT)
+    return packed.join(exact.hint("shuffle_hash"), ["tag_index", "block"]).mapInArrow(_exact, OUT)
 
 
 def _left(totals: DataFrame) -> int:

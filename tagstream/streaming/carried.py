@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tagstream.operators.blocks import carried, in_blocks
 from tagstream.operators.thresholds import A0, B0, OUT, thresholds
+from tagstream.session import dimension, maybe_broadcast
 from tagstream.streaming.commits import CommitLog
 from tagstream.streaming.feed import each_batch
 
@@ -75,7 +76,8 @@ def thresholds_batch(batch: DataFrame, batch_id: int, log: CommitLog, bits: int
     states = _valid_states(log, batch_id).join(firsts, "tag_index").filter(F.col("last_q") < F.col("first_q"))
     entry = states.groupBy("tag_index").agg(F.max_by(F.struct("a", "b", "last_q"), "batch").alias("s")).select("tag_index", "s.a", "s.b", F.col("s.last_q").alias("from_q"))
     since = firsts.join(entry, "tag_index", "left").select("tag_index", "a", "b", F.coalesce(F.col("from_q") + 1, F.lit(-2**63)).alias("from_q"))
-    old = log.table("rows", SCORED, batch_id).drop("batch").join(since.select("tag_index", "from_q"), "tag_index").filter(F.col("question_id") >= F.col("from_q")).drop("from_q")
+    since = dimension(since, "t5-since")  # a row for each label of the batch: it is what a join may broadcast, not the rows
+    old = log.table("rows", SCORED, batch_id).drop("batch").join(maybe_broadcast(since.select("tag_index", "from_q")), "tag_index").filter(F.col("question_id") >= F.col("from_q")).drop("from_q")
     known = since.filter("a is not null").select("tag_index", "a", "b")
     thresholds(rows.unionByName(old), known, bits).write.parquet(record["out"])
     done = log.spark.read.schema(OUT).parquet(record["out"])
