@@ -32,6 +32,9 @@ OTHER, LETTER, NUMBER, SPACE, WHITE, QUOTE = range(6)
 _WHITE = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces that the cache of a Python worker holds at most.
 CACHE_PIECES = 100_000
+#: Characters that are cut into pieces at a time: pieces take some hundred bytes a word until they are merged, and
+#: workers keep the memory of their largest batch.  A longer text is cut by itself.
+SLICE_CHARS = 1_000_000
 
 # States before a character.  FREE: a contraction may begin; BOUND: an apostrophe belongs to what is
 # before it; ONE, TWO: so many letters of a contraction are still to come.
@@ -228,6 +231,16 @@ class BytePair:
         return tuple(ranks[parts[k]] for k in range(n) if live[k])
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        start = size = 0
+        for k, t in enumerate(texts):
+            if k > start and size + len(t) > SLICE_CHARS:
+                out += self._encode(texts[start:k])
+                start, size = k, 0
+            size += len(t)
+        return out + self._encode(texts[start:])
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in texts]
         whole = "".join(texts)
         if not whole:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tagstream.llm.common import fold, prepare, stored, text_of
 
@@ -36,6 +37,8 @@ WINDOW = 8
 #: Discounts of counts of one, two, and three or more.
 DISCOUNTS = (0.95, 1.3, 1.6)
 TOP = 3
+#: Parts in which pairs come to the driver and become ratios.
+PARTS = 8
 N_FEATURES = 5
 
 _WORD = re.compile(r"\w+")
@@ -91,26 +94,39 @@ class KneserNey:
         width = self.unknown + 1
         found = []
         for k in (0, 1):
-            parts = [(np.array([self.id[x] for x in v], dtype=np.int64) * width + np.array([self.id[x] for x in w], dtype=np.int64), x) for v, w, x in pairs[k]]
-            key = np.concatenate([*(x for x, _ in parts), np.zeros(0, dtype=np.int64)])
-            n = np.concatenate([*(x for _, x in parts), np.zeros(0)])
+            key, n = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+            for v, w, x in pairs[k]:
+                key.append(np.fromiter(map(self.id.__getitem__, v), np.int64, len(v)) * width + np.fromiter(map(self.id.__getitem__, w), np.int64, len(w)))
+                n.append(x)
+            key, n = np.concatenate(key), np.concatenate(n)
             order = np.argsort(key)
             found.append((key[order], n[order]))
-        keys = np.union1d(found[0][0], found[1][0])
-        a, b = keys // width, keys % width
-        keep = [np.ones(width) for _ in uni]
-        p = []
-        for k in (0, 1):
-            n = np.zeros(len(keys))
-            n[np.searchsorted(keys, found[k][0])] = found[k][1]
-            whole = np.bincount(a, weights=n, minlength=len(vocab))  # times the class has a word after the first
-            at = np.flatnonzero(whole)
-            left = np.maximum(n - _discount(n), 0)
-            kept = np.bincount(a, weights=left, minlength=len(vocab))
-            keep[k][at] = 1 - kept[at] / whole[at]
-            p.append(left / np.maximum(whole[a], 1) + keep[k][a] * word_p[k][b])
-        self.backoff = np.log(keep[1] / keep[0]).astype(np.float32)
-        self.keys, self.pair = keys, np.log(p[1] / p[0]).astype(np.float32)
+            del key, n, order
+        self.backoff = np.zeros(width, dtype=np.float32)
+        keys, ratios = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.float32)]
+        # the pairs of some first words at a time, so only the counts and the result are held whole
+        some = -(-len(vocab) // PARTS)
+        for low in range(0, len(vocab), some):
+            cut = [np.searchsorted(f[0], (low * width, (low + some) * width)) for f in found]
+            mine = [(f[0][i:j], f[1][i:j]) for f, (i, j) in zip(found, cut)]
+            at = np.union1d(mine[0][0], mine[1][0])
+            a, b = at // width - low, at % width
+            keep, p = [np.ones(some) for _ in uni], []
+            for k in (0, 1):
+                n = np.zeros(len(at))
+                n[np.searchsorted(at, mine[k][0])] = mine[k][1]
+                whole = np.bincount(a, weights=n, minlength=some)  # times the class has a word after the first
+                seen = np.flatnonzero(whole)
+                left = np.maximum(n - _discount(n), 0)
+                kept = np.bincount(a, weights=left, minlength=some)
+                keep[k][seen] = 1 - kept[seen] / whole[seen]
+                p.append(left / np.maximum(whole[a], 1) + keep[k][a] * word_p[k][b])
+            high = min(low + some, len(vocab))
+            self.backoff[low:high] = np.log(keep[1] / keep[0])[:high - low]
+            keys.append(at)
+            ratios.append(np.log(p[1] / p[0]).astype(np.float32))
+        del found
+        self.keys, self.pair = np.concatenate(keys), np.concatenate(ratios)
 
     def ids(self, text: str) -> np.ndarray:
         look, stems, unknown = self.id, self.stem_id, self.unknown
@@ -197,8 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None, None
 
     def pairs(y: int):
-        for b in counted.filter((F.col("y") == y) & (F.col("v") != "")).select("v", "w", "n").toArrow().to_batches():
-            yield b.column("v").to_pylist(), b.column("w").to_pylist(), b.column("n").to_numpy().astype(np.float64)
+        own = counted.filter((F.col("y") == y) & (F.col("v") != ""))
+        for part in range(PARTS):  # the driver holds one part as strings
+            for b in own.filter(F.pmod(F.hash("v"), F.lit(PARTS)) == part).select("v", "w", "n").toArrow().to_batches():
+                yield b.column("v").to_pylist(), b.column("w").to_pylist(), b.column("n").to_numpy().astype(np.float64)
 
     model = KneserNey(uni, [pairs(0), pairs(1)])
     del uni
@@ -232,15 +250,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     prepare(docs.sparkSession)
     model, link = fit(docs, labels, id_col, text_col, label_col, max_per_class)
     held = F.coalesce(fold(id_col) == 0, F.lit(False))
+    # a text that is kept anyway goes to the workers once
+    at = keep.index(text_col) if text_col in keep and isinstance(docs.schema[text_col].dataType, StringType) else None
+    scored = "text" if at is None else f"keep_{at}"
     rows = docs.select(*[F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)], F.col(id_col).alias("id"),
-                       held.alias("held_out"), text_of(text_col).alias("text"))
+                       held.alias("held_out"), *([text_of(text_col).alias("text")] if at is None else []))
     names = [f"keep_{k}" for k in range(len(keep))] + ["id", "held_out"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def score(batches):
         m = model.value if model is not None else None
         for b in batches:
-            texts = b.column("text").to_pylist()
+            texts = [t or "" for t in b.column(scored).to_pylist()]
             p = np.zeros(len(texts))
             if m is not None and texts:
                 w, mean, scale = link
