@@ -20,23 +20,76 @@ from tagstream.session import dimension
 from tagstream.streaming.commits import CommitLog
 from tagstream.streaming.feed import drained, each_batch, write_feed
 
+WEIGHTS = "node bigint, bucket int, w double"
 LOG_SCHEMA = ("learner string, question_id long, created_on timestamp_ntz, is_prequential int, is_test int, "
               "is_topk int, units long")
 
 
-def _f_rows(pred: DataFrame, truth: DataFrame, questions: DataFrame, is_topk: int) -> DataFrame:
-    f = Q.instance_f(pred, truth, questions, label="tag_index")
-    return f.select("question_id", F.lit(is_topk).alias("is_topk"),
-                    F.round(F.col("f") * 50000).cast("long").alias("units"))
+def prepared(questions: DataFrame, labels: DataFrame, tree: DataFrame, hd: int, k_tree: int) -> DataFrame:
+    """question_id, created_on, packed features and node examples, and the labels, of each row of ``questions``:
+    all that a batch needs and no batch changes."""
+    feats = ML.hash_features(A.term_frequencies(questions, "text"), hd)
+    rows = packed.pack(feats, questions, ML.node_examples(labels, questions, tree, k_tree))
+    own = ML.label_vectors(labels.select("question_id", "tag_index")).withColumnRenamed("labels", "tags")
+    return questions.select("question_id", "created_on").join(rows, "question_id").join(own, "question_id", "left")
 
 
-def evaluate(questions: DataFrame, feats: DataFrame, truth: DataFrame, weights: DataFrame, tree: DataFrame,
-             k_tree: int, topk: int, threshold: float) -> DataFrame:
-    """General (probability ≥ threshold) and top-k F per question, in F units (T2 rows)."""
-    scores = ML.score_needed(questions, feats, weights, tree, k_tree, topk, threshold)
-    general = scores.filter(F.col("prob") >= threshold).select("question_id", "tag_index")
-    top = Q.topk_labels(scores, topk, score="prob").select("question_id", "tag_index")
-    return _f_rows(general, truth, questions, 0).unionByName(_f_rows(top, truth, questions, 1))
+def _predicted(scores: DataFrame, topk: int, threshold: float, is_prequential: int) -> DataFrame:
+    """Labels of the general (probability ≥ threshold) and of the top-k kind."""
+    general = scores.filter(F.col("prob") >= threshold).select("question_id", "tag_index", F.lit(0).alias("is_topk"))
+    top = Q.topk_labels(scores, topk, score="prob").select("question_id", "tag_index", F.lit(1).alias("is_topk"))
+    return general.unionByName(top).withColumn("is_prequential", F.lit(is_prequential))
+
+
+def _learn(batch: DataFrame, tree: DataFrame, size: tuple[int, int, int], width: int, model_path: str, log_path: str, learner: str,
+           batch_id: int, k_tree: int, epochs: int, topk: int, threshold: float, held: dict) -> None:
+    """M17 for one prepared batch.  ``held`` has the dense weights of the model written last, if they are one block."""
+    spark = batch.sparkSession
+    log = CommitLog(spark, log_path)
+    if log.read(batch_id) is not None:
+        return
+    previous = log.read(batch_id - 1)
+    if batch_id > 0 and previous is None:
+        raise FileNotFoundError(f"the model of the batch before {batch_id} is missing in {log_path}")
+    nodes = size[1]
+    one_block = packed.fits(nodes, width)
+
+    def read(path: str | None) -> tuple[DataFrame, object]:
+        w = spark.read.schema(WEIGHTS).parquet(path) if path else ML.empty_weights(spark)
+        if one_block and path not in held:
+            held.clear()
+            held[path] = packed.dense(w, 0, nodes, width)
+        return w, held.get(path)
+
+    feats = batch.select("question_id", F.inline(F.arrays_zip(F.col("buckets").alias("bucket"), F.col("values").alias("value")))).filter(F.col("bucket") != packed.BIAS)
+
+    def scores(w: DataFrame, block) -> DataFrame:
+        return ML.score_needed(batch, feats, w, tree, k_tree, topk, threshold, rows=batch, size=size, width=width, held=block)
+
+    w, block = read(previous["model"] if previous else None)
+    pre = _predicted(scores(w, block), topk, threshold, 1)
+    n_node = batch.select("question_id", F.explode("nodes").alias("node")).distinct().transform(ML.node_counts)
+    record = {"model": CommitLog(spark, model_path).folder("versions", batch_id), "log": log.folder("rows", batch_id)}
+    once = batch.dropDuplicates(["question_id"])
+    for t in range(epochs):
+        w = packed.step(once, n_node, w, nodes, 1.0 / (1.0 + batch_id * epochs + t), width, held=block)
+        path = record["model"] if t == epochs - 1 else f"{record['model']}-{t}"
+        w.write.parquet(path)
+        w, block = read(path)
+    if not epochs:
+        w.write.parquet(record["model"])
+    post = _predicted(scores(w, block), topk, threshold, 0)
+    # both phases and kinds in one pass
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("is_prequential"), F.lit(k).alias("is_topk")) for p in (1, 0) for k in (0, 1)]))
+    questions = batch.select("question_id", "created_on", each.alias("c")).select("question_id", "created_on", "c.*")
+    truth = once.select("question_id", "tags", each.alias("c")).select("question_id", "c.*", F.explode("tags").alias("tag_index"))
+    keys = ["is_prequential", "is_topk"]
+    f = Q.instance_f(pre.unionByName(post), truth, questions, label="tag_index", keys=keys)
+    rows = questions.join(f, [*keys, "question_id"]).select(
+        F.lit(learner).alias("learner"), "question_id", "created_on", "is_prequential", F.lit(0).alias("is_test"), "is_topk",
+        F.round(F.col("f") * 50000).cast("long").alias("units"))
+    rows.write.parquet(record["log"])
+    log.publish(batch_id, record)
 
 
 def prequential_step(batch: DataFrame, labels: DataFrame, tree: DataFrame, model_path: str, log_path: str,
@@ -53,35 +106,18 @@ def prequential_step(batch: DataFrame, labels: DataFrame, tree: DataFrame, model
     if log.read(batch_id) is not None:
         return
     previous = log.read(batch_id - 1)
-    if batch_id > 0 and previous is None:
-        raise FileNotFoundError(f"the model of the batch before {batch_id} is missing in {log_path}")
     batch = batch.checkpoint(eager=True)  # the batch's own chunk of the feed, read once
-    questions = batch.select("question_id", "created_on")
-    feats = ML.hash_features(A.term_frequencies(batch, "text"), hd).checkpoint(eager=True)
-    truth = labels.join(questions.select("question_id"), "question_id", "left_semi").select("question_id", "tag_index").checkpoint(eager=True)
-    weights = spark.read.parquet(previous["model"]) if previous else ML.empty_weights(spark)
-
-    pre = evaluate(questions, feats, truth, weights, tree, k_tree, topk, threshold).withColumn("is_prequential", F.lit(1))
-    ex = ML.node_examples(truth, questions, tree, k_tree)
-    rows, n_node = packed.pack(feats, questions, ex), dimension(ML.node_counts(ex), "node-counts")
-    _, nodes, _ = ML.tree_params(tree)
-    w, width = weights, packed.width_of(rows, weights)
-    for t in range(epochs):
-        w = dimension(packed.step(rows, n_node, w, nodes, 1.0 / (1.0 + batch_id * epochs + t), width), "weights")
-    record = {"model": CommitLog(spark, model_path).folder("versions", batch_id), "log": log.folder("rows", batch_id)}
-    w.write.parquet(record["model"])
-    w = spark.read.parquet(record["model"])
-    post = evaluate(questions, feats, truth, w, tree, k_tree, topk, threshold).withColumn("is_prequential", F.lit(0))
-    rows = pre.unionByName(post).join(questions, "question_id").select(
-        F.lit(learner).alias("learner"), "question_id", "created_on", F.col("is_prequential").cast("int"),
-        F.lit(0).alias("is_test"), F.col("is_topk").cast("int"), "units")
-    rows.write.parquet(record["log"])
-    log.publish(batch_id, record)
+    own = labels.join(batch.select("question_id"), "question_id", "left_semi")
+    rows = dimension(prepared(batch, own, tree, hd, k_tree), "prepared")
+    width = packed.width_of(rows, spark.read.parquet(previous["model"]) if previous else None)
+    _learn(rows, tree, ML.tree_params(tree), width, model_path, log_path, learner, batch_id, k_tree, epochs, topk, threshold, {})
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
     """The logged rows of all published batches (none before the first)."""
-    return CommitLog(spark, log_path).table("log", LOG_SCHEMA).drop("batch")
+    log = CommitLog(spark, log_path)
+    paths = [log.read(n)["log"] for n in log.numbers()]
+    return spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], LOG_SCHEMA)
 
 
 def prequential_stream(spark: SparkSession, feed_path: str, labels: DataFrame, tree: DataFrame, model_path: str, log_path: str,
@@ -94,13 +130,21 @@ def prequential_stream(spark: SparkSession, feed_path: str, labels: DataFrame, t
 
 
 def prequential_replay(questions: DataFrame, labels: DataFrame, tree: DataFrame, root: str, learner: str,
-                       batch_size: int, **kw) -> DataFrame:
+                       batch_size: int, hd: int = 16384, k_tree: int = 2, epochs: int = 1, topk: int = 5, threshold: float = 0.5) -> DataFrame:
     """M17 over a whole table: the questions become an ordered feed (T1) of ``batch_size`` rows a chunk,
-    whose micro-batches read their own chunk only.  Started again on the same ``root``, it goes on."""
+    whose micro-batches read their own chunk only.  Started again on the same ``root``, it goes on.
+
+    Features, node examples and labels are made once for all questions (whose ids are distinct) and are what
+    the feed holds, so a micro-batch scores, trains and scores again, and never reads the tables."""
     spark = questions.sparkSession
     feed_path = os.path.join(root, "feed")
     if not CommitLog(spark, feed_path).numbers():
-        write_feed(questions.select("question_id", "text", "created_on"), feed_path, batch_size)
+        write_feed(prepared(questions.select("question_id", "text", "created_on"), labels, tree, hd, k_tree), feed_path, batch_size)
     model_path, log_path = os.path.join(root, "model"), os.path.join(root, "log")
-    drained(prequential_stream(spark, feed_path, labels, tree, model_path, log_path, learner, os.path.join(root, "mark"), **kw))
+    size, width, held = ML.tree_params(tree), packed.width_of(spark.read.parquet(feed_path)), {}
+
+    def run(df: DataFrame, batch_id: int) -> None:
+        _learn(df, tree, size, width, model_path, log_path, learner, batch_id, k_tree, epochs, topk, threshold, held)
+
+    drained(each_batch(spark, feed_path, run, os.path.join(root, "mark")))
     return read_log(spark, log_path)
