@@ -1,23 +1,28 @@
 """Operator 8, line dedup by word: winnowing over grams of words, wherever in a line they stand.
 
-Every run of ``min_words`` words of a text is a window, keyed by a hash of its words.  A window that
+Every run of ``min_words`` words of a text is a window, keyed by hashes of its words.  A window that
 occurred earlier (by id, then by position) is deleted; a longer repeated run is the union of its
 windows, so it needs no extension and its ends may lie inside lines.
 
-Not every window is shuffled.  Of the grams of words inside a window the one with the smallest hash
-is its fingerprint (the leftmost of equal ones), so equal windows have equal fingerprints, while
-about a tenth of all positions are one.  Only windows whose fingerprint occurs more than once are
-keyed.  Texts that are equal as a whole are looked at once: the later ones go without their windows.
+Not every window is shuffled.  An anchor is a place where the codes of the first characters of three
+words are even, odd and odd; its gram is the third of a window that begins there.  Anchors depend on
+the words alone, so equal windows hold equal grams, and a window is looked at only if all grams
+inside it occur at more than one place.  A text costs one hash a gram, not some a word.
 
-Hashes of grams are made by doubling (two grams of n words give one of 2n), minima likewise, so a
-text costs a few passes over arrays of its words.  Native columns only.
+Windows that hold no gram (tables, some scripts) are hashed one by one, and those are looked at whose
+hash occurs at more than one place.  Equal windows are of one kind.
+
+Texts that are equal as a whole are looked at once: the later ones go without their windows.  Texts are
+fetched only where a window may repeat; a bit map of fixed size keeps most others out of the joins.
+
+Keys of windows are made by doubling: two grams of n words give one of 2n.  Native columns only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagstream.llm.common import let, prepare, stored, text_of, words_of
@@ -27,6 +32,8 @@ WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
 RUNS = "array<struct<from:int,to:int>>"
 #: End of a run that covers all words.
 ALL = 2**31 - 1
+#: Bits of the map of texts that a join may concern; at most BITS / 8 bytes are broadcast.
+BITS = 2**25
 
 
 def gram_words(min_words: int) -> int:
@@ -54,35 +61,68 @@ def _grams(words: Column, min_words: int, then: Callable[[Column], Column]) -> C
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _doubled(h, gram_words(min_words), F.xxhash64, then))
 
 
-def fingerprints(words: Column, min_words: int) -> Column:
-    """p0, p1, f of a text: windows p0 to p1 - 1 have the fingerprint f."""
-    span = min_words - gram_words(min_words) + 1  # grams of a window
-    power = 1 << (span.bit_length() - 1)
-    place = 2**31 - 1
+def window_keys(words: Column, min_words: int) -> Column:
+    """Two hashes of every window: of grams that cover it."""
+    n = gram_words(min_words)
+    shifts = sorted({*range(n, min_words - n, n), min_words - n} - {0})
+    pair = lambda x, *more: F.struct(x.alias("key"), (more[0] if len(more) == 1 else F.xxhash64(x, *more)).alias("key2"))
+    return _grams(words, min_words, lambda g: _joined(g, shifts or [0], pair))
 
-    def least(ranked: Column, then: Callable[[Column], Column]) -> Column:
-        whole = lambda m: then(m) if span == power else let(_joined(m, [span - power], F.least), then)
-        return _doubled(ranked, power, F.least, whole)
 
-    def ranges(g: Column, m: Column) -> Column:
-        at = F.transform(m, lambda v, j: F.when((j == 0) | (v != F.get(m, j - 1)), j))
-        return let(F.array_compact(at), lambda s: F.transform(s, lambda p, k: F.struct(
-            p.alias("p0"), F.coalesce(F.get(s, k + 1), F.size(m)).alias("p1"),
-            F.get(g, F.get(m, p).bitwiseAND(F.lit(place)).cast("int")).alias("f"))))
+def anchor_words(min_words: int) -> int:
+    """Words of an anchor's gram."""
+    return max(3, min_words // 3)
 
-    def of(g: Column) -> Column:
-        # 32 bits of the hash before 31 of the position: the smallest hash, and of equal ones the leftmost
-        ranked = F.transform(g, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 32), 31).bitwiseOR(i.cast("long")))
-        return let(ranked, lambda r: least(r, lambda m: ranges(g, m)))
 
-    return _grams(words, min_words, of)
+def anchor_places(words: Column, min_words: int) -> Column:
+    """Where the grams of anchors begin, in words."""
+    odd = F.transform(words, lambda w: F.ascii(w).bitwiseAND(F.lit(1)))
+    at = lambda o: F.transform(o, lambda x, i: F.when((x == 0) & (F.get(o, i + 1) == 1) & (F.get(o, i + 2) == 1) & (i + anchor_words(min_words) <= F.size(o)), i))
+    return F.array_compact(let(odd, at))
 
 
-def window_keys(words: Column, min_words: int) -> Column:
-    """A hash of every window: of grams that cover it."""
-    n = gram_words(min_words)
-    shifts = sorted({*range(n, min_words - n, n), min_words - n} - {0})
-    return _grams(words, min_words, lambda g: _joined(g, shifts, F.xxhash64) if shifts else g)
+def anchors(words: Column, places: Column, min_words: int) -> Column:
+    """key (hash of the gram) of each anchor; windows p0 to last have it as their first anchor, those after ``stop`` hold the next one's gram."""
+    n = anchor_words(min_words)
+    return F.transform(places, lambda p, k: F.struct(
+        F.xxhash64(F.array_join(F.slice(words, p + 1, n), " ")).alias("key"), F.coalesce(F.get(places, k - 1) + 1, F.lit(0)).alias("p0"),
+        F.least(p, F.size(words) - min_words).alias("last"), (F.get(places, k + 1) + (n - 1 - min_words)).alias("stop")))
+
+
+def plain_windows(words: Column, places: Column, min_words: int) -> Column:
+    """p0, p1, key of the windows (p1 = p0 + 1) that hold no anchor's gram."""
+    n, starts = F.size(words), max(0, min_words - anchor_words(min_words) + 1)
+    ends = F.concat(places, F.array(n + starts))
+    # from one place to the next, the windows that begin ``starts`` or more words before the next
+    gaps = F.transform(ends, lambda p, k: F.struct(F.coalesce(F.get(places, k - 1) + 1, F.lit(0)).alias("p0"), F.least(p - starts, n - min_words).alias("last")))
+    at = F.flatten(F.transform(F.filter(gaps, lambda g: g["p0"] <= g["last"]), lambda g: F.sequence(g["p0"], g["last"])))
+    return F.transform(at, lambda i: F.struct(i.alias("p0"), (i + 1).alias("p1"), F.xxhash64(F.array_join(F.slice(words, i + 1, min_words), " ")).alias("key")))
+
+
+def _joint(sorted_items: Column, after: Callable[[Column, Column], Column], of: Callable[[Column, Column], Column]) -> Column:
+    """``of`` the first and last of each run of items in which none is ``after`` the one before it by a gap."""
+    begin = F.filter(sorted_items, lambda x, k: F.coalesce(after(x, F.get(sorted_items, k - 1)), F.lit(True)))
+    end = F.filter(sorted_items, lambda x, k: F.coalesce(after(F.get(sorted_items, k + 1), x), F.lit(True)))
+    return F.zip_with(begin, end, of)
+
+
+def _repeated(places: DataFrame) -> DataFrame:
+    """th, at: the places ``at`` of each text whose key occurs at more than one place (of equal texts, one counts)."""
+    place = F.xxhash64("th", "at.p0")
+    often = places.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("key")
+    return places.join(stored(often, "op8-often"), "key").groupBy("th").agg(F.sort_array(F.collect_set("at")).alias("at"))
+
+
+def _may_be_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: false only for a th that is not in ``keys``, by a map of BITS bits."""
+    bit = F.pmod(F.col("th"), F.lit(BITS)) + 1  # Spark's bit maps count from 1
+    bits = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(byte, at)").bitwiseAND(F.lit(1)) == 1
+    out = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "bucket", "left")
+    out = out.withColumn("byte", byte).withColumn("at", (at % 8).cast("int")).withColumn("maybe", F.coalesce(hit, F.lit(False)))
+    return out.drop("bucket", "bits", "byte", "at")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -90,27 +130,39 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).filter("id is not null")
     rows = rows.select("id", F.xxhash64("text").alias("th"), "text")
-    marks = rows.withColumn("words", words_of(F.col("text"))).filter(F.size("words") >= min_words)
-    marks = marks.select("id", "th", F.inline(fingerprints(F.col("words"), min_words)))
+
+    def marks_of(words: Column) -> Column:
+        marks = let(anchor_places(words, min_words), lambda p: F.struct(anchors(words, p, min_words).alias("anchors"), plain_windows(words, p, min_words).alias("plain")))
+        return F.when(F.size(words) >= min_words, marks)
+
+    marks = stored(rows.select("id", "th", let(words_of(F.col("text")), marks_of).alias("m")), "op8-marks").filter("m is not null")
+    owners = stored(marks.groupBy("th").agg(F.min("id").alias("id"), F.max("id").alias("id1")), "op8-texts")
+    grams = marks.select("th", F.posexplode("m.anchors").alias("k", "a")).select("th", "a.key", F.struct("a.p0", "k", "a.last", "a.stop").alias("at"))
+    plain = marks.select("th", F.explode("m.plain").alias("r")).select("th", "r.key", F.struct("r.p0", "r.p1").alias("at"))
+    # runs of anchors whose grams all repeat, and neighbouring ranges of plain windows
+    held = _joint(F.col("at"), lambda x, y: x["k"] > y["k"] + 1, lambda a, b: F.struct(a["p0"].alias("p0"), (F.least(b["last"], b["stop"]) + 1).alias("p1")))
+    held = _repeated(grams).select("th", F.filter(held, lambda r: r["p0"] < r["p1"]).alias("held"))
+    joined = _joint(F.col("at"), lambda x, y: x["p0"] > y["p1"], lambda a, b: F.struct(a["p0"].alias("p0"), b["p1"].alias("p1")))
+    joined = _repeated(plain).select("th", joined.alias("plain"))
+    none = F.array().cast("array<struct<p0:int,p1:int>>")
+    some = held.join(joined, "th", "full").select("th", F.concat(F.coalesce("held", none), F.coalesce("plain", none)).alias("ranges"))
     # of equal texts, the first
-    marks = stored(marks.groupBy("th", "p0", "p1", "f").agg(F.min("id").alias("id"), F.max("id").alias("id1")), "op8-marks")
-    often = stored(marks.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f"), "op8-fingerprints")
-    ranges = marks.join(often, "f").groupBy("id", "th").agg(F.collect_list(F.struct("p0", "p1", "f")).alias("ranges"))
-    some = rows.join(stored(ranges, "op8-ranges"), ["id", "th"]).withColumn("words", words_of(F.col("text")))
-    keyed = let(window_keys(F.col("words"), min_words), lambda keys: F.flatten(F.transform("ranges", lambda r: F.transform(
-        F.slice(keys, r["p0"] + 1, r["p1"] - r["p0"]), lambda key, k: F.struct(key.alias("key"), r["f"].alias("f"), (r["p0"] + k).alias("i"))))))
-    windows = stored(some.select("id", "th", F.inline(keyed)), "op8-windows")
-    first = windows.groupBy("key", "f").agg(F.min(F.struct("id", "i", "th")).alias("p"), F.count("*").alias("n")).filter("n > 1")
-    first = stored(first.select("key", "f", F.col("p.id").alias("id0"), F.col("p.i").alias("i0"), F.col("p.th").alias("th0")), "op8-firsts")
-    later = windows.join(first, ["key", "f"]).filter("id <> id0 or th <> th0 or i <> i0")
-    at = later.groupBy("id", "th").agg(F.sort_array(F.collect_set("i")).alias("at"))
-    begin = F.filter("at", lambda p, k: F.coalesce(p > F.get("at", k - 1) + min_words, F.lit(True)))
-    end = F.filter("at", lambda p, k: F.coalesce(p + min_words < F.get("at", k + 1), F.lit(True)))
-    runs = at.select("id", "th", F.zip_with(begin, end, lambda a, b: F.struct(a.alias("from"), (b + min_words).alias("to"))).cast(RUNS).alias("runs"))
-
-    # a later text that equals an earlier one goes as a whole; window 0 of a text is in one row of marks
-    copied = stored(marks.filter("p0 = 0 and id <> id1").select("th", F.col("id").alias("id0")), "op8-copied")
-    copies = rows.select("id", "th").join(copied, "th").filter("id <> id0").select("id", "th").distinct()
+    some = stored(some.filter(F.size("ranges") > 0).join(owners.select("id", "th"), "th"), "op8-some")
+    fetched = _may_be_in(rows, some).filter("maybe").join(some, ["id", "th"]).select("id", "th", "ranges", words_of(F.col("text")).alias("words"))
+
+    def keyed(r: Column) -> Column:
+        keys = window_keys(F.slice("words", r["p0"] + 1, r["p1"] - r["p0"] + (min_words - 1)), min_words)
+        return F.transform(keys, lambda key, k: F.struct(key["key"].alias("key"), key["key2"].alias("key2"), (r["p0"] + k).alias("i")))
+
+    windows = fetched.select("id", "th", F.inline(F.flatten(F.transform("ranges", keyed))))
+    place = F.rank().over(Window.partitionBy("key", "key2").orderBy("id", "i", "th"))  # equal for repeated rows
+    at = windows.withColumn("place", place).filter("place > 1").groupBy("id", "th").agg(F.sort_array(F.collect_set("i")).alias("at"))
+    runs = _joint(F.col("at"), lambda x, y: x > y + min_words, lambda a, b: F.struct(a.alias("from"), (b + min_words).alias("to")))
+    runs = at.select("id", "th", runs.cast(RUNS).alias("runs"))
+
+    # a later text that equals an earlier one goes as a whole
+    copied = owners.filter("id <> id1").select("th", F.col("id").alias("id0"))
+    copies = marks.select("id", "th").join(copied, "th").filter("id <> id0").select("id", "th").distinct()
     whole = F.array(F.struct(F.lit(0).alias("from"), F.lit(ALL).alias("to"))).cast(RUNS)
     return stored(runs.union(copies.select("id", "th", whole.alias("runs"))), "op8-gone")
 
@@ -146,8 +198,11 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     gone = repeated_passages(docs, id_col, text_col, min_words)
     plain = docs.drop("n_lines", "n_gone", "gone_lines")
-    own = plain.select(F.struct(*plain.columns).alias("r"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
-    out = own.join(gone, ["id", "th"], "left").withColumn("lines", F.split("text", "\n", -1))
+    own = plain.select(F.struct(*plain.columns).alias("r"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"))
+    own = _may_be_in(own, gone)
+    out = own.filter("maybe").drop("maybe").join(gone, ["id", "th"], "left").select("r", "runs")
+    out = out.union(own.filter("not maybe").select("r", F.lit(None).cast(RUNS)))
+    out = out.withColumn("lines", F.split(F.col("r")[text_col].cast("string"), "\n", -1))
     out = out.withColumn("left", F.when(F.col("runs").isNotNull(), _cut(F.col("lines"), F.col("runs"))))
     indexes = F.array_compact(F.transform("left", lambda x, i: F.when(x.isNull(), i)))
     text = F.when(F.col("left").isNull(), F.col("r")[text_col]).otherwise(F.array_join("left", "\n"))

@@ -71,3 +71,31 @@ def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     same(spark, rows)
     assert passages.dedup_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_windows_without_anchors(spark):
+    """Words whose first characters are all even or all odd hold no anchor; other scripts, tables, one word repeated."""
+    rng = random.Random(3)
+    even = lambda n: " ".join(rng.choice("bdfhjlnprtvxz") + str(rng.randrange(10**5)) for _ in range(n))
+    odd = lambda n: " ".join(rng.choice("acegikmoqsuwyж") + str(rng.randrange(10**5)) for _ in range(n))
+    p, q, r = even(70), odd(61), "| 1 " * 40
+    mixed = " ".join(f"{c}{k}" for k, c in enumerate("bcabdecfaghizkab" * 4))
+    rows = [(1, f"{p} {mixed}"), (2, f"{mixed} {p}\n{q}"), (3, f"{q} {r}"), (4, f"{r}\n{p[:-9]} {mixed[9:]}"), (5, f"{even(30)} {q} {even(9)}"), (6, "x " * 130), (7, "x " * 99 + q)]
+    got = same(spark, rows)
+    assert got[2].gone_lines == "0" and got[5].text.count(" ") == 38
+
+
+def test_one_row_a_text_where_nothing_repeats(spark, monkeypatch):
+    """What is stored and shuffled must not grow with the words of texts that repeat nothing."""
+    seen, plain = {}, passages.stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(passages, "stored", counted)
+    common = " ".join(f"{c}x{k}" for k, c in enumerate("bcadeefgahiajk" * 3))  # 42 words: no window
+    rows = [(i, " ".join(f"{chr(97 + (i * k + k // 7) % 26)}{i}y{k}" for k in range(300)) + " " + common + f" end{i}") for i in range(20)]
+    passages.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(seen.values()) <= 4 * len(rows), seen
