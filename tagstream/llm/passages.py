@@ -154,9 +154,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         keys = window_keys(F.slice("words", r["p0"] + 1, r["p1"] - r["p0"] + (min_words - 1)), min_words)
         return F.transform(keys, lambda key, k: F.struct(key["key"].alias("key"), key["key2"].alias("key2"), (r["p0"] + k).alias("i")))
 
-    windows = fetched.select("id", "th", F.inline(F.flatten(F.transform("ranges", keyed))))
+    def marked(x: Column, y: Column) -> Column:
+        again = F.coalesce((x["key"] == y["key"]) & (x["key2"] == y["key2"]) & (x["i"] > y["i"]), F.lit(False))
+        return F.struct(F.when(again, F.xxhash64("id", "th", x["i"])).otherwise(x["key"]).alias("key"), F.when(~again, x["key2"]).alias("key2"), x["i"].alias("i"))
+
+    # a window that repeats inside its text ("a b a b ...") is gone whatever other texts hold: such rows get keys of their own, and no key2
+    ordered = lambda w: let(F.sort_array(w), lambda s: F.transform(s, lambda x, k: marked(x, F.get(s, k - 1))))
+    every = let(F.flatten(F.transform("ranges", keyed)), lambda w: F.when(F.size(F.array_distinct(w["key"])) < F.size(w), ordered(w)).otherwise(w))
+    windows = fetched.select("id", "th", F.inline(every))
     place = F.rank().over(Window.partitionBy("key", "key2").orderBy("id", "i", "th"))  # equal for repeated rows
-    at = windows.withColumn("place", place).filter("place > 1").groupBy("id", "th").agg(F.sort_array(F.collect_set("i")).alias("at"))
+    at = windows.withColumn("place", place).filter("place > 1 or key2 is null").groupBy("id", "th").agg(F.sort_array(F.collect_set("i")).alias("at"))
     runs = _joint(F.col("at"), lambda x, y: x > y + min_words, lambda a, b: F.struct(a.alias("from"), (b + min_words).alias("to")))
     runs = at.select("id", "th", runs.cast(RUNS).alias("runs"))
 
