@@ -60,11 +60,11 @@ def macro_f(pred: DataFrame, truth: DataFrame, key: str = "question_id", label:
     return agg.agg(F.round(F.avg("f"), 9).alias("macro_f"))
 
 
-def topk_labels(scores: DataFrame, k: int, key: str = "question_id", label: str = "tag_index",
+def topk_labels(scores: DataFrame, k: int, key: str | Sequence[str] = "question_id", label: str = "tag_index",
                 score: str = "score") -> DataFrame:
     """The ``k`` best labels per question, ties by label; ``rank`` from 1.  The
     ``row_number() <= k`` filter is planned as a group limit before the shuffle."""
-    w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(label))
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.col(score).desc(), F.col(label))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

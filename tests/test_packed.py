@@ -83,3 +83,30 @@ def test_a_step_shuffles_sums_not_a_row_a_weight_and_task(spark):
     assert sums.count() == 16  # one row a task for this many weights
     a, b = _weights(PK.step(rows, n_node, None, 13, 1.0, width)), _weights(PK.step(PK.stack(rows), n_node, None, 13, 1.0, width))
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_a_sequence_of_batches_takes_the_steps_one_by_one(spark):
+    tree, qs, feats, ex = _parts(spark)
+    rows = PK.pack(feats, qs, ex).withColumn("chunk_no", (F.col("question_id") / 15).cast("long"))
+    rows = rows.union(rows.filter("question_id = 3"))  # a repeated question counts once
+    width = PK.width_of(rows)
+
+    def rate(number, epoch):
+        return 1.0 / (1.0 + number * 2 + epoch)
+
+    found = PK.sequence(rows, PK.held_weights(None, 13, width), rate, 2).cache()
+    w, before = None, {}
+    for n in range(3):
+        mine = rows.filter(F.col("chunk_no") == n).dropDuplicates(["question_id"])
+        counts = mine.select("question_id", F.explode("nodes").alias("node")).transform(ML.node_counts)
+        before[n] = w
+        for t in range(2):
+            w = PK.step(mine, counts, w if w is not None else ML.empty_weights(spark), 13, rate(n, t), width).checkpoint()
+    a, b = _weights(w), _weights(PK.last_weights(found, width))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    stacks = PK.margins_of(found)
+    for n, model in before.items():
+        want = PK.search_labels(rows.filter(F.col("chunk_no") == n).dropDuplicates(["question_id"]), model if model is not None else ML.empty_weights(spark), 6, 13, 2, 3, 0.3, width)
+        got = PK.best_labels(stacks.filter(F.col("chunk_no") == n), "pre", 6, 13, 2, 3, 0.3)
+        want, got = ({(r.question_id, r.tag_index): r.prob for r in x.collect()} for x in (want, got))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
