@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tagstream.operators import multilabel as ML
@@ -110,3 +111,30 @@ def test_a_sequence_of_batches_takes_the_steps_one_by_one(spark):
         got = PK.best_labels(stacks.filter(F.col("chunk_no") == n), "pre", 6, 13, 2, 3, 0.3)
         want, got = ({(r.question_id, r.tag_index): r.prob for r in x.collect()} for x in (want, got))
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_stacks_hold_neighbours_and_later_epochs_mark_nothing(spark):
+    tree, qs, feats, ex = _parts(spark, questions=600)
+    rows, n_node = PK.pack(feats, qs, ex).repartition(1), ML.node_counts(ex)
+    width, stacked = PK.width_of(rows), PK.stack(rows)
+    reached = []
+    for batch in stacked.toArrow().to_batches():
+        for of_b, of_n, b, v, n, y in PK._stacks(batch):
+            reached += [tuple(x) for x in np.split(n, np.cumsum(of_n)[:-1])]
+            for q, mine in PK._reached(of_n, n, y, 0, 13):
+                own, values, size = PK._part(q, of_b, b, v)
+                at = np.concatenate([np.arange(len(b))[o - s:o] for o, s in zip(np.cumsum(of_b)[q], of_b[q])])
+                assert list(own) == list(b[at]) and list(values) == list(v[at]) and list(size) == list(of_b[q])
+    assert len(reached) == 600 and reached == sorted(reached)
+    w = PK.step(stacked, n_node, None, 13, 1.0, width).checkpoint()
+    a, b = _weights(PK.step(stacked, n_node, w, 13, 0.5, width)), _weights(PK.step(stacked, n_node, w, 13, 0.5, width, seen=True))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_stop_words_are_a_set(spark):
+    from tagstream.functions import text as TX
+
+    df = spark.createDataFrame([(["the", "cat", "and", "cat", ""],), ([],), (None,)], "t array<string>").select(TX.drop_stop("t").alias("t"))
+    assert [r.t for r in df.collect()] == [["cat", "cat", ""], [], None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan
